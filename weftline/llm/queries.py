@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import pii, quality, secrets
+from weftline.llm import pii, quality, secrets, simhash
 from weftline.llm.common import table
 from weftline.llm.quality_sql import quality_sql
 
@@ -23,8 +23,12 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_pii, op3_secrets)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_pii, op3_secrets, op4_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
