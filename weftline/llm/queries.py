@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import pii, quality, secrets, simhash
+from weftline.llm import pii, quality, secrets, sentencepieces, simhash, token_counts, urls
 from weftline.llm.common import table
 from weftline.llm.quality_sql import quality_sql
 
@@ -27,8 +27,20 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_verdicts(table(spark, sf_dir, "pages"))
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.encoding_report(table(spark, sf_dir, "documents"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_pii, op3_secrets, op4_simhash)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_pii, op3_secrets, op4_simhash, op5_url_filter, op6_sentencepiece, op8_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
