@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import pii, quality, secrets, sentencepieces, simhash, token_counts, urls
+from weftline.llm import decontamination, licenses, pii, quality, secrets, sentencepieces, simhash, token_counts, toxicity, urls
 from weftline.llm.common import table
 from weftline.llm.quality_sql import quality_sql
 
@@ -35,12 +35,29 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encoding_report(table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OPERATORS = [
+    op1_quality_rules, op2_pii, op3_secrets, op4_simhash, op5_url_filter, op6_sentencepiece, op7_decontamination, op8_token_counts, op9_licenses, op10_toxicity,
+]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_pii, op3_secrets, op4_simhash, op5_url_filter, op6_sentencepiece, op8_token_counts)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
