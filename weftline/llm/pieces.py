@@ -43,7 +43,7 @@ class Pieces:
     ranks: dict[str, int]
     text: list[bytes]
     octets: int
-    cache: list[dict] = field(default_factory=list)
+    cache: dict = field(default_factory=dict)
 
     @staticmethod
     def load(path: str) -> Pieces:
@@ -110,28 +110,43 @@ class Pieces:
 class Sampler:
     """Encodes with merge dropout. A document's key picks one of `variants` keys, so that pre-tokens can be kept.
 
-    What is kept is dropped once it exceeds `most` entries; results don't depend on it.
+    Kept are the pre-tokens used since the last two times that `most` new ones had come up; results don't depend on it.
     """
 
     pieces: Pieces
     rate: float
     seed: int
-    variants: int = 4
-    most: int = 400_000
+    variants: int = 2
+    most: int = 250_000
+    longest: int = 40
 
     def __post_init__(self) -> None:
         self.drop = int(self.rate * (1 << 32))
-        self.kept: list[dict[str, list[int]]] = [{} for _ in range(self.variants)]
+        self.new: list[dict[str, tuple]] = [{} for _ in range(self.variants)]
+        self.old: list[dict[str, tuple]] = [{} for _ in range(self.variants)]
+
+    @staticmethod
+    def of(pieces: Pieces, rate: float, seed: int) -> Sampler:
+        """The one of these pieces, which an executor's worker keeps from task to task."""
+        key = ("sampler", rate, seed)
+        if key not in pieces.cache:
+            pieces.cache[key] = Sampler(pieces, rate, seed)
+        return pieces.cache[key]
 
     def encode(self, text: str, document: int | None) -> list[int]:
         variant = xxhash.xxh64_intdigest(str(document), self.seed) % self.variants
-        kept, out = self.kept[variant], []
+        kept, out = self.new[variant], []
         for w in pretokens(text):
             ids = kept.get(w)
             if ids is None:
-                if len(kept) >= self.most // self.variants:
-                    kept.clear()
-                key = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), self.seed * 31 + variant)
-                ids = kept[w] = self.pieces.encode_word(w, key, self.drop)
+                ids = self.old[variant].get(w) or self.fresh(w, variant)
+                if len(w) <= self.longest:
+                    kept[w] = ids
             out += ids
+        if len(kept) >= self.most:
+            self.old[variant], self.new[variant] = kept, {}
         return out
+
+    def fresh(self, word: str, variant: int) -> tuple:
+        key = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), self.seed * 31 + variant)
+        return tuple(self.pieces.encode_word(word, key, self.drop))

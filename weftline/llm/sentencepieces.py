@@ -32,7 +32,7 @@ def _mapped(docs: DataFrame, schema: str, columns, model: str, rate: float, seed
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches):
-        sampler = Sampler(pieces.value, rate, seed)
+        sampler = Sampler.of(pieces.value, rate, seed)
         for batch in batches:
             for first, texts in text_blocks(batch, block=1_000_000):
                 ids = batch.column(0).slice(first, len(texts))
