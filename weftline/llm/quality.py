@@ -25,6 +25,8 @@ WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
+#: Hosts whose verdicts are broadcast (about 100 bytes each).
+MOST_BROADCAST = 50_000
 RULES = ["few_words", "repeats", "symbols", "dup_lines"]
 
 
@@ -99,13 +101,13 @@ def failures(limits: Limits) -> dict[str, Column]:
     }
 
 
-def beta_priors(hosts: DataFrame, limits: Limits) -> dict[str, tuple[float, float]]:
-    """Of each rule (a, strength) of the beta prior that fits the hosts' rates by their mean and variance.
+def beta_priors(hosts: DataFrame, limits: Limits) -> tuple[dict[str, tuple[float, float]], int]:
+    """Of each rule (a, strength) of the beta prior that fits the hosts' rates by their mean and variance; and the number of hosts.
 
     One row of sums comes to the driver, whatever the number of hosts.
     """
     n = F.col("host_docs")
-    sums = [F.sum(n).alias("n")]
+    sums = [F.sum(n).alias("n"), F.count(n).alias("hosts")]
     for rule in RULES:
         f = F.col(f"host_{rule}")
         sums += [F.sum(f).alias(f"{rule}_f"), F.sum(f * f / n).alias(f"{rule}_ff")]
@@ -118,27 +120,26 @@ def beta_priors(hosts: DataFrame, limits: Limits) -> dict[str, tuple[float, floa
         strength = mean * (1 - mean) / spread - 1 if spread > 1e-12 else limits.max_strength
         strength = min(limits.max_strength, max(limits.min_strength, strength))
         priors[rule] = (mean * strength, strength)
-    return priors
+    return priors, row["hosts"]
 
 
 def host_quality(docs: DataFrame, host: str = "source", limits: Limits = Limits()) -> DataFrame:
     """A row for each document: its counts, the rules' outcome, its host's figures and the verdict.
 
-    Hosts are small in number beside documents, but not bounded, so both the sums by host (combined
-    before the shuffle) and the join back are left to Spark: it broadcasts the hosts only if their
-    measured size allows, and else splits the join's hot partitions.
+    The sums by host are combined before the shuffle. The verdicts are broadcast if there are MOST_BROADCAST
+    hosts at most, as counted; with more, the join is Spark's, which splits hot partitions.
     """
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, host string, " + ", ".join(f"{c} long" for c in COUNTS)
     counted = save(map_rows(read, schema, counts, ["doc_id", "host"], COUNTS), "quality")
     judged = counted.withColumns({f"fails_{k}": v for k, v in failures(limits).items()})
     hosts = judged.where(F.col("host").isNotNull()).groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"), *(F.count_if(F.col(f"fails_{k}")).alias(f"host_{k}") for k in RULES))
-    priors = beta_priors(hosts, limits)
+    priors, number = beta_priors(hosts, limits)
     rejected = F.lit(False)
     for rule, (a, strength) in priors.items():
         rejected = rejected | ((F.col(f"host_{rule}") + F.lit(a)) / (F.col("host_docs") + F.lit(strength)) > limits.max_host_rate)
     verdicts = hosts.withColumn("host_rejected", rejected)
-    out = judged.join(verdicts, "host", "left")
+    out = judged.join(F.broadcast(verdicts) if number <= MOST_BROADCAST else verdicts, "host", "left")
     base_failed = F.col("fails_few_words") | F.col("fails_repeats")
     host_rejected = F.coalesce(F.col("host_rejected"), F.lit(False))
     return out.select(
