@@ -79,7 +79,7 @@ def _avg(x: Typed, value: Column) -> Column:
         total = F.sum(value.cast("decimal(38,0)"))
         return F.when(n > 0, _floor(total, n))
     if x.kind == "decimal2":
-        return F.when(n > 0, F.round(F.sum(value.cast(MONEY)).cast("decimal(28,2)") / n.cast("decimal(20,0)"), 2).cast(MONEY))
+        return F.when(n > 0, F.round(F.sum(value.cast("decimal(28,2)")).cast("decimal(28,2)") / n.cast("decimal(20,0)"), 2).cast(MONEY))
     return F.avg(value)
 
 

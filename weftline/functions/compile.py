@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 from weftline.errors import ScriptError
 from weftline.functions import formats
 from weftline.functions.parser import Binary, Call, Literal, Name, Unary, parse
-from weftline.types import FALSE, MONEY, SPARK, TRUE, utc, whole_millis
+from weftline.types import FALSE, SPARK, TRUE, utc, whole_millis
 
 NUMBERS = ["int", "decimal2", "float"]
 WIDE = "decimal(38,18)"
+#: Of operations within an expression; what a table holds is narrower.
+WIDE_MONEY = "decimal(28,2)"
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
 
 
@@ -144,7 +146,7 @@ class Compiler:
                 return F.when(y == 0, none).otherwise(x / F.when(y == 0, F.lit(1.0)).otherwise(y))
             return {"+": x + y, "-": x - y, "*": x * y}[op]
         made = {"+": lambda: x + y, "-": lambda: x - y, "*": lambda: x * y, "/": lambda: x / y}[op]()
-        return F.round(made, 2).cast(MONEY) if self.rounded else made
+        return F.round(made, 2).cast(WIDE_MONEY) if self.rounded else made
 
     def need(self, x: Typed, kind: str, what: str) -> Typed:
         if x.kind != kind:

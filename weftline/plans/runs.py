@@ -123,8 +123,9 @@ class Engine:
     def _stopped(self, keyspace: str, run_id: int) -> bool:
         return bool(self.history(keyspace, "wf_run_history").where((F.col("run_id") == run_id) & (F.col("status") == STOP)).take(1))
 
-    def _node_event(self, keyspace: str, run_id: int, node: str, status: int, comment: str = "", batches: int = 1) -> None:
-        self._append(keyspace, "wf_batch_history", [(_now(), run_id, node, 0, batches, status, comment)])
+    def _node_event(self, keyspace: str, run_id: int, node: str, status: int, comment: str = "") -> None:
+        """A node is one batch here: its partitions are Spark's tasks, which are repeated one by one."""
+        self._append(keyspace, "wf_batch_history", [(_now(), run_id, node, 0, 1, status, comment)])
         self._append(keyspace, "wf_node_history", [(_now(), run_id, node, status, comment)])
 
     def events(self, keyspace: str, node: str, run_id: int) -> list[policies.Event]:
@@ -158,7 +159,7 @@ class Engine:
         if answer != "go":
             self._node_event(keyspace, run_id, name, FAIL, f"dependencies: {answer}")
             return FAIL
-        self._node_event(keyspace, run_id, name, START, "", node.batches)
+        self._node_event(keyspace, run_id, name, START)
         planner = Planner(self.spark, script, {t: self.table(keyspace, t, r) for t, r in runs.items()})
         try:
             made = planner.build(node)
@@ -171,9 +172,9 @@ class Engine:
                         if spec.unique:
                             assert_unique(self.table(keyspace, node.output, run_id), node.kinds(), index, spec, node.strict_keys)
         except Exception as e:  # recorded, whatever it is
-            self._node_event(keyspace, run_id, name, FAIL, f"{type(e).__name__}: {str(e)[:500]}", node.batches)
+            self._node_event(keyspace, run_id, name, FAIL, f"{type(e).__name__}: {str(e)[:500]}")
             return FAIL
-        self._node_event(keyspace, run_id, name, SUCCESS, "", node.batches)
+        self._node_event(keyspace, run_id, name, SUCCESS)
         return SUCCESS
 
 

@@ -197,7 +197,7 @@ def _reader(r: dict) -> FileReader:
     if len({c.parquet is None for c in columns}) > 1:
         raise ScriptError("columns are either all of CSV or all of Parquet")
     header = settings.get("hdr_line_idx", -1)
-    return FileReader(tuple(r["urls"]), tuple(columns), -1 if header is None else header, settings.get("first_data_line_idx") or 0, settings.get("separator") or ",")
+    return FileReader(tuple(r["urls"]), tuple(columns), -1 if header is None else header, settings.get("first_data_line_idx") or 0, settings.get("separator") or ",", bool(settings.get("multi_line", True)))
 
 
 def _table(w: dict) -> dict:

@@ -44,6 +44,7 @@ class FileReader:
     header_line: int = -1
     first_line: int = 0
     separator: str = ","
+    multi_line: bool = True  # quoted cells may hold line feeds; without them, Spark can split large files
 
     @property
     def is_parquet(self) -> bool:
@@ -79,12 +80,21 @@ def _csv(spark: SparkSession, reader: FileReader, paths: list[str]) -> DataFrame
             raise ScriptError(f"{paths[0]} has no columns {', '.join(missing)}")
     width = max([len(split_line(x, reader.separator)) for x in lines] + [1 + c.position for c in reader.columns if c.position is not None])
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
-    options = {"sep": reader.separator, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "nullValue": "\0", "emptyValue": "", "multiLine": "true", "header": str(reader.first_line == 1).lower()}
+    options = {"sep": reader.separator, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "nullValue": "\0", "emptyValue": "", "multiLine": str(reader.multi_line).lower(), "header": str(reader.first_line == 1).lower()}
+    if reader.multi_line:
+        options["lineSep"] = "\n"  # else the first line's ending would be taken for all lines
     if reader.first_line <= 1:
         raw = spark.read.options(**options).schema(schema).csv(paths)
     else:
         raw = _behind(spark, reader, paths, schema, options)
-    return raw.select(*(parsed(F.coalesce(F.col(f"_c{c.position if c.header is None else header.index(c.header)}"), F.lit("")), c).alias(c.name) for c in reader.columns))
+    place = lambda c: c.position if c.header is None else header.index(c.header)
+    return raw.select(*(parsed(_cell(place(c), width), c).alias(c.name) for c in reader.columns))
+
+
+def _cell(place: int, width: int) -> Column:
+    """A cell's text; the last one of a line without the line's ending."""
+    text = F.coalesce(F.col(f"_c{place}"), F.lit(""))
+    return F.regexp_replace(text, "\r$", "") if place == width - 1 else text
 
 
 def _behind(spark: SparkSession, reader: FileReader, paths: list[str], schema, options: dict) -> DataFrame:

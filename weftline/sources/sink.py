@@ -13,7 +13,7 @@ from weftline.functions.formats import column_text
 from weftline.operators.fields import Field, kinds, project
 from weftline.operators.top import MOST, order_columns
 from weftline.sources.uris import SENDERS, filesystem, move, scheme
-from weftline.types import ZERO_TIME
+from weftline.types import zero
 
 CODECS = ("gzip", "snappy", "uncompressed")
 
@@ -99,7 +99,7 @@ def _parquet_value(c: FileColumnOut) -> Column:
     """The zero time is written as null."""
     value = F.col(f"`{c.field.name}`")
     if c.field.kind == "datetime":
-        return F.when(value != F.lit(ZERO_TIME).cast("timestamp_ntz"), value)
+        return F.when(value != zero("datetime"), value)
     return value
 
 

@@ -29,6 +29,8 @@ def check_type(name: str) -> str:
 
 
 def literal(value, kind: str) -> Column:
+    if kind == "datetime":  # as SQL: early dates would be shifted on their way through the old calendar
+        return F.expr(f"timestamp_ntz'{value.isoformat(sep=' ')}'")
     return F.lit(value).cast(SPARK[kind])
 
 
