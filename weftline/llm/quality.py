@@ -39,7 +39,7 @@ class Limits:
     max_symbol_pct: int = 10
     max_dup_line_pct: int = 30
     max_host_rate: float = 0.5
-    min_strength: float = 1.0
+    min_strength: float = 10.0  # so that a few documents never outweigh the corpus
     max_strength: float = 1000.0
 
 

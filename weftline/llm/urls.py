@@ -138,22 +138,18 @@ def difference(url: str | None, ratio: np.ndarray) -> float:
 
 
 def threshold(bins: list[tuple[int, str, int]]) -> float:
-    """The edge of bins (bin, verdict, number) with the best mean of both sides' shares; the one nearest to 0 of equals."""
-    totals = {v: max(1, sum(n for _, w, n in bins if w == v)) for v in ("allow", "block")}
-    best, at = -1.0, 0.0
-    allowed, blocked = 1.0, 0.0  # with a threshold below all bins
-    by_bin: dict[int, dict[str, int]] = {}
-    for b, v, n in bins:
-        by_bin.setdefault(b, {})[v] = n
-    for b in sorted(by_bin):
-        for edge in (b * BIN, (b + 1) * BIN):
-            if edge == (b + 1) * BIN:
-                allowed -= by_bin[b].get("allow", 0) / totals["allow"]
-                blocked += by_bin[b].get("block", 0) / totals["block"]
-            value = round(allowed + blocked, 9)
-            if value > best or value == best and abs(edge) < abs(at):
-                best, at = value, edge
-    return at
+    """The edge of bins (bin, verdict, number) with the best sum of both sides' shares; the one nearest to 0 of equals."""
+    edges = np.arange(round(-SPAN / BIN), round(SPAN / BIN) + 2)
+    right = np.zeros(len(edges))
+    for verdict in ("allow", "block"):
+        counts = np.zeros(len(edges))
+        for b, v, n in bins:
+            if v == verdict:
+                counts[b - edges[0]] += n
+        below = (np.cumsum(counts) - counts) / max(1, counts.sum())  # of what is left of each edge
+        right += below if verdict == "block" else 1 - below
+    best = edges[np.round(right, 9) == np.round(right, 9).max()]
+    return float(best[np.abs(best).argmin()] * BIN)
 
 
 def url_verdicts(pages: DataFrame, allow: list[str] = ALLOW, block: list[str] = BLOCK) -> DataFrame:
