@@ -34,10 +34,10 @@ def test_counts_of_texts_with_repeats(prose):
 
 def test_verdicts(make, prose, spark):
     good = [prose(60, i) for i in range(120)]
-    docs = make(*good, source="good").union(make(*[(100 + i, " ".join(f"${j}#" for j in range(40)) + " " + prose(30, i)) for i in range(30)], (200, prose(60, 7)), (201, None), source="bad")).union(make((300, " ".join(f"${j}#" for j in range(40)) + " " + prose(30, 2)), source="small")).union(make((400, prose(60, 1)), source=None))
+    docs = make(*good, source="good").union(make(*[(1100 + i, " ".join(f"${j}#" for j in range(40)) + " " + prose(30, i)) for i in range(30)], (200, prose(60, 7)), (201, None), source="bad")).union(make((300, " ".join(f"${j}#" for j in range(40)) + " " + prose(30, 2)), source="small")).union(make((400, prose(60, 1)), source=None))
     rows = {r.doc_id: r for r in host_quality(docs).collect()}
     assert all(rows[i].kept and not rows[i].base_failed for i in range(120))
-    assert not rows[100].base_failed and rows[100].host_rejected and not rows[100].kept and not rows[200].kept
+    assert not rows[1100].base_failed and rows[1100].host_rejected and not rows[1100].kept and not rows[200].kept
     assert rows[201].base_failed and not rows[201].kept and rows[201].n_words == 0
     assert not rows[300].host_rejected  # one failing document alone doesn't reject a host
     assert rows[400].kept and rows[400].host is None and rows[400].host_docs == 0
