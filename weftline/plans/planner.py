@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from weftline.errors import ScriptError
 from weftline.functions.compile import Compiler, fields
-from weftline.functions.parser import references
+from weftline.functions.parser import Binary, Name, parse, references
 from weftline.operators.distinct import distinct
 from weftline.operators.fields import keep, kinds, project
 from weftline.operators.lookup import lookup
@@ -54,6 +54,31 @@ def python_processor(df: DataFrame, types: dict[str, str], settings: dict, spark
 PROCESSORS: dict[str, Processor] = {"tag_and_denormalize": tag_processor, "py_calc": python_processor}
 
 
+FLIPPED = {"<": ">", "<=": ">=", ">": "<", ">=": "<=", "==": "=="}
+
+
+def bounds(n: Node) -> list:
+    """What a file node's `having` demands of columns of the file as they are.
+
+    The defaults that stand for nulls keep Catalyst from pushing `having` to the file; these bounds can be
+    pushed. They are the comparisons with constants that all have to hold, of fields that copy a column.
+    """
+    copies = {f.name: f.tree.field for f in n.fields if isinstance(f.tree, Name) and f.tree.alias == "r" and f.kind != "decimal2"}
+    out, todo = [], [parse(n.having)] if n.having else []
+    while todo:
+        tree = todo.pop()
+        if not isinstance(tree, Binary):
+            continue
+        if tree.op == "&&":
+            todo += [tree.left, tree.right]
+        for field, constant, op in ((tree.left, tree.right, tree.op), (tree.right, tree.left, FLIPPED.get(tree.op))):
+            if op in FLIPPED and isinstance(field, Name) and field.alias == "w" and field.field in copies and not any(x.alias == "w" for x in references(constant)):
+                value = Compiler({})(constant)
+                if value.kind == n.kinds()[field.field]:
+                    out.append((copies[field.field], op, value.column))
+    return out
+
+
 class Planner:
     """tables: DataFrames that stand for tables whatever the script says (of earlier runs, or given)."""
 
@@ -84,7 +109,7 @@ class Planner:
             raise ScriptError(f"node {node.name}: {e}") from e
 
     def _file_table(self, n: Node) -> DataFrame:
-        return project(scan(self.spark, n.reader), fields("r", n.reader.kinds()), list(n.fields), n.having)
+        return project(scan(self.spark, n.reader, bounds(n)), fields("r", n.reader.kinds()), list(n.fields), n.having)
 
     def _source(self, n: Node) -> tuple[DataFrame, dict[str, str]]:
         return self.table(n.table), self.kinds_of(n.table)

@@ -54,10 +54,14 @@ class FileReader:
         return {c.name: c.kind for c in self.columns}
 
 
-def scan(spark: SparkSession, reader: FileReader) -> DataFrame:
-    """All files, one after another, as one table."""
+#: (column of the reader, comparison, constant): what kept rows meet, as far as the file can tell.
+Bound = tuple[str, str, Column]
+
+
+def scan(spark: SparkSession, reader: FileReader, bounds: list[Bound] = ()) -> DataFrame:
+    """All files, one after another, as one table. bounds may spare parts of Parquet files from being read."""
     paths = [readable(spark, u) for u in reader.urls]
-    return _parquet(spark, reader, paths) if reader.is_parquet else _csv(spark, reader, paths)
+    return _parquet(spark, reader, paths, bounds) if reader.is_parquet else _csv(spark, reader, paths)
 
 
 def head_lines(spark: SparkSession, path: str, number: int) -> list[str]:
@@ -142,7 +146,27 @@ def parsed(text: Column, c: FileColumn) -> Column:
 PARQUET_KINDS = {T.StringType: "string", T.BooleanType: "bool", T.DoubleType: "float", T.FloatType: "float", T.DateType: "datetime", T.TimestampType: "datetime", T.TimestampNTZType: "datetime", T.DecimalType: "decimal2"} | {t: "int" for t in (T.ByteType, T.ShortType, T.IntegerType, T.LongType)}
 
 
-def _parquet(spark: SparkSession, reader: FileReader, paths: list[str]) -> DataFrame:
+def _bounded(raw: DataFrame, reader: FileReader, types: dict, bounds: list[Bound]) -> DataFrame:
+    """The rows that may meet the bounds. Nulls stay, as a default takes their place later; times are compared
+    before they are cut to milliseconds, so theirs are bounds only from below and, a millisecond wider, from above."""
+    names = {c.name: c for c in reader.columns}
+    for name, op, constant in bounds:
+        c = names[name]
+        x = F.col(f"`{c.parquet}`")
+        if c.kind == "datetime":
+            if not isinstance(types[c.parquet], T.TimestampNTZType):
+                continue
+            if op in ("<", "<=", "=="):
+                above = x < F.timestamp_add("MICROSECOND", F.lit(1000), constant).cast("timestamp_ntz")
+                raw = raw.where(above | x.isNull())
+            if op in (">", ">=", "=="):
+                raw = raw.where((x >= constant) | x.isNull())
+        else:
+            raw = raw.where({"<": x < constant, "<=": x <= constant, ">": x > constant, ">=": x >= constant, "==": x == constant}[op] | x.isNull())
+    return raw
+
+
+def _parquet(spark: SparkSession, reader: FileReader, paths: list[str], bounds: list[Bound]) -> DataFrame:
     raw = spark.read.parquet(*paths)
     types, out = {f.name: f.dataType for f in raw.schema.fields}, []
     for c in reader.columns:
@@ -156,4 +180,4 @@ def _parquet(spark: SparkSession, reader: FileReader, paths: list[str]) -> DataF
             value = F.round(value, 2)
         value = whole_millis(value.cast("timestamp_ntz")) if c.kind == "datetime" else value.cast(SPARK[c.kind])
         out.append(F.coalesce(value, default_value(c.default, c.kind)).alias(c.name))
-    return raw.select(*out)
+    return _bounded(raw, reader, types, bounds).select(*out)
