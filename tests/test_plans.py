@@ -29,3 +29,13 @@ def test_grouped_lookup_aggregates_before_the_join(spark):
 def test_distinct_needs_no_window(spark):
     text = plan(queries.QUERIES["distinct_multi"](spark, "/root/testdata/sf0.001"))
     assert "Window" not in text and "partial_min" in text
+
+
+def test_grouped_lookup_of_distinct_keys_is_one_grouping(spark):
+    nodes = queries._distinct("/root/testdata/sf0.001", {"l_suppkey": ("r.l_suppkey", "int")}, "unique(l_suppkey)")
+    nodes["i"]["w"]["indexes"] = {"idx_items": "non_unique(l_suppkey)"}
+    look = lambda where: queries.lookup_node("keys", "idx_items", "r.l_suppkey", queries.writer("g", {"k": ("r.l_suppkey", "int"), "n": ("count()", "int"), "both": ("sum(l.l_orderkey + r.l_suppkey)", "int")}, "w.n > 1"), "inner", True, where)
+    fused = queries.table_of(spark, nodes | {"g": look(None)}, "g")
+    joined = queries.table_of(spark, nodes | {"g": look("l.l_orderkey >= 0")}, "g")
+    assert "Join" not in plan(fused) and "Join" in plan(joined)
+    assert sorted(map(tuple, fused.collect())) == sorted(map(tuple, joined.collect()))

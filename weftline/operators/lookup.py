@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 
 from weftline.errors import ScriptError
 from weftline.functions.aggregates import aggregate, is_aggregate
-from weftline.functions.compile import Compiler, fields
+from weftline.functions.compile import Compiler, Typed, fields
 from weftline.functions.parser import references
 from weftline.operators.fields import Field, condition, keep, kinds
 from weftline.operators.keys import Part, key_column
-from weftline.types import stored
+from weftline.types import SPARK, stored
 
 MATCHED = "_matched"
 
@@ -61,6 +61,23 @@ def lookup(left: DataFrame, left_kinds: dict[str, str], right: DataFrame, right_
     return keep(make(r, l, keys, scope, how, columns), kinds(columns), having)
 
 
+def grouped(df: DataFrame, keys: dict[str, Typed], columns: list[Field], having: str | None = None) -> DataFrame:
+    """A row for each key of df, with aggregates over l.* (df's rows of that key) and expressions over r.* (keys)."""
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    back = {v: k for k, v in SPARK.items()}
+    l_scope = {"l": {c: Typed(F.col(f"`{c}`"), back[t]) for c, t in types.items()}}
+    summed = [f for f in columns if is_aggregate(f.tree)]
+    for f in columns:
+        if f not in summed and f.uses("l"):
+            raise ScriptError(f"field {f.name} reads l.* without an aggregate in a grouped lookup")
+    if any(f.uses("r") for f in summed):
+        l_scope |= {"r": keys}
+    made = [_named(f, aggregate(f.tree, Compiler(l_scope, rounded=True))) for f in summed]
+    out = df.groupBy(*(k.column.alias(f"r__{n}") for n, k in keys.items())).agg(*(made or [F.count(F.lit(1)).alias("_n")])).withColumn(MATCHED, F.lit(True))
+    scope = fields("r", {n: k.kind for n, k in keys.items()}, "r__")
+    return keep(out.select(*(_result(f, summed, scope) for f in columns)), kinds(columns), having)
+
+
 def _flat(r: DataFrame, l: DataFrame, keys: list[str], scope, how: Lookup, columns: list[Field]) -> DataFrame:  # noqa: E741
     joined = r.join(l.withColumn(MATCHED, F.lit(True)), keys, how.join_type)
     compiler, out = Compiler(scope, rounded=True), []

@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.errors import ScriptError
-from weftline.functions.compile import Compiler, fields
+from weftline.functions.compile import Compiler, Typed, fields
 from weftline.functions.parser import Binary, Name, parse, references
 from weftline.operators.distinct import distinct
 from weftline.operators.fields import keep, kinds, project
-from weftline.operators.lookup import lookup
+from weftline.operators.lookup import grouped, lookup
 from weftline.operators.pycalc import calculated
 from weftline.operators.tags import tagged
 from weftline.plans.script import Node, Script, read_text
@@ -124,10 +124,31 @@ class Planner:
         return distinct(made, n.kinds(), next(i for i in n.indexes.values() if i.unique), n.strict_keys)
 
     def _table_lookup_table(self, n: Node) -> DataFrame:
+        if (keys := self._own_groups(n)) is not None:
+            return grouped(self.table(self.script.index(n.lookup_index)[0].output), keys, list(n.fields), n.having)
         df, types = self._source(n)
         right = self.script.index(n.lookup_index)[0]
         return lookup(df, types, self.table(right.output), right.kinds(), self.script.lookup(n), list(n.fields), n.having)
 
+    def _own_groups(self, n: Node) -> dict[str, Typed] | None:
+        """If a grouped lookup goes from the distinct keys of a table back to that table: its keys, in r's names.
+
+        Each key then has the rows it came from, and no others, so the join only repeats a grouping. Keys have
+        to be plain copies of the index's fields.
+        """
+        source = self.script.writer_of(n.table)
+        right, index = self.script.index(n.lookup_index)
+        if not n.group or n.filter or n.strict_keys or source.kind != "distinct_table" or source.table != right.output or n.table in self.tables or source.strict_keys:
+            return None
+        copies = {f.name: f.tree.field for f in source.fields if isinstance(f.tree, Name) and f.tree.alias == "r"}
+        unique = next(i for i in source.indexes.values() if i.unique)
+        parts = [*unique.parts, *index.parts]
+        plain = len(copies) == len(source.fields) and set(unique.fields) == set(copies) == set(n.lookup_on) and not any(p.ignore_case for p in parts)
+        if not plain or any(copies[mine] != p.field for mine, p in zip(n.lookup_on, index.parts, strict=True)):
+            return None
+        kinds_of = right.kinds()
+        return {name: Typed(F.col(f"`{field}`"), kinds_of[field]) for name, field in copies.items()}
+
     def _table_custom_tfm_table(self, n: Node) -> DataFrame:
         df, types = self._source(n)
         if n.processor not in PROCESSORS:
