@@ -40,7 +40,11 @@ def test_dropout_varies_by_seed_and_repeats_for_equal_ones(pieces, prose):
     text = prose(300, 5)
     one, again, other = (Sampler(pieces, 0.2, s).encode(text, 3) for s in (1, 1, 2))
     assert one == again != other and len(one) > len(Sampler(pieces, 0.0, 1).encode(text, 3))
-    assert len({tuple(Sampler(pieces, 0.2, 1).encode(text, d)) for d in range(8)}) == 2  # variants
+    assert len({tuple(Sampler(pieces, 0.2, 1).encode(text, d)) for d in range(40)}) == 8  # variants
+    assert len({tuple(Sampler(pieces, 0.5, 1).encode("▁", d)[1:]) for d in range(4)}) == 1
+    words = " ".join(["then"] * 60)
+    ids = [pieces.text[i] for i in Sampler(pieces, 0.5, 1).encode(words, 1)]
+    assert len({p for p in ids if p.startswith(b" ")}) > 1  # one text has several segmentations of a word
     assert len(Sampler(pieces, 1.0, 1).encode("abc", 1)) == 4
 
 

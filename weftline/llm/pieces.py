@@ -108,7 +108,8 @@ class Pieces:
 
 @dataclass
 class Sampler:
-    """Encodes with merge dropout. A document's key picks one of `variants` keys, so that pre-tokens can be kept.
+    """Encodes with merge dropout. A pre-token's place and its document pick one of several keys, so that what
+    has been worked out can be kept: one of `many` for pre-tokens of up to `short` characters, of `few` for others.
 
     Kept are the pre-tokens used since the last two times that `most` new ones had come up; results don't depend on it.
     """
@@ -116,14 +117,16 @@ class Sampler:
     pieces: Pieces
     rate: float
     seed: int
-    variants: int = 2
-    most: int = 250_000
+    many: int = 8
+    few: int = 2
+    short: int = 5
+    most: int = 500_000
     longest: int = 40
 
     def __post_init__(self) -> None:
         self.drop = int(self.rate * (1 << 32))
-        self.new: list[dict[str, tuple]] = [{} for _ in range(self.variants)]
-        self.old: list[dict[str, tuple]] = [{} for _ in range(self.variants)]
+        self.new: list[dict[str, tuple]] = [{} for _ in range(self.many)]
+        self.old: list[dict[str, tuple]] = [{} for _ in range(self.many)]
 
     @staticmethod
     def of(pieces: Pieces, rate: float, seed: int) -> Sampler:
@@ -134,17 +137,18 @@ class Sampler:
         return pieces.cache[key]
 
     def encode(self, text: str, document: int | None) -> list[int]:
-        variant = xxhash.xxh64_intdigest(str(document), self.seed) % self.variants
-        kept, out = self.new[variant], []
-        for w in pretokens(text):
-            ids = kept.get(w)
+        first = xxhash.xxh64_intdigest(str(document), self.seed)
+        new, out, many, few, short = self.new, [], self.many, self.few, self.short
+        for place, w in enumerate(pretokens(text), first):
+            variant = place % (many if len(w) <= short else few)
+            ids = new[variant].get(w)
             if ids is None:
                 ids = self.old[variant].get(w) or self.fresh(w, variant)
                 if len(w) <= self.longest:
-                    kept[w] = ids
+                    new[variant][w] = ids
             out += ids
-        if len(kept) >= self.most:
-            self.old[variant], self.new[variant] = kept, {}
+        if sum(map(len, new)) >= self.most:
+            self.old, self.new = new, [{} for _ in range(many)]
         return out
 
     def fresh(self, word: str, variant: int) -> tuple:

@@ -203,9 +203,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without those whose component has a smaller doc_id; all columns kept. Of repeated rows of one id, one stays."""
+    """docs without those whose component has a smaller doc_id; all columns kept. Of repeated rows of one id, one stays; rows without an id all do."""
     found = save(near_duplicates(docs).select("doc_id", "component_id"), "components")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     kept = docs.join(gone.hint("merge"), docs["doc_id"].cast("long") == gone["_gone"], "left_anti")  # alike at every size
-    repeated = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    repeated = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count()
+    if not repeated:
+        return kept
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
