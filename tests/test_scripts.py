@@ -219,6 +219,35 @@ def test_diagram_and_cli(folder, capsys):
     assert cli.main(["get_diagram", f"{folder}/s.yaml", "--params", f"{folder}/p.json"]) == 0
 
 
+def test_commands(spark, folder, capsys):
+    (folder / "s.yaml").write_text(SCRIPT)
+    (folder / "p.json").write_text(json.dumps({"dir": str(folder), "policy": "manual", "batches": 4}))
+    root, script_of = f"file://{folder}/root", [f"{folder}/s.yaml", "--params", f"{folder}/p.json"]
+
+    def said(*args):
+        assert cli.main(list(args)) == 0
+        return capsys.readouterr().out.strip()
+
+    assert said("start_run", root, "ks", script_of[0], "read", *script_of[1:]) == "1"
+    assert said("start_run", root, "ks", script_of[0], "twice,joined", *script_of[1:]) == "2"
+    assert said("exec_node", root, "ks", script_of[0], "read", "2", *script_of[1:]) == str(SUCCESS)
+    assert said("list_keyspaces", root) == "ks"
+    assert len(said("get_run_history", root, "ks").splitlines()) == 4
+    assert len(said("get_node_history", root, "ks").splitlines()) == 10 == len(said("get_batch_history", root, "ks").splitlines())
+    assert "darkgreen" in said("get_diagram", *script_of, "--root", root, "--keyspace", "ks", "--run", "2")
+    assert said("get_table_ddl", script_of[0], "doubled", *script_of[1:]) == "CREATE TABLE doubled (id BIGINT, price DECIMAL(18,2)) USING PARQUET"
+    assert '"col_type": "int"' in said("proto_file_reader_creator", f"{folder}/in.csv", "things")
+    said("stop_run", root, "ks", "2")
+    said("drop_keyspace", root, "ks")
+    assert said("list_keyspaces", root) == ""
+
+
+def test_plain_quotes(spark, folder):
+    s = changed(folder, "      url_template:", "      csv: {plain_quotes: true}\n      url_template:")
+    sink.write(Planner(spark, s).build(s.nodes["out"]), s.nodes["out"].writer, 3)
+    assert (folder / "out_00003.csv").read_bytes() == b'id,name,price\r\n002,none,15.00\n003,he"llo,4.70\n'
+
+
 def test_guessing(spark, tmp_path):
     (tmp_path / "p.tsv").write_text("id\tsku\tshipped\tprice\tweight\tgone\nab\t1\t2020-01-02 03:04:05\t1.50\t0.125\ttrue\ncd\t2\t2021-01-02 03:04:05\t22.75\t3.5\tfalse\n")
     r = csv_reader(spark, f"{tmp_path}/p.tsv", separator="\t")

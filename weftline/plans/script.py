@@ -220,7 +220,7 @@ def _writer(w: dict) -> FileWriter:
     if not columns or not w.get("url_template"):
         raise ScriptError("w.columns and w.url_template are needed")
     top = w.get("top") or {}
-    return FileWriter(w["url_template"], tuple(columns), w.get("having") or None, top.get("order"), top.get("limit"), (w.get("csv") or {}).get("separator") or ",", (w.get("parquet") or {}).get("codec") or "gzip")
+    return FileWriter(w["url_template"], tuple(columns), w.get("having") or None, top.get("order"), top.get("limit"), (w.get("csv") or {}).get("separator") or ",", (w.get("parquet") or {}).get("codec") or "gzip", bool((w.get("csv") or {}).get("plain_quotes")))
 
 
 def _check_names(script: Script) -> None:
