@@ -54,6 +54,15 @@ def test_what_is_kept_does_not_change_results(pieces, prose):
     assert [small.encode(t, i) for i, t in enumerate(texts)] == [large.encode(t, i) for i, t in enumerate(texts)]
 
 
+@pytest.mark.parametrize("rate", [0.0, 0.1, 0.5])
+def test_both_agendas_agree(pieces, prose, rate):
+    r = random.Random(2)
+    words = [w for t in [*TEXTS, prose(300, 1)] for w in pretokens(t)] + ["".join(r.choices("the▁inga", k=r.randint(1, 60))) for _ in range(2000)]
+    for w in words:
+        if len(w) < 500:
+            assert pieces.merged_by_list(w, 12345, int(rate * 2**32)) == pieces.merged_by_heap(w, 12345, int(rate * 2**32)), w
+
+
 def test_pretokens():
     assert pretokens("a b\nc  d") == ["▁a", "▁b", "\n", "c", "▁▁d"]
     assert pretokens("x▁y") == ["▁x", LITERAL, "y"]

@@ -7,10 +7,13 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Characters of text that are turned into Python objects at one time.
 TEXT_BLOCK = 4_000_000
+#: Folders of sessions that name none, by application.
+_OWN: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,8 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='weftline-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = f"file://{tempfile.mkdtemp(prefix='weftline-')}"
+        folder = _OWN[app]
     return folder.rstrip("/")
 
 
@@ -62,7 +67,7 @@ def text_blocks(batch: pa.RecordBatch, name: str = "text", block: int = TEXT_BLO
     A block is at least one row: one text is never cut.
     """
     column = batch.column(batch.schema.get_field_index(name))
-    lengths = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist()
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_pylist()
     first, size = 0, 0
     for i, n in enumerate(lengths):
         if size and size + n > block:

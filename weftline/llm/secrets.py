@@ -17,6 +17,7 @@ import re
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -176,7 +177,7 @@ def redacted(docs: DataFrame) -> DataFrame:
                 new = [redact(t, s) if s else t for t, s in zip(texts, spans, strict=True)]
                 null = part.column(at).is_null()
                 columns = part.columns
-                columns[at] = pa.compute.if_else(null, None, pa.array(new, part.schema.field(at).type))
+                columns[at] = pc.if_else(null, None, pa.array(new, part.schema.field(at).type))
                 if counted:
                     k = part.schema.get_field_index(counted)
                     lengths = pa.array([len(t) if s else n for t, s, n in zip(new, spans, columns[k].to_pylist(), strict=True)], columns[k].type)
