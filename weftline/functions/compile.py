@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from weftline.errors import ScriptError
 from weftline.functions import formats
 from weftline.functions.parser import Binary, Call, Literal, Name, Unary, parse
-from weftline.types import FALSE, SPARK, TRUE, utc, whole_millis
+from weftline.types import SPARK, whole_millis
 
 NUMBERS = ["int", "decimal2", "float"]
 WIDE = "decimal(38,18)"
@@ -304,4 +304,3 @@ FUNCTIONS = {
     "strings.ReplaceAll": ((3,), _replace),
     "fmt.Sprintf": (None, _sprintf),
 }
-__all__ = ["Compiler", "FALSE", "FUNCTIONS", "TRUE", "Typed", "constant", "fields", "utc"]

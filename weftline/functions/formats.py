@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -128,7 +127,3 @@ def column_text(value: Column, kind: str, form: str | None) -> Column:
             return sprintf(form, [(value, kind)])
         return sprintf(form, [(fixed, "string")]) if form else fixed
     return sprintf(form, [(value, kind)]) if form else written(value, kind)
-
-
-def money(text: str) -> Decimal:
-    return Decimal(text)

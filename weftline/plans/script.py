@@ -11,7 +11,7 @@ from weftline.errors import ScriptError
 from weftline.functions.aggregates import is_aggregate
 from weftline.functions.parser import parse, references
 from weftline.operators.fields import Field
-from weftline.operators.keys import Index, Part, parse_index
+from weftline.operators.keys import Index, parse_index
 from weftline.operators.lookup import Lookup
 from weftline.plans.params import substitute
 from weftline.sources.scan import FileColumn, FileReader
@@ -270,6 +270,3 @@ def _check_index_use(script: Script) -> None:
             needed = n.kind == "distinct_table" and index.unique or "to_check_uniq" in name
             if name not in used and not needed:
                 raise ScriptError(f"node {n.name}: no lookup uses index {name}")
-
-
-__all__ = ["Node", "Part", "Script", "build", "load"]

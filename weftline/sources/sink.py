@@ -64,8 +64,8 @@ def write(made: DataFrame, w: FileWriter, run_id: int, batches: int = 1) -> list
         out = made.withColumn("_batch", F.pmod(F.xxhash64(*made.columns), F.lit(batches)).cast("int")).repartition(batches, "_batch").sortWithinPartitions("_batch", *order)
     elif order and w.limit is not None:
         out = made.orderBy(*order).limit(w.limit)
-    if not by_batch:  # one file is one task's
-        out = out.repartition(1).sortWithinPartitions(*order) if order else out.coalesce(1)
+    if not by_batch:  # one file is one task's; what comes before it stays parallel
+        out = out.repartition(1).sortWithinPartitions(*order) if order else out.repartition(1)
     folder = f"{template.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}"
     files = {b: template.replace("{batch_idx}", f"{b:05d}") for b in range(batches if by_batch else 1)}
     local = {b: f if scheme(f) not in SENDERS else f"{folder}-sent/{b}" for b, f in files.items()}
