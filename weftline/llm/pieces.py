@@ -10,7 +10,9 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 from heapq import heapify, heappop, heappush
+from itertools import count, cycle
 
+import numpy as np
 import xxhash
 
 BLANK = "▁"
@@ -18,6 +20,18 @@ BLANK = "▁"
 LITERAL = f"\n{BLANK}"
 _RUNS = re.compile(f"{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+|\n")
 _MASK = (1 << 64) - 1
+NEVER = 1 << 60
+#: Longer pre-tokens have a heap for an agenda.
+SHORT_WORD = 32
+
+
+def skipped(key: int, place: int, length: int, drop: int) -> bool:
+    """Whether the hash of a candidate's place and length under a key, of 2 ** 32, is below `drop`."""
+    return ((((key ^ (place * 0x9E3779B97F4A7C15 + length * 0xC2B2AE3D27D4EB4F)) * 0xD6E8FEB86659FD93) & _MASK) >> 32) < drop
+
+
+def unpacked(ids: bytes) -> list[int]:
+    return np.frombuffer(ids, "<i4").tolist()
 
 
 def pretokens(text: str) -> list[str]:
@@ -68,7 +82,31 @@ class Pieces:
         """The symbols that the merges of a pre-token leave, best rank first, then leftmost.
 
         Each candidate that comes up is skipped if the hash of its place under `key` is below `drop`, of 2 ** 32.
+        The agenda of a short pre-token is a list of the ranks of neighbours, that of a long one a heap.
         """
+        return self.merged_by_list(word, key, drop) if len(word) <= SHORT_WORD else self.merged_by_heap(word, key, drop)
+
+    def merged_by_list(self, word: str, key: int = 0, drop: int = 0) -> list[str]:
+        rank, symbols, places = self.ranks.get, list(word), list(range(len(word)))
+        agenda = [rank(word[i : i + 2], NEVER) for i in range(len(word) - 1)]
+        while agenda:
+            best = min(agenda)
+            if best == NEVER:
+                break
+            i = agenda.index(best)
+            made = symbols[i] + symbols[i + 1]
+            if drop and skipped(key, places[i], len(made), drop):
+                agenda[i] = NEVER
+                continue
+            symbols[i] = made
+            del symbols[i + 1], places[i + 1], agenda[i]
+            if i < len(agenda):
+                agenda[i] = rank(made + symbols[i + 1], NEVER)
+            if i:
+                agenda[i - 1] = rank(symbols[i - 1] + made, NEVER)
+        return symbols
+
+    def merged_by_heap(self, word: str, key: int = 0, drop: int = 0) -> list[str]:
         ranks, n = self.ranks, len(word)
         agenda = [(ranks[p], i, 2) for i in range(n - 1) if (p := word[i : i + 2]) in ranks]
         heapify(agenda)
@@ -80,7 +118,7 @@ class Pieces:
             j = i + own
             if not own or j >= n or own + size[j] != length:
                 continue  # one of the two has been merged meanwhile
-            if drop and ((((key ^ (i * 0x9E3779B97F4A7C15 + length * 0xC2B2AE3D27D4EB4F)) * 0xD6E8FEB86659FD93) & _MASK) >> 32) < drop:
+            if drop and skipped(key, i, length, drop):
                 continue
             size[i], size[j] = length, 0
             k = i + length
@@ -119,14 +157,14 @@ class Sampler:
     seed: int
     many: int = 8
     few: int = 2
-    short: int = 5
+    short: int = 5  # `many` is a multiple of `few`
     most: int = 500_000
     longest: int = 40
 
     def __post_init__(self) -> None:
         self.drop = int(self.rate * (1 << 32))
-        self.new: list[dict[str, tuple]] = [{} for _ in range(self.many)]
-        self.old: list[dict[str, tuple]] = [{} for _ in range(self.many)]
+        self.new: list[dict[str, bytes]] = [{} for _ in range(self.many)]
+        self.old: list[dict[str, bytes]] = [{} for _ in range(self.many)]
 
     @staticmethod
     def of(pieces: Pieces, rate: float, seed: int) -> Sampler:
@@ -137,20 +175,26 @@ class Sampler:
         return pieces.cache[key]
 
     def encode(self, text: str, document: int | None) -> list[int]:
-        first = xxhash.xxh64_intdigest(str(document), self.seed)
-        new, out, many, few, short = self.new, [], self.many, self.few, self.short
-        for place, w in enumerate(pretokens(text), first):
-            variant = place % (many if len(w) <= short else few)
-            ids = new[variant].get(w)
+        return unpacked(self.packed(text, document))
+
+    def packed(self, text: str, document: int | None) -> bytes:
+        """The ids as little-endian 32-bit integers. Kept as bytes, ids are no work for the garbage collector."""
+        new, old, out, short, longest = self.new, self.old, [], self.short, self.longest
+        first = xxhash.xxh64_intdigest(str(document), self.seed) % self.many
+        turns = new[first:] + new[:first], new[first % self.few : self.few] + new[: first % self.few]
+        for place, w, many, few in zip(count(first), pretokens(text), *map(cycle, turns)):
+            kept = many if len(w) <= short else few
+            ids = kept.get(w)
             if ids is None:
-                ids = self.old[variant].get(w) or self.fresh(w, variant)
-                if len(w) <= self.longest:
-                    new[variant][w] = ids
-            out += ids
+                variant = place % (self.many if len(w) <= short else self.few)
+                ids = old[variant].get(w) or self.fresh(w, variant)
+                if len(w) <= longest:
+                    kept[w] = ids
+            out.append(ids)
         if sum(map(len, new)) >= self.most:
-            self.old, self.new = new, [{} for _ in range(many)]
-        return out
+            self.old, self.new = new, [{} for _ in range(self.many)]
+        return b"".join(out)
 
-    def fresh(self, word: str, variant: int) -> tuple:
+    def fresh(self, word: str, variant: int) -> bytes:
         key = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), self.seed * 31 + variant)
-        return tuple(self.pieces.encode_word(word, key, self.drop))
+        return np.array(self.pieces.encode_word(word, key, self.drop), "<i4").tobytes()

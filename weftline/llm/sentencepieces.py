@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import text_blocks
-from weftline.llm.pieces import Pieces, Sampler
+from weftline.llm.pieces import Pieces, Sampler, unpacked
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RATE, SEED = 0.1, 42
@@ -46,8 +46,9 @@ def encoded(docs: DataFrame, model: str = MODEL, rate: float = RATE, seed: int =
     """doc_id, and token_ids: array<int>."""
 
     def columns(sampler, documents, texts):
-        lists = [sampler.encode(t, d) for d, t in zip(documents, texts, strict=True)]
-        return {"token_ids": pa.array(lists, pa.list_(pa.int32()))}
+        made = [sampler.packed(t, d) for d, t in zip(documents, texts, strict=True)]
+        ends = np.cumsum([0, *(len(m) // 4 for m in made)]).astype(np.int32)
+        return {"token_ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(made), "<i4")))}
 
     return _mapped(docs, "token_ids array<int>", columns, model, rate, seed)
 
@@ -72,10 +73,10 @@ def encoding_report(docs: DataFrame, model: str = MODEL, rate: float = RATE, see
     def columns(sampler, documents, texts):
         number, digests, equal = [], [], []
         for d, t in zip(documents, texts, strict=True):
-            ids = sampler.encode(t, d)
-            number.append(len(ids))
-            digests.append(hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest())
-            equal.append(sampler.pieces.decode(ids) == t)
+            ids = sampler.packed(t, d)
+            number.append(len(ids) // 4)
+            digests.append(hashlib.sha256(ids).hexdigest())
+            equal.append(sampler.pieces.decode(unpacked(ids)) == t)
         return {"n_tokens": pa.array(number, pa.int64()), "ids_sha256": pa.array(digests, pa.string()), "round_trip": pa.array(equal, pa.bool_())}
 
     return _mapped(docs, "n_tokens long, ids_sha256 string, round_trip boolean", columns, model, rate, seed)
