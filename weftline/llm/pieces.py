@@ -158,7 +158,7 @@ class Sampler:
     many: int = 8
     few: int = 2
     short: int = 5  # `many` is a multiple of `few`
-    most: int = 500_000
+    most: int = 400_000
     longest: int = 40
 
     def __post_init__(self) -> None:

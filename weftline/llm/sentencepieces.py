@@ -34,7 +34,7 @@ def _mapped(docs: DataFrame, schema: str, columns, model: str, rate: float, seed
     def run(batches):
         sampler = Sampler.of(pieces.value, rate, seed)
         for batch in batches:
-            for first, texts in text_blocks(batch, block=1_000_000):
+            for first, texts in text_blocks(batch, block=300_000):
                 ids = batch.column(0).slice(first, len(texts))
                 made = columns(sampler, ids.to_pylist(), texts)
                 yield pa.RecordBatch.from_arrays([ids, *made.values()], names=["doc_id", *made])
