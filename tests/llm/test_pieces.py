@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 import sentencepiece
+import xxhash
 
-from weftline.llm.pieces import LITERAL, Pieces, Sampler, pretokens
+from weftline.llm.pieces import LITERAL, Pieces, Sampler, mixed_all, pretokens, skips
 from weftline.llm.sentencepieces import MODEL, decoded, encoded, encoding_report
 from weftline.llm.token_counts import Trie, token_counts, unigram_scores
 
@@ -48,6 +50,34 @@ def test_dropout_varies_by_seed_and_repeats_for_equal_ones(pieces, prose):
     assert len(Sampler(pieces, 1.0, 1).encode("abc", 1)) == 4
 
 
+def test_every_place_of_every_document_has_its_own_skips(pieces):
+    word = "internationally"
+    made = Sampler(pieces, 0.1, 42).encode(" ".join([word] * 4000), 1)
+    text, seen, at = [], [], 0
+    for i in made:
+        text.append(i)
+        at += len(pieces.text[i])
+        if at == len(word) + 1:
+            seen.append(tuple(text))
+            text, at = [], 0
+    assert len(seen) == 4000 and len(set(seen)) > 20
+    limits = Sampler(pieces, 0.1, 42).limits
+    skipped = [n for k in range(4000) for n in skips(k, limits, 50) if n < 50]
+    assert all(abs(skipped.count(n) / 4000 - 0.1) < 0.025 for n in range(50))
+    assert len({tuple(Sampler(pieces, 0.1, 42).encode(" ".join([word] * 20), d)) for d in range(200)}) == 200
+
+
+def test_kept_encodings_are_those_of_the_agenda(pieces, prose):
+    for rate in (0.0, 0.1, 0.6):
+        sampler = Sampler(pieces, rate, 5, most=300)
+        for d in range(20):
+            text = prose(80, d % 3, 40) + " " + "longword" * 30
+            n = len(pretokens(text))
+            keys = mixed_all(np.arange(n, dtype=np.uint64), 0) ^ np.uint64(xxhash.xxh64_intdigest(str(d), 5))
+            plain = [i for w, k in zip(pretokens(text), keys.tolist()) for i in pieces.encode_word(w, skips(k, sampler.limits, 3 * len(w)))[0]]
+            assert sampler.encode(text, d) == plain
+
+
 def test_what_is_kept_does_not_change_results(pieces, prose):
     texts = [prose(100, i) for i in range(30)]
     small, large = Sampler(pieces, 0.1, 3, most=50), Sampler(pieces, 0.1, 3)

@@ -8,9 +8,11 @@ follow, and line feeds. A ▁ that is in the text itself is encoded as bytes, wh
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from heapq import heapify, heappop, heappush
-from itertools import count, cycle
 
 import numpy as np
 import xxhash
@@ -25,9 +27,53 @@ NEVER = 1 << 60
 SHORT_WORD = 32
 
 
-def skipped(key: int, place: int, length: int, drop: int) -> bool:
-    """Whether the hash of a candidate's place and length under a key, of 2 ** 32, is below `drop`."""
-    return ((((key ^ (place * 0x9E3779B97F4A7C15 + length * 0xC2B2AE3D27D4EB4F)) * 0xD6E8FEB86659FD93) & _MASK) >> 32) < drop
+#: A gap of this many candidates only says that none of them is skipped. No pre-token that is kept has as many.
+WIDEST = 128
+
+
+def thresholds(drop: int) -> list[int]:
+    """Ascending, of 2 ** 64: as many are above a hash as candidates stand before the next that is skipped."""
+    keep, out, left = (1 << 32) - drop, [], 1 << 96
+    for _ in range(WIDEST):
+        left = left * keep >> 32
+        out.append(min(left >> 32, _MASK))
+    return out[::-1]
+
+
+def mixed(key: int, draw: int) -> int:
+    """A hash of a key, by its number; `mixed_all` gives it for arrays of keys."""
+    x = (key + (draw + 1) * 0x9E3779B97F4A7C15) & _MASK
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _MASK
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _MASK
+    return x ^ (x >> 31)
+
+
+def mixed_all(keys: np.ndarray, draw: int) -> np.ndarray:
+    x = keys + np.uint64((draw + 1) * 0x9E3779B97F4A7C15 & _MASK)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def skips(key: int, limits: list[int], most: int) -> Iterator[int]:
+    """The numbers, in the order of the agenda, of the candidates that are skipped: each is with the same probability, by itself.
+
+    Ends with the first number that isn't below `most`.
+    """
+    at, draw = 0, 0
+    while at < most:
+        gap = WIDEST - bisect_right(limits, mixed(key, draw))
+        at += gap
+        draw += 1
+        if gap < WIDEST:
+            yield at
+            at += 1
+    yield at
+
+
+def most_candidates(word: str) -> int:
+    """Each merge makes two candidates at most."""
+    return 3 * len(word)
 
 
 def unpacked(ids: bytes) -> list[int]:
@@ -78,47 +124,58 @@ class Pieces:
     def fallback(self, symbol: str) -> list[int]:
         return [self.octets + b for b in symbol.encode("utf-8", "surrogatepass")]
 
-    def merged(self, word: str, key: int = 0, drop: int = 0) -> list[str]:
-        """The symbols that the merges of a pre-token leave, best rank first, then leftmost.
+    def merged(self, word: str, skipped: Iterator[int]) -> tuple[list[str], int]:
+        """The symbols that the merges of a pre-token leave, best rank first, then leftmost, and how many candidates came up.
 
-        Each candidate that comes up is skipped if the hash of its place under `key` is below `drop`, of 2 ** 32.
+        The candidates of the numbers in `skipped`, which ascend, are skipped.
         The agenda of a short pre-token is a list of the ranks of neighbours, that of a long one a heap.
         """
-        return self.merged_by_list(word, key, drop) if len(word) <= SHORT_WORD else self.merged_by_heap(word, key, drop)
+        return self.by_list(word, skipped) if len(word) <= SHORT_WORD else self.by_heap(word, skipped)
 
     def merged_by_list(self, word: str, key: int = 0, drop: int = 0) -> list[str]:
-        rank, symbols, places = self.ranks.get, list(word), list(range(len(word)))
+        return self.by_list(word, skips(key, thresholds(drop), most_candidates(word)))[0]
+
+    def merged_by_heap(self, word: str, key: int = 0, drop: int = 0) -> list[str]:
+        return self.by_heap(word, skips(key, thresholds(drop), most_candidates(word)))[0]
+
+    def by_list(self, word: str, skipped: Iterator[int]) -> tuple[list[str], int]:
+        rank, symbols = self.ranks.get, list(word)
         agenda = [rank(word[i : i + 2], NEVER) for i in range(len(word) - 1)]
+        number, skip = 0, next(skipped, NEVER)
         while agenda:
             best = min(agenda)
             if best == NEVER:
                 break
             i = agenda.index(best)
-            made = symbols[i] + symbols[i + 1]
-            if drop and skipped(key, places[i], len(made), drop):
-                agenda[i] = NEVER
+            number += 1
+            if number > skip:
+                agenda[i], skip = NEVER, next(skipped, NEVER)
                 continue
+            made = symbols[i] + symbols[i + 1]
             symbols[i] = made
-            del symbols[i + 1], places[i + 1], agenda[i]
+            del symbols[i + 1], agenda[i]
             if i < len(agenda):
                 agenda[i] = rank(made + symbols[i + 1], NEVER)
             if i:
                 agenda[i - 1] = rank(symbols[i - 1] + made, NEVER)
-        return symbols
+        return symbols, number
 
-    def merged_by_heap(self, word: str, key: int = 0, drop: int = 0) -> list[str]:
+    def by_heap(self, word: str, skipped: Iterator[int]) -> tuple[list[str], int]:
         ranks, n = self.ranks, len(word)
         agenda = [(ranks[p], i, 2) for i in range(n - 1) if (p := word[i : i + 2]) in ranks]
         heapify(agenda)
         size = [1] * n  # of the symbol that begins at each place; 0 if none does
         before = list(range(-1, n - 1))
+        number, skip = 0, next(skipped, NEVER)
         while agenda:
             _, i, length = heappop(agenda)
             own = size[i]
             j = i + own
             if not own or j >= n or own + size[j] != length:
                 continue  # one of the two has been merged meanwhile
-            if drop and skipped(key, i, length, drop):
+            number += 1
+            if number > skip:
+                skip = next(skipped, NEVER)
                 continue
             size[i], size[j] = length, 0
             k = i + length
@@ -129,16 +186,21 @@ class Pieces:
             h = before[i]
             if h >= 0 and (r := ranks.get(word[h:k])) is not None:
                 heappush(agenda, (r, h, k - h))
-        return [word[i : i + s] for i, s in enumerate(size) if s]
+        return [word[i : i + s] for i, s in enumerate(size) if s], number
 
-    def encode_word(self, word: str, key: int = 0, drop: int = 0) -> list[int]:
+    def encode_word(self, word: str, skipped: Iterator[int]) -> tuple[list[int], int]:
+        """The ids, and how many candidates came up."""
         if word == LITERAL:
-            return self.fallback(BLANK)
+            return self.fallback(BLANK), 0
+        symbols, number = self.merged(word, skipped)
         out = []
-        for symbol in self.merged(word, key, drop):
+        for symbol in symbols:
             known = self.ids.get(symbol)
-            out += self.fallback(symbol) if known is None else [known]
-        return out
+            if known is None:
+                out += self.fallback(symbol)
+            else:
+                out.append(known)
+        return out, number
 
     def decode(self, ids) -> str:
         return b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
@@ -146,25 +208,25 @@ class Pieces:
 
 @dataclass
 class Sampler:
-    """Encodes with merge dropout. A pre-token's place and its document pick one of several keys, so that what
-    has been worked out can be kept: one of `many` for pre-tokens of up to `short` characters, of `few` for others.
+    """Encodes with merge dropout. Each candidate's skip follows from the seed, the document, the pre-token's place and
+    the candidate's number in the agenda, so no two pre-tokens share their skips.
 
-    Kept are the pre-tokens used since the last two times that `most` new ones had come up; results don't depend on it.
+    The ids of a pre-token are kept by the numbers that were skipped, with the number of candidates that came up: skips
+    behind the last of them change nothing. Kept are those used since the last two times that `most` new ones had come
+    up; results don't depend on it.
     """
 
     pieces: Pieces
     rate: float
     seed: int
-    many: int = 8
-    few: int = 2
-    short: int = 5  # `many` is a multiple of `few`
     most: int = 400_000
     longest: int = 40
 
     def __post_init__(self) -> None:
-        self.drop = int(self.rate * (1 << 32))
-        self.new: list[dict[str, bytes]] = [{} for _ in range(self.many)]
-        self.old: list[dict[str, bytes]] = [{} for _ in range(self.many)]
+        self.limits = thresholds(int(self.rate * (1 << 32)))
+        self.ascending = np.array(self.limits, np.uint64)
+        self.new: dict[str | tuple[str, int], tuple[int, bytes]] = {}
+        self.old: dict[str | tuple[str, int], tuple[int, bytes]] = {}
 
     @staticmethod
     def of(pieces: Pieces, rate: float, seed: int) -> Sampler:
@@ -179,22 +241,57 @@ class Sampler:
 
     def packed(self, text: str, document: int | None) -> bytes:
         """The ids as little-endian 32-bit integers. Kept as bytes, ids are no work for the garbage collector."""
-        new, old, out, short, longest = self.new, self.old, [], self.short, self.longest
-        first = xxhash.xxh64_intdigest(str(document), self.seed) % self.many
-        turns = new[first:] + new[:first], new[first % self.few : self.few] + new[: first % self.few]
-        for place, w, many, few in zip(count(first), pretokens(text), *map(cycle, turns)):
-            kept = many if len(w) <= short else few
-            ids = kept.get(w)
-            if ids is None:
-                variant = place % (self.many if len(w) <= short else self.few)
-                ids = old[variant].get(w) or self.fresh(w, variant)
-                if len(w) <= longest:
-                    kept[w] = ids
-            out.append(ids)
-        if sum(map(len, new)) >= self.most:
-            self.old, self.new = new, [{} for _ in range(self.many)]
+        words = pretokens(text)
+        first = xxhash.xxh64_intdigest(str(document), self.seed)
+        keys = mixed_all(np.arange(len(words), dtype=np.uint64), 0) ^ np.uint64(first)
+        gaps = [(WIDEST - np.searchsorted(self.ascending, mixed_all(keys, d), "right")).astype(np.uint8).tolist() for d in range(2)]
+        get, out = self.new.get, []
+        for place, (w, at, then) in enumerate(zip(words, *gaps, strict=True)):
+            entry = get(w) or self.again(w)
+            if entry is None or at >= entry[0]:
+                out.append((entry or self.fresh(w, int(keys[place])))[1])
+                continue
+            code = 1 << at
+            entry = get((w, code)) or self.again((w, code))
+            if entry is None or at + 1 + then >= entry[0]:
+                out.append((entry or self.fresh(w, int(keys[place])))[1])
+                continue
+            out.append(self.further(w, int(keys[place])))
+        if len(self.new) >= self.most:
+            self.old, self.new = self.new, {}
         return b"".join(out)
 
-    def fresh(self, word: str, variant: int) -> bytes:
-        key = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), self.seed * 31 + variant)
-        return np.array(self.pieces.encode_word(word, key, self.drop), "<i4").tobytes()
+    def again(self, key: str | tuple[str, int]) -> tuple[int, bytes] | None:
+        """What was kept before the last turn."""
+        entry = self.old.get(key)
+        if entry is not None:
+            self.new[key] = entry
+        return entry
+
+    def further(self, word: str, key: int) -> bytes:
+        """The ids of a pre-token of which several candidates are skipped."""
+        code = 0
+        for at in skips(key, self.limits, most_candidates(word)):
+            name = (word, code) if code else word
+            entry = self.new.get(name) or self.again(name)
+            if entry is None:
+                break
+            if at >= entry[0]:
+                return entry[1]
+            code |= 1 << at
+        return self.fresh(word, key)[1]
+
+    def fresh(self, word: str, key: int) -> tuple[int, bytes]:
+        used = []
+        ids, number = self.pieces.encode_word(word, _noted(skips(key, self.limits, most_candidates(word)), used))
+        entry = number, array("i", ids).tobytes()
+        if len(word) <= self.longest:
+            code = sum(1 << at for at in used if at < number)
+            self.new[(word, code) if code else word] = entry
+        return entry
+
+
+def _noted(numbers: Iterator[int], used: list[int]) -> Iterator[int]:
+    for n in numbers:
+        used.append(n)
+        yield n

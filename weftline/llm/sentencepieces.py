@@ -1,11 +1,11 @@
 """SentencePiece encoding with seeded merge dropout, and lossless decoding.
 
 Encoding follows the merge agenda of the vocabulary; each candidate merge that comes up is skipped with
-probability `rate`, decided by a hash of its place under a key made of seed, variant and pre-token, where
-the variant follows from the document's id and the pre-token's place. So the outcome varies within and
-between documents and with the seed, and is the same in every run and on every executor. Decoding gives the text back, character for character.
+probability `rate`, decided by a hash of the seed, the document's id, the pre-token's place and the
+candidate's number in the agenda. So the outcome varies within and between documents and with the seed, and
+is the same in every run and on every executor. Decoding gives the text back, character for character.
 
-Defined cases: a null or empty text has no tokens; a null id has a variant of its own; repeated rows are
+Defined cases: a null or empty text has no tokens; null ids have skips of their own; repeated rows are
 encoded alike; an empty table gives an empty result; characters outside the vocabulary (and a ▁ in the
 text) become bytes; other columns are ignored.
 """
