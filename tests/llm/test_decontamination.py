@@ -50,6 +50,18 @@ def test_equals_full_alignment(items, prose):
             assert got[w] == edits
 
 
+def test_runs_of_words_are_found_at_any_offset(prose):
+    item = prose(200, 7777)
+    words, index = item.split(), Index.of([(1, item)])
+    for start in range(0, 200 - 13):
+        text = normal(f"{prose(30, start)} {' '.join(words[start : start + 13])} {prose(30, start + 500)}")
+        assert index.contained(text), start
+        assert not index.contained(normal(f"{prose(30, start)} {' '.join(words[start : start + 7])} {prose(30, start + 500)}"))
+    joined = item.replace(" ", "")
+    index = Index.of([(1, joined)])
+    assert all(index.contained(prose(9, i) + joined[i : i + 132] + prose(9, i + 1)) for i in range(0, len(joined) - 132, 7))
+
+
 def test_banded():
     assert banded("abcdef", "xxabcdefxx", 0, 1) == 0 and banded("abcdef", "xxabXdefxx", 1, 1) == 1 and banded("abcdef", "xxabdefxx", 1, 1) == 1
     assert banded("abcdef", "xxxxxx", 0, 1) is None and banded("abcdef", "bcdef", -1, 1) == 1 and banded("abc", "", 0, 1) is None

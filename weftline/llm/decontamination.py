@@ -1,14 +1,17 @@
 """Benchmark decontamination by the q-gram lemma and banded alignment.
 
 Texts and benchmark items are lower-cased, with runs of white space as one blank. Items are cut into
-windows of at most WINDOW characters that overlap by half; a text is held to contain a window if some
-passage of it lies within the window's edit budget (RATE of its length).
+windows of at most WINDOW characters that overlap by half, and from each of their words on into windows of
+WORDS words (WINDOW characters, if these are more); a text is held to contain a window if some passage of
+it lies within the window's edit budget (RATE of its length). So a verbatim passage of WORDS whole words of
+an item is found wherever it begins, as is one of WINDOW + Q characters, with or without blanks.
 
 By the q-gram lemma, a passage within e edits of a window of m characters shares at least m + 1 - q - q e
 of its q-grams, and on diagonals (place in the text minus place in the window) that differ by e at most.
 Hits are counted in bands of 2 e + 1 diagonals that overlap by half, so that some band has all hits of the
 passage; bands with too few hits are discarded, and the others verified by an alignment within the band.
-Rolling hashes of the text's q-grams meet a bitmap first, then the index of the windows.
+Rolling hashes of the text's q-grams meet a bitmap first, then the index of the items' places; the windows
+about a place follow from their beginnings and ends.
 
 The benchmark is the query set: it is held against all rows, in blocks of at most BLOCK characters, each
 of which is broadcast.
@@ -32,6 +35,7 @@ from weftline.llm.common import text_blocks
 
 Q = 12
 WINDOW = 120
+WORDS = 13
 RATE = 0.06
 #: Characters of the benchmark that are broadcast at one time, and of text that are searched at one time.
 BLOCK, SEGMENT = 8_000_000, 400_000
@@ -62,56 +66,87 @@ def gram_hashes(text: str) -> np.ndarray:
     return made ^ (made >> np.uint64(32))
 
 
+def halves(flat: str) -> list[tuple[int, int]]:
+    """(start, end) of the windows that overlap by half."""
+    last = max(0, len(flat) - WINDOW)
+    return [(i, min(len(flat), i + WINDOW)) for i in sorted({*range(0, max(1, last), WINDOW // 2), last})]
+
+
+def runs(flat: str) -> list[tuple[int, int]]:
+    """(start, end) of the windows of WORDS words from each word on, and from each Q characters on of long words."""
+    starts = [0, *(i + 1 for i, c in enumerate(flat) if c == " ")]
+    ends = [*(i - 1 for i in starts[1:]), len(flat)]
+    out = []
+    for k, (start, end) in enumerate(zip(starts, ends, strict=True)):
+        whole = ends[k + WORDS - 1] if k + WORDS <= len(ends) else len(flat) + WINDOW
+        out += [(i, min(whole, i + WINDOW)) for i in range(start, max(end, start + 1), Q) if min(whole, i + WINDOW) <= len(flat)]
+    return out
+
+
 @dataclass
 class Index:
-    """The windows, and where each distinct gram occurs in them (as one array cut by `first`)."""
+    """The windows, and where each distinct gram occurs in the items, which are put end to end (as one array cut by `first`).
+
+    kinds: for the windows of halves and of runs their numbers, starts and ends, all ascending.
+    """
 
     items: list[int]
     texts: list[str]
     numbers: np.ndarray
     budgets: np.ndarray
+    kinds: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
     grams: np.ndarray
     first: np.ndarray
-    window: np.ndarray
     place: np.ndarray
     bitmap: np.ndarray
 
     @staticmethod
     def of(benchmark: list[tuple[int, str]], rate: float = RATE) -> Index:
-        items, texts = [], []
+        items, texts, hashes, places, offset = [], [], [], [], 0
+        kinds: list[list[tuple[int, int, int]]] = [[], []]
         for item, text in benchmark:
             flat = normal(text)
             if item is None or len(flat) < Q:
                 continue
-            starts = range(0, max(1, len(flat) - WINDOW), WINDOW // 2)
-            for s in sorted({*starts, max(0, len(flat) - WINDOW)}):
-                items.append(item)
-                texts.append(flat[s : s + WINDOW])
-        hashes = [gram_hashes(t) for t in texts]
+            own = halves(flat)
+            for kind, windows in zip(kinds, (own, sorted({*runs(flat)} - {*own})), strict=True):
+                for start, end in windows:
+                    kind.append((len(items), offset + start, offset + end))
+                    items.append(item)
+                    texts.append(flat[start:end])
+            hashes.append(gram_hashes(flat))
+            places.append(np.arange(len(hashes[-1])) + offset)
+            offset += len(flat)
         gram = np.concatenate([*hashes, np.zeros(0, np.uint64)])
-        window = np.repeat(np.arange(len(texts)), [len(h) for h in hashes])
-        place = np.concatenate([*(np.arange(len(h)) for h in hashes), np.zeros(0, np.int64)]).astype(np.int64)
+        place = np.concatenate([*places, np.zeros(0, np.int64)]).astype(np.int64)
         order = np.argsort(gram, kind="stable")
         grams, first = np.unique(gram[order], return_index=True)
         bitmap = np.zeros(1 << _BITS, bool)
         bitmap[grams >> np.uint64(64 - _BITS)] = True
         lengths = np.array([len(t) for t in texts], np.int64)
-        return Index(items, texts, lengths, (lengths * rate).astype(np.int64), grams, np.append(first, len(gram)), window[order], place[order], bitmap)
+        columns = [tuple(np.array(kind, np.int64).reshape(-1, 3).T) for kind in kinds]
+        return Index(items, texts, lengths, (lengths * rate).astype(np.int64), columns, grams, np.append(first, len(gram)), place[order], bitmap)
 
-    def hits(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in the text, window, place in the window) of all shared grams."""
+    def shared(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the text, place in the items) of all shared grams."""
         hashes = gram_hashes(text)
         at = np.flatnonzero(self.bitmap[hashes >> np.uint64(64 - _BITS)])
         empty = np.zeros(0, np.int64)
         if not len(at) or not len(self.grams):
-            return empty, empty, empty
+            return empty, empty
         k = np.minimum(np.searchsorted(self.grams, hashes[at]), len(self.grams) - 1)
         same = self.grams[k] == hashes[at]
-        at, k = at[same], k[same]
-        number = self.first[k + 1] - self.first[k]
-        ends = np.cumsum(number)
-        rows = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - number, number) + np.repeat(self.first[k], number)
-        return np.repeat(at, number), self.window[rows], self.place[rows]
+        rows, repeated = _ranges(self.first[k[same]], self.first[k[same] + 1])
+        return at[same][repeated], self.place[rows]
+
+    def hits(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in the text, window, place in the window) of all grams shared with windows."""
+        at, place = self.shared(text)
+        found = []
+        for window, start, end in self.kinds:
+            rows, repeated = _ranges(np.searchsorted(end, place + Q), np.searchsorted(start, place, "right"))
+            found.append((at[repeated], window[rows], place[repeated] - start[rows]))
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
     def regions(self, text: str) -> list[tuple[int, int]]:
         """(window, first diagonal of a band) where enough grams are shared, without repeats."""
@@ -140,6 +175,14 @@ class Index:
         return out
 
 
+def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers from each low to before its high, and the places of these ranges, repeated with them."""
+    size = np.maximum(high - low, 0)
+    ends = np.cumsum(size)
+    repeated = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(repeated)) - (ends - size)[repeated] + low[repeated], repeated
+
+
 def banded(window: str, text: str, low: int, budget: int) -> int | None:
     """The least edits between the window and a passage of text on diagonals low to low + 2 budget; None beyond the budget."""
     high = low + 2 * budget
@@ -177,7 +220,7 @@ def found_in(index: Index, texts: list[str]) -> list[dict[int, int]]:
 
     def search(members: list[int]) -> None:
         joined = "\n".join(flat[m] for m in members)
-        at = index.hits(joined)[0]
+        at = index.shared(joined)[0]
         starts = np.cumsum([0, *(len(flat[m]) + 1 for m in members)])
         for k in np.unique(np.searchsorted(starts, at, "right") - 1).tolist():
             out[members[k]] = index.contained(flat[members[k]])
