@@ -1,3 +1,5 @@
+import textwrap
+
 import pytest
 
 from weftline.llm.licenses import OTHERS, TEMPLATES, UNKNOWN, _examples, FAMILIES, license_report, train, words_of
@@ -22,6 +24,29 @@ def test_templates_are_found_and_other_sentences_are_not(model):
         assert not any(sure for _, _, sure in model.scan(s)), s
 
 
+@pytest.mark.parametrize("columns", [40, 60, 72, 79])
+def test_wrapped_notices_are_found_where_they_begin(model, columns):
+    for family, templates in TEMPLATES.items():
+        for t in templates:
+            for mark in ("", "# ", " * ", "// "):
+                lines = textwrap.wrap(t, columns)
+                text = "\n".join(["int x", mark, *(mark + x for x in lines), mark, "some words behind"])
+                assert model.scan(text) == [(2, family, True)], (t, mark)
+                close = "\n".join(["some words before", *(mark + x for x in lines), "and after"])
+                assert model.scan(close) == [(1, family, True)], (t, mark)
+    for s in OTHERS:
+        assert not any(sure for _, _, sure in model.scan("\n".join(textwrap.wrap(s, columns))))
+
+
+def test_neighbouring_notices_stay_apart(model):
+    one, two = TEMPLATES["MIT"][1], TEMPLATES["LGPL"][0]
+    wrapped = [*textwrap.wrap(one, 60), *textwrap.wrap(two, 60)]
+    assert model.scan("\n".join(wrapped)) == [(0, "MIT", True), (len(textwrap.wrap(one, 60)), "LGPL", True)]
+    for f, templates in TEMPLATES.items():
+        for g, others in TEMPLATES.items():
+            assert model.scan(f"{templates[0]}\n{others[-1]}") == [(0, f, True), (1, g, True)]
+
+
 def test_a_prediction_needs_the_template(model):
     assert not any(sure for _, _, sure in model.scan("the mozilla apache gnu foundation"))
     assert model.predict([]) == (UNKNOWN, 1.0) and words_of("A-b,C") == ["a", "b", "c"]

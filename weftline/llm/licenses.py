@@ -1,12 +1,17 @@
 """Licence scans by a trained paragraph classifier.
 
-A paragraph is a line of a text. Word n-grams of one to three words feed a multinomial logistic
+A paragraph is a line of a text, or a stretch of neighbouring lines with words (marks of comments are no
+words) that holds a notice wrapped over them. Word n-grams of one to three words feed a multinomial logistic
 regression over licence families and an unknown class, trained in numpy on notices of each family under
 random changes and on sentences that only speak of licences. The regression's temperature and the least
 probability of a prediction are calibrated on notices and sentences kept out of training; below it, a
 paragraph's class is unknown. A prediction is confirmed by comparison with the family's templates: enough
 of a template's words (weighted by how few families use them) must stand together in the paragraph.
 
+Notices over several lines are sought where a template's words stand together; of notices that overlap, the
+one with more weight counts, and it must outweigh all single lines confirmed by themselves. Its line is the one where it begins, and lines of
+it count as no prediction of their own.
+
 Only n-grams of the training notices are features, and each has a word that is not in COMMON, so a
 paragraph without such words has no features and is unknown; that lets most texts pass by one set
 operation.
@@ -158,18 +163,76 @@ class Classifier:
                     return True
         return False
 
+    def matches(self, family: str, words: list[str], distinct: set[str]) -> list[tuple[float, int, int]]:
+        """(weight, first word, end) of the stretches with enough of a template's words, as `confirmed` has it."""
+        out = []
+        for template, weight in self.templates[family]:
+            need = LEAST_SHARE * sum(weight.values())
+            if sum(weight[w] for w in weight if w in distinct) < need:
+                continue
+            span = 2 * len(template)
+            places = [i for i, w in enumerate(words) if w in weight]
+            for k, i in enumerate(places):
+                seen, total, end = set(), 0.0, i
+                for j in places[k : k + span]:
+                    if j >= i + span:
+                        break
+                    if words[j] not in seen:
+                        seen.add(words[j])
+                        total, end = total + weight[words[j]], j + 1
+                if total >= need:
+                    first, t = i, template.index(words[i])
+                    while first and t and words[first - 1] == template[t - 1]:
+                        first, t = first - 1, t - 1
+                    out.append((total, first, end))
+        return out
+
     def scan(self, text: str) -> list[tuple[int, str, bool]]:
-        """(line, family, confirmed) of each line that isn't of the unknown class."""
+        """(line, family, confirmed) of each paragraph that isn't of the unknown class."""
         if self.anchors.isdisjoint(words_of(text.replace("\n", " "))):
             return []
-        out = []
+        out, block, found, anchored = [], [], [], 0
         for i, line in enumerate(text.split("\n")):
-            words = words_of(line)
+            words = [w for w in words_of(line) if w]
+            if not words:
+                out += self.joined(block, found) if anchored > 1 else found
+                block, found, anchored = [], [], 0
+                continue
+            block.append((i, words))
             if not self.anchors.isdisjoint(words):
+                anchored += 1
                 family, _ = self.predict(words)
                 if family != UNKNOWN:
-                    out.append((i, family, self.confirmed(family, words)))
-        return out
+                    found.append((i, family, self.confirmed(family, words)))
+        return out + (self.joined(block, found) if anchored > 1 else found)
+
+    def joined(self, block: list[tuple[int, list[str]]], found: list[tuple[int, str, bool]]) -> list[tuple[int, str, bool]]:
+        """What is found in single lines of a block, and the notices over several of its lines."""
+        words = [w for _, line in block for w in line]
+        lines = [i for i, line in block for _ in line]
+        distinct = set(words)
+        wrapped = [(weight, family, first, end) for family in self.templates for weight, first, end in self.matches(family, words, distinct) if lines[first] != lines[end - 1]]
+        if not wrapped:
+            return found
+        starts, at = {}, 0
+        for i, line in block:
+            starts[i] = at, at + len(line)
+            at += len(line)
+        single = []
+        for i, family, sure in found:
+            if sure:
+                first, end = starts[i]
+                own = words[first:end]
+                single.append((max(m[0] for m in self.matches(family, own, set(own))), family, first, end))
+        taken, covered, out = [False] * len(words), set(), []
+        for weight, family, first, end in sorted(wrapped, key=lambda m: (-m[0], m[3] - m[2], m[2])):
+            against = sum(w for w, _, a, b in single if a < end and first < b)
+            if weight > against and not any(taken[first:end]) and self.predict(words[first:end])[0] == family:
+                taken[first:end] = [True] * (end - first)
+                out.append((lines[first], family, True))
+                covered.update(lines[first:end])
+        out += [(lines[first], family, True) for _, family, first, end in single if not any(taken[first:end])]
+        return sorted([*out, *(f for f in found if not f[2] and f[0] not in covered)])
 
 
 def _examples(seed: int) -> tuple[list[list[str]], list[int]]:
@@ -240,7 +303,7 @@ def _row(features: dict[str, int], words: list[str]) -> np.ndarray:
 
 
 def license_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines (with other than white space), n_licenses (confirmed lines), n_unconfirmed, families (distinct, sorted) and licenses (line:family, ...)."""
+    """doc_id, n_lines (with other than white space), n_licenses (confirmed notices), n_unconfirmed, families (distinct, sorted) and licenses (first line:family, ...)."""
     model = docs.sparkSession.sparkContext.broadcast(train())
 
     def report(text: str) -> tuple:
