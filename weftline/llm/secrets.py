@@ -7,7 +7,7 @@ match; the search goes on behind it, so spans of a rule never overlap.
 
 Defined cases: a null text counts as an empty one and has no spans; repeated rows and null ids keep
 their rows; an empty table gives an empty result; other columns are ignored. Spans of different rules
-may overlap.
+may overlap. Redaction replaces a private key from its BEGIN line to its END line.
 """
 
 from __future__ import annotations
@@ -45,6 +45,11 @@ RULES = {
 LEAST = {"access": 20, "github": 34, "slack": 15}
 BASE = ["assign", "access", "hex"]
 MIN_VALUE = 6
+#: What follows the line of `private_key`: up to the END line, or without one the lines of headers and of base64.
+_KEY = re.compile(
+    r"(?:(?!-----BEGIN )[\s\S])*?-----END (?:[A-Z]+ )?PRIVATE KEY-----"
+    r"|(?:(?:\\r|\\n|\s)+(?:(?:Proc-Type|DEK-Info): ?[^\n]*|[A-Za-z0-9+/=]{16,}|[A-Za-z0-9+/=]+(?=\r?\n|\Z|\\[rn])))*"
+)
 #: What precedes the value of an assignment.
 _NAME = re.compile(rf"(?:{ASSIGNED})[\"']? *[:=] *[\"']?".encode())
 
@@ -148,6 +153,11 @@ def secret_report(docs: DataFrame) -> DataFrame:
     return map_rows(read, schema, report, ["doc_id"], names)
 
 
+def with_keys(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The spans, those of `private_key` with the key itself. The report keeps to the line, as its SQL does."""
+    return [(s, _KEY.match(text, e).end() if name == "private_key" else e, name) for s, e, name in spans]
+
+
 def redact(text: str, spans: list[tuple[int, int, str]], mark: str = "[secret]") -> str:
     """The text with each run of overlapping spans replaced by the mark."""
     out, at = [], 0
@@ -174,7 +184,7 @@ def redacted(docs: DataFrame) -> DataFrame:
                 if not any(spans):
                     yield part
                     continue
-                new = [redact(t, s) if s else t for t, s in zip(texts, spans, strict=True)]
+                new = [redact(t, with_keys(t, s)) if s else t for t, s in zip(texts, spans, strict=True)]
                 null = part.column(at).is_null()
                 columns = part.columns
                 columns[at] = pc.if_else(null, None, pa.array(new, part.schema.field(at).type))
