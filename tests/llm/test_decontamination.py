@@ -62,6 +62,24 @@ def test_runs_of_words_are_found_at_any_offset(prose):
     assert all(index.contained(prose(9, i) + joined[i : i + 132] + prose(9, i + 1)) for i in range(0, len(joined) - 132, 7))
 
 
+@pytest.mark.parametrize("length", [12, 16, 17, 20, 23, 24, 33, 34, 35, 36, 50])
+def test_short_items_are_found_within_their_budget(prose, length):
+    item = prose(30, 900 + length)[: length - 1] + "z"
+    index = Index.of([(1, item)])
+    for k in range(40):
+        text = normal(f"{prose(8, k)} {edited(item, k % 4, k)} {prose(8, k + 500)}")
+        edits = within(item, text)
+        assert index.contained(text) == ({0: edits} if edits <= int(0.06 * length) else {}), text
+        assert found_in(index, ["", text])[1] == index.contained(text)
+
+
+def test_items_shorter_than_a_gram_are_found_as_whole_words(prose):
+    index = Index.of([(1, "x = 42"), (2, "Tiny"), (3, "été 1 2 3 4"), (4, prose(40, 1)), (5, " ")])
+    found = [{index.items[w] for w in f} for f in found_in(index, ["say x =  42.", "max = 420, destiny", "TINY", "(été 1 2 3 4)", "tin y", ""])]
+    assert found == [{1}, set(), {2}, {3}, set(), set()]
+    assert found_in(Index.of([(1, "a")]), ["b", "b a"]) == [{}, {0: 0}]
+
+
 def test_banded():
     assert banded("abcdef", "xxabcdefxx", 0, 1) == 0 and banded("abcdef", "xxabXdefxx", 1, 1) == 1 and banded("abcdef", "xxabdefxx", 1, 1) == 1
     assert banded("abcdef", "xxxxxx", 0, 1) is None and banded("abcdef", "bcdef", -1, 1) == 1 and banded("abc", "", 0, 1) is None

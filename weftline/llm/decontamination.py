@@ -13,17 +13,21 @@ passage; bands with too few hits are discarded, and the others verified by an al
 Rolling hashes of the text's q-grams meet a bitmap first, then the index of the items' places; the windows
 about a place follow from their beginnings and ends.
 
+Windows for which that bound isn't positive have shorter grams, of a length for which it is; a window of less
+than Q characters (a short item) has itself as its gram, and is in a text that has it as whole words.
+
 The benchmark is the query set: it is held against all rows, in blocks of at most BLOCK characters, each
 of which is broadcast.
 
-Defined cases: a null text counts as an empty one and contains nothing; items that are null or shorter
-than q characters are never reported; repeated rows, of either side, give repeated pairs' rows for the
+Defined cases: a null text counts as an empty one and contains nothing; items that are null or blank are
+never reported; repeated rows, of either side, give repeated pairs' rows for the
 documents and one pair for equal item_ids; an empty table of either side gives an empty result; other
 columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -47,19 +51,25 @@ def normal(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
-def gram_hashes(text: str) -> np.ndarray:
-    """Of each run of Q characters; from runs of 1, 2, 4, 8 and so on."""
+def gram_length(length: int, rate: float) -> int:
+    """Q, or for windows with which it could be that no gram of Q is shared the longest one of which some must be."""
+    edits = int(length * rate)
+    return Q if length + 1 - Q - Q * edits > 0 else max(1, min(Q - 1, length // (edits + 1)))
+
+
+def gram_hashes(text: str, q: int = Q) -> np.ndarray:
+    """Of each run of q characters; from runs of 1, 2, 4, 8 and so on."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    if len(points) < Q:
+    if len(points) < q:
         return np.zeros(0, np.uint64)
     made, width, power = points.astype(np.uint64), 1, _BASE
     kept = {}
-    while width * 2 <= Q:
+    while width * 2 <= q:
         kept[width] = (made, power)
         made = made[:-width] * np.uint64(power) + made[width:]
         width, power = width * 2, power * power % (1 << 64)
     for w in sorted(kept, reverse=True):
-        if width + w <= Q:
+        if width + w <= q:
             part, p = kept[w]
             made = made[: len(points) - width - w + 1] * np.uint64(p) + part[width : width + len(points) - width - w + 1]
             width += w
@@ -87,14 +97,17 @@ def runs(flat: str) -> list[tuple[int, int]]:
 class Index:
     """The windows, and where each distinct gram occurs in the items, which are put end to end (as one array cut by `first`).
 
-    kinds: for the windows of halves and of runs their numbers, starts and ends, all ascending.
+    kinds: for the windows of halves and of runs their numbers, starts and ends, all ascending. Windows with shorter
+    grams are in `small`: the length, and grams, first, windows and places in them.
     """
 
     items: list[int]
     texts: list[str]
     numbers: np.ndarray
     budgets: np.ndarray
+    lengths: np.ndarray
     kinds: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+    small: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     grams: np.ndarray
     first: np.ndarray
     place: np.ndarray
@@ -102,42 +115,42 @@ class Index:
 
     @staticmethod
     def of(benchmark: list[tuple[int, str]], rate: float = RATE) -> Index:
-        items, texts, hashes, places, offset = [], [], [], [], 0
+        items, texts, lengths, hashes, places, offset = [], [], [], [], [], 0
         kinds: list[list[tuple[int, int, int]]] = [[], []]
         for item, text in benchmark:
             flat = normal(text)
-            if item is None or len(flat) < Q:
+            if item is None or not flat:
                 continue
             own = halves(flat)
             for kind, windows in zip(kinds, (own, sorted({*runs(flat)} - {*own})), strict=True):
                 for start, end in windows:
-                    kind.append((len(items), offset + start, offset + end))
+                    lengths.append(gram_length(end - start, rate))
+                    if lengths[-1] == Q:
+                        kind.append((len(items), offset + start, offset + end))
                     items.append(item)
                     texts.append(flat[start:end])
             hashes.append(gram_hashes(flat))
             places.append(np.arange(len(hashes[-1])) + offset)
             offset += len(flat)
-        gram = np.concatenate([*hashes, np.zeros(0, np.uint64)])
-        place = np.concatenate([*places, np.zeros(0, np.int64)]).astype(np.int64)
-        order = np.argsort(gram, kind="stable")
-        grams, first = np.unique(gram[order], return_index=True)
+        grams, first, place = _table(hashes, places)
+        small = []
+        for q in sorted({*lengths} - {Q}):
+            windows = [w for w, length in enumerate(lengths) if length == q]
+            made = [gram_hashes(texts[w], q) for w in windows]
+            of_small, first_of_small, rows = _table(made, [np.arange(len(h)) + (w << 32) for w, h in zip(windows, made, strict=True)])
+            small.append((q, of_small, first_of_small, rows >> 32, rows & 0xFFFFFFFF))
         bitmap = np.zeros(1 << _BITS, bool)
         bitmap[grams >> np.uint64(64 - _BITS)] = True
-        lengths = np.array([len(t) for t in texts], np.int64)
+        numbers = np.array([len(t) for t in texts], np.int64)
         columns = [tuple(np.array(kind, np.int64).reshape(-1, 3).T) for kind in kinds]
-        return Index(items, texts, lengths, (lengths * rate).astype(np.int64), columns, grams, np.append(first, len(gram)), place[order], bitmap)
+        return Index(items, texts, numbers, (numbers * rate).astype(np.int64), np.array(lengths, np.int64), columns, small, grams, first, place, bitmap)
 
     def shared(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(place in the text, place in the items) of all shared grams."""
         hashes = gram_hashes(text)
         at = np.flatnonzero(self.bitmap[hashes >> np.uint64(64 - _BITS)])
-        empty = np.zeros(0, np.int64)
-        if not len(at) or not len(self.grams):
-            return empty, empty
-        k = np.minimum(np.searchsorted(self.grams, hashes[at]), len(self.grams) - 1)
-        same = self.grams[k] == hashes[at]
-        rows, repeated = _ranges(self.first[k[same]], self.first[k[same] + 1])
-        return at[same][repeated], self.place[rows]
+        found, rows = _lookup(self.grams, self.first, hashes[at])
+        return at[found], self.place[rows]
 
     def hits(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place in the text, window, place in the window) of all grams shared with windows."""
@@ -146,8 +159,15 @@ class Index:
         for window, start, end in self.kinds:
             rows, repeated = _ranges(np.searchsorted(end, place + Q), np.searchsorted(start, place, "right"))
             found.append((at[repeated], window[rows], place[repeated] - start[rows]))
+        for q, grams, first, window, place in self.small:
+            at, rows = _lookup(grams, first, gram_hashes(text, q))
+            found.append((at, window[rows], place[rows]))
         return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
+    def touched(self, text: str) -> np.ndarray:
+        """The places in the text of all shared grams."""
+        return np.concatenate([self.shared(text)[0], *(_lookup(grams, first, gram_hashes(text, q))[0] for q, grams, first, _, _ in self.small)])
+
     def regions(self, text: str) -> list[tuple[int, int]]:
         """(window, first diagonal of a band) where enough grams are shared, without repeats."""
         at, window, place = self.hits(text)
@@ -160,7 +180,7 @@ class Index:
         keys = np.concatenate([window * (len(text) * 2 + 2 * shift) + band + shift, window * (len(text) * 2 + 2 * shift) + band + shift - 1])
         found, number = np.unique(keys, return_counts=True)
         w, b = found // (len(text) * 2 + 2 * shift), found % (len(text) * 2 + 2 * shift) - shift
-        least = self.numbers[w] + 1 - Q - Q * self.budgets[w]
+        least = self.numbers[w] + 1 - self.lengths[w] * (1 + self.budgets[w])
         keep = number >= np.maximum(1, least)
         return list(zip(w[keep].tolist(), (b[keep] * (self.budgets[w[keep]] + 1) - len(text)).tolist(), strict=True))
 
@@ -168,13 +188,35 @@ class Index:
         """The least edits found for each window that the text (normal, a segment) contains."""
         out: dict[int, int] = {}
         for w, low in self.regions(text):
-            if out.get(w) != 0:
+            if len(self.texts[w]) < Q:
+                if w not in out and re.search(rf"(?<!\w){re.escape(self.texts[w])}(?!\w)", text):
+                    out[w] = 0
+            elif out.get(w) != 0:
                 edits = banded(self.texts[w], text, low, int(self.budgets[w]))
                 if edits is not None:
                     out[w] = min(edits, out.get(w, edits))
         return out
 
 
+def _table(hashes: list[np.ndarray], places: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct grams, where the places of each begin (and the last end), and the places."""
+    gram = np.concatenate([*hashes, np.zeros(0, np.uint64)])
+    place = np.concatenate([*places, np.zeros(0, np.int64)]).astype(np.int64)
+    order = np.argsort(gram, kind="stable")
+    grams, first = np.unique(gram[order], return_index=True)
+    return grams, np.append(first, len(gram)), place[order]
+
+
+def _lookup(grams: np.ndarray, first: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place among the hashes, row) of all equal grams of a table."""
+    if not len(hashes) or not len(grams):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    k = np.minimum(np.searchsorted(grams, hashes), len(grams) - 1)
+    same = np.flatnonzero(grams[k] == hashes)
+    rows, repeated = _ranges(first[k[same]], first[k[same] + 1])
+    return same[repeated], rows
+
+
 def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The numbers from each low to before its high, and the places of these ranges, repeated with them."""
     size = np.maximum(high - low, 0)
@@ -220,7 +262,7 @@ def found_in(index: Index, texts: list[str]) -> list[dict[int, int]]:
 
     def search(members: list[int]) -> None:
         joined = "\n".join(flat[m] for m in members)
-        at = index.shared(joined)[0]
+        at = index.touched(joined)
         starts = np.cumsum([0, *(len(flat[m]) + 1 for m in members)])
         for k in np.unique(np.searchsorted(starts, at, "right") - 1).tolist():
             out[members[k]] = index.contained(flat[members[k]])
