@@ -25,6 +25,8 @@ _MASK = (1 << 64) - 1
 NEVER = 1 << 60
 #: Longer pre-tokens have a heap for an agenda.
 SHORT_WORD = 32
+#: Pre-tokens that are looked up together, and whose merges are made together.
+SLICE, TOGETHER = 100_000, 4096
 
 
 #: A gap of this many candidates only says that none of them is skipped. No pre-token that is kept has as many.
@@ -76,10 +78,6 @@ def most_candidates(word: str) -> int:
     return 3 * len(word)
 
 
-def unpacked(ids: bytes) -> list[int]:
-    return np.frombuffer(ids, "<i4").tolist()
-
-
 def pretokens(text: str) -> list[str]:
     if not text:
         return []
@@ -161,14 +159,16 @@ class Pieces:
         return symbols, number
 
     def by_heap(self, word: str, skipped: Iterator[int]) -> tuple[list[str], int]:
+        """The agenda's entries are whole numbers (rank, place, length), so a word of millions of characters takes some tens of bytes for each."""
         ranks, n = self.ranks, len(word)
-        agenda = [(ranks[p], i, 2) for i in range(n - 1) if (p := word[i : i + 2]) in ranks]
+        agenda = [ranks[p] << 48 | i << 8 | 2 for i in range(n - 1) if (p := word[i : i + 2]) in ranks]
         heapify(agenda)
-        size = [1] * n  # of the symbol that begins at each place; 0 if none does
-        before = list(range(-1, n - 1))
+        size = bytearray(b"\x01") * n  # of the symbol that begins at each place; 0 if none does
+        before = array("i", range(-1, n - 1))
         number, skip = 0, next(skipped, NEVER)
         while agenda:
-            _, i, length = heappop(agenda)
+            entry = heappop(agenda)
+            i, length = entry >> 8 & 0xFFFFFFFFFF, entry & 0xFF
             own = size[i]
             j = i + own
             if not own or j >= n or own + size[j] != length:
@@ -182,10 +182,10 @@ class Pieces:
             if k < n:
                 before[k] = i
                 if (r := ranks.get(word[i : k + size[k]])) is not None:
-                    heappush(agenda, (r, i, length + size[k]))
+                    heappush(agenda, r << 48 | i << 8 | length + size[k])
             h = before[i]
             if h >= 0 and (r := ranks.get(word[h:k])) is not None:
-                heappush(agenda, (r, h, k - h))
+                heappush(agenda, r << 48 | h << 8 | k - h)
         return [word[i : i + s] for i, s in enumerate(size) if s], number
 
     def encode_word(self, word: str, skipped: Iterator[int]) -> tuple[list[int], int]:
@@ -206,27 +206,145 @@ class Pieces:
         return b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
 
 
-@dataclass
+class Together:
+    """The merges of many pre-tokens at a time, one candidate of each in a step, by arrays.
+
+    Symbols are numbered: a piece by its id, other characters of pieces by numbers behind, all others by UNKNOWN. Pairs
+    of symbols that make a piece are in one sorted array.
+    """
+
+    def __init__(self, pieces: Pieces) -> None:
+        self.pieces, self.octets = pieces, len(pieces.text)
+        symbols = dict(pieces.ids)
+        for c in sorted({c for p in pieces.ids for c in p} - symbols.keys()):
+            symbols[c] = self.octets + len(symbols)
+        self.base = max([*symbols.values(), self.octets]) + 2
+        self.unknown = self.base - 1
+        self.of_point = np.full(0x110000, self.unknown, np.int32)
+        for c, k in symbols.items():
+            if len(c) == 1:
+                self.of_point[ord(c)] = k
+        pairs = {}
+        for p, rank in pieces.ranks.items():
+            for i in range(1, len(p)):
+                if p[:i] in symbols and p[i:] in symbols:
+                    pairs[symbols[p[:i]] * self.base + symbols[p[i:]]] = rank << 32 | pieces.ids[p]
+        self.pairs = np.array(sorted(pairs), np.int64)
+        self.made = np.array([pairs[k] for k in self.pairs.tolist()], np.int64)  # rank, then the piece
+
+    def candidates(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left.astype(np.int64) * self.base + right
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.made[at], NEVER)
+
+    def encode(self, words: list[str], skipped: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, their number for each word, candidates that came up for each word); skipped: (words, numbers), whether a candidate is."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(sizes, kind="stable")
+        lengths, numbers, ids = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [None] * len(words)
+        flat, where = [], np.zeros(len(words), np.int64)
+        at = 0
+        for s in range(0, len(words), TOGETHER):
+            part = order[s : s + TOGETHER]
+            own, lengths[part], numbers[part] = self._some([words[i] for i in part.tolist()], sizes[part], skipped[part])
+            where[part] = at + np.cumsum(lengths[part]) - lengths[part]
+            at += len(own)
+            flat.append(own)
+        ids = np.concatenate([np.zeros(0, np.int32), *flat])
+        ends = np.cumsum(lengths)
+        return ids[np.repeat(where - (ends - lengths), lengths) + np.arange(at)], lengths, numbers
+
+    def _some(self, words: list[str], sizes: np.ndarray, skipped: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n, wide = len(words), int(sizes.max()) + 1
+        inside = np.arange(wide) < sizes[:, None]
+        symbols = np.full((n, wide), self.unknown, np.int32)
+        symbols[inside] = self.of_point[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        plain = ~((symbols == self.unknown) & inside).any(axis=1) & np.fromiter((w != LITERAL for w in words), bool, n)
+        agenda = np.full((n, wide), NEVER, np.int64)
+        agenda[:, :-1] = self.candidates(symbols[:, :-1], symbols[:, 1:])
+        alive, number = inside.copy(), np.zeros(n, np.int64)
+        after, before = np.tile(np.arange(1, wide + 1), (n, 1)), np.tile(np.arange(-1, wide - 1), (n, 1))
+        rows = np.flatnonzero(plain)
+        while len(rows):
+            i = agenda[rows].argmin(axis=1)
+            best = agenda[rows, i]
+            there = best < NEVER
+            rows, i, best = rows[there], i[there], best[there]
+            agenda[rows, i] = NEVER
+            take = ~skipped[rows, number[rows]]
+            number[rows] += 1
+            r, i, made = rows[take], i[take], best[take].astype(np.int32)  # the lower half: the piece
+            j = after[r, i]
+            symbols[r, i], alive[r, j], agenda[r, j] = made, False, NEVER
+            k, h = after[r, j], before[r, i]
+            after[r, i] = k
+            more = k < sizes[r]
+            before[r[more], k[more]] = i[more]
+            agenda[r[more], i[more]] = self.candidates(made[more], symbols[r[more], k[more]])
+            less = h >= 0
+            agenda[r[less], h[less]] = self.candidates(symbols[r[less], h[less]], made[less])
+        odd = (symbols >= self.octets) & alive
+        if not odd.any():
+            return symbols[alive], alive.sum(axis=1), number
+        out = [symbols[k, alive[k]].tolist() for k in range(n)]
+        for k in np.flatnonzero(odd.any(axis=1)).tolist():
+            out[k], number[k] = self.pieces.encode_word(words[k], iter(np.flatnonzero(skipped[k]).tolist()))
+        return np.array([x for o in out for x in o], np.int32), np.array([len(o) for o in out]), number
+
+
+class _Roots(dict):
+    """The node of each pre-token without skips; OTHER for those too long to be kept. What isn't there yet gets the next number, and is in `fresh`."""
+
+    def __init__(self, longest: int) -> None:
+        self.longest, self.fresh, self.next = longest, [], 0
+
+    def __missing__(self, word: str) -> int:
+        if len(word) > self.longest:
+            return OTHER
+        self[word] = node = self.next
+        self.next += 1
+        self.fresh.append(word)
+        return node
+
+
+#: Of each node: its pre-token, its parent and its number there, the candidates that come up, where its children and its ids begin, the number of ids.
+NODE = ("word", "parent", "own", "number", "children_at", "ids_at", "length")
+OTHER = -1
+
+
+def _grown(values: np.ndarray, size: int) -> np.ndarray:
+    """`values` with room for `size` of them at least; what is new is OTHER."""
+    if size <= len(values):
+        return values
+    out = np.full(max(size, 2 * len(values)), OTHER, values.dtype)
+    out[: len(values)] = values
+    return out
+
+
 class Sampler:
     """Encodes with merge dropout. Each candidate's skip follows from the seed, the document, the pre-token's place and
     the candidate's number in the agenda, so no two pre-tokens share their skips.
 
-    The ids of a pre-token are kept by the numbers that were skipped, with the number of candidates that came up: skips
-    behind the last of them change nothing. Kept are those used since the last two times that `most` new ones had come
-    up; results don't depend on it.
+    Encodings that have come up are nodes of a tree: a root is a pre-token without skips, and a node's child at n is the
+    encoding in which candidate n is skipped too. A node has room for as many children as candidates that come up: skips
+    behind the last of them change nothing. All pre-tokens of a slice go down the tree together, one skip a step, until
+    their next skip is behind the last candidate; the agenda makes the nodes that aren't there yet. The tree is begun
+    anew once it has `most` nodes; results don't depend on it.
     """
 
-    pieces: Pieces
-    rate: float
-    seed: int
-    most: int = 400_000
-    longest: int = 40
-
-    def __post_init__(self) -> None:
-        self.limits = thresholds(int(self.rate * (1 << 32)))
+    def __init__(self, pieces: Pieces, rate: float, seed: int, most: int = 1_200_000, longest: int = 40) -> None:
+        self.pieces, self.rate, self.seed, self.most, self.longest = pieces, rate, seed, most, longest
+        self.limits = thresholds(int(rate * (1 << 32)))
         self.ascending = np.array(self.limits, np.uint64)
-        self.new: dict[str | tuple[str, int], tuple[int, bytes]] = {}
-        self.old: dict[str | tuple[str, int], tuple[int, bytes]] = {}
+        self.together = pieces.cache.setdefault("together", None) or Together(pieces)
+        pieces.cache["together"] = self.together
+        self.clear()
+
+    def clear(self) -> None:
+        self.roots, self.words = _Roots(self.longest), []
+        self.nodes = self.n_children = self.n_ids = 0
+        self.of_node = {name: np.full(1024, OTHER, np.int32) for name in NODE}
+        self.children, self.ids = np.full(4096, OTHER, np.int32), np.full(4096, OTHER, np.int32)
 
     @staticmethod
     def of(pieces: Pieces, rate: float, seed: int) -> Sampler:
@@ -236,62 +354,80 @@ class Sampler:
             pieces.cache[key] = Sampler(pieces, rate, seed)
         return pieces.cache[key]
 
+    def add(self, word: np.ndarray, parent: np.ndarray, own: np.ndarray) -> None:
+        """New nodes: of words by themselves (parent OTHER), or of parents whose candidate `own` is skipped too."""
+        skipped, row, up = np.zeros((len(word), most_candidates("x" * self.longest)), bool), np.arange(len(word)), parent
+        number = own
+        while len(row := row[up >= 0]):
+            number, up = number[up >= 0], up[up >= 0]
+            skipped[row, number] = True
+            number, up = self.of_node["own"][up], self.of_node["parent"][up]
+        self._store(word, parent, own, *self.together.encode([self.words[w] for w in word.tolist()], skipped))
+
+    def _store(self, word, parent, own, ids, lengths, numbers) -> None:
+        a, b = self.nodes, self.nodes + len(lengths)
+        self.of_node = {name: _grown(v, b) for name, v in self.of_node.items()}
+        places = self.n_children + np.cumsum(numbers) - numbers, self.n_ids + np.cumsum(lengths) - lengths
+        for name, values in zip(NODE, (word, parent, own, numbers, *places, lengths), strict=True):
+            self.of_node[name][a:b] = values
+        self.children = _grown(self.children, self.n_children + int(numbers.sum()))
+        self.ids = _grown(self.ids, self.n_ids + len(ids))
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.nodes, self.n_children, self.n_ids = b, self.n_children + int(numbers.sum()), self.n_ids + len(ids)
+
     def encode(self, text: str, document: int | None) -> list[int]:
-        return unpacked(self.packed(text, document))
-
-    def packed(self, text: str, document: int | None) -> bytes:
-        """The ids as little-endian 32-bit integers. Kept as bytes, ids are no work for the garbage collector."""
-        words = pretokens(text)
-        first = xxhash.xxh64_intdigest(str(document), self.seed)
-        keys = mixed_all(np.arange(len(words), dtype=np.uint64), 0) ^ np.uint64(first)
-        gaps = [(WIDEST - np.searchsorted(self.ascending, mixed_all(keys, d), "right")).astype(np.uint8).tolist() for d in range(2)]
-        get, out = self.new.get, []
-        for place, (w, at, then) in enumerate(zip(words, *gaps, strict=True)):
-            entry = get(w) or self.again(w)
-            if entry is None or at >= entry[0]:
-                out.append((entry or self.fresh(w, int(keys[place])))[1])
-                continue
-            code = 1 << at
-            entry = get((w, code)) or self.again((w, code))
-            if entry is None or at + 1 + then >= entry[0]:
-                out.append((entry or self.fresh(w, int(keys[place])))[1])
-                continue
-            out.append(self.further(w, int(keys[place])))
-        if len(self.new) >= self.most:
-            self.old, self.new = self.new, {}
-        return b"".join(out)
-
-    def again(self, key: str | tuple[str, int]) -> tuple[int, bytes] | None:
-        """What was kept before the last turn."""
-        entry = self.old.get(key)
-        if entry is not None:
-            self.new[key] = entry
-        return entry
-
-    def further(self, word: str, key: int) -> bytes:
-        """The ids of a pre-token of which several candidates are skipped."""
-        code = 0
-        for at in skips(key, self.limits, most_candidates(word)):
-            name = (word, code) if code else word
-            entry = self.new.get(name) or self.again(name)
-            if entry is None:
-                break
-            if at >= entry[0]:
-                return entry[1]
-            code |= 1 << at
-        return self.fresh(word, key)[1]
-
-    def fresh(self, word: str, key: int) -> tuple[int, bytes]:
-        used = []
-        ids, number = self.pieces.encode_word(word, _noted(skips(key, self.limits, most_candidates(word)), used))
-        entry = number, array("i", ids).tobytes()
-        if len(word) <= self.longest:
-            code = sum(1 << at for at in used if at < number)
-            self.new[(word, code) if code else word] = entry
-        return entry
-
-
-def _noted(numbers: Iterator[int], used: list[int]) -> Iterator[int]:
-    for n in numbers:
-        used.append(n)
-        yield n
+        return self.packed([text], [document])[0].tolist()
+
+    def packed(self, texts: list[str], documents: list[int | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one behind the other, and where each text's end (with a 0 before)."""
+        made, sizes = [], [0]
+        for text, document in zip(texts, documents, strict=True):
+            words = pretokens(text)
+            key = np.uint64(xxhash.xxh64_intdigest(str(document), self.seed))
+            made.append((words, mixed_all(np.arange(len(words), dtype=np.uint64), 0) ^ key))
+            sizes.append(len(words))
+        words = [w for own, _ in made for w in own]
+        keys = np.concatenate([np.zeros(0, np.uint64), *(k for _, k in made)])
+        del made
+        parts = [self._slice(words[i : i + SLICE], keys[i : i + SLICE]) for i in range(0, len(words), SLICE)]
+        ids, lengths = (np.concatenate([np.zeros(0, np.int32), *p]) for p in (zip(*parts, strict=True) if parts else ((), ())))
+        return ids, np.append(0, np.cumsum(lengths, dtype=np.int64))[np.cumsum(sizes)]
+
+    def _slice(self, words: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pre-tokens with their keys, and the number of ids of each."""
+        if self.nodes >= self.most:
+            self.clear()
+        self.roots.next, self.roots.fresh = self.nodes, []
+        node = np.fromiter(map(self.roots.__getitem__, words), np.int32, len(words))
+        if fresh := self.roots.fresh:
+            none = np.full(len(fresh), OTHER, np.int32)
+            first = len(self.words)
+            self.words += fresh
+            self.add(np.arange(first, len(self.words)), none, none)
+        of, long = self.of_node, np.flatnonzero(node == OTHER)
+        active, at, draw = np.flatnonzero(node != OTHER), np.zeros(len(words), np.int64), 0
+        while len(active):
+            at[active] += WIDEST - np.searchsorted(self.ascending, mixed_all(keys[active], draw), "right")
+            draw += 1
+            active = active[at[active] < of["number"][node[active]]]
+            slots = of["children_at"][node[active]] + at[active]
+            absent = np.flatnonzero(self.children[slots] == OTHER)
+            if len(absent):
+                absent = absent[np.unique(slots[absent], return_index=True)[1]]
+                self.children[slots[absent]] = self.nodes + np.arange(len(absent))
+                parents = node[active[absent]]
+                self.add(of["word"][parents], parents, at[active[absent]])
+                of = self.of_node
+            node[active] = self.children[slots]
+            at[active] += 1
+        whole = self.nodes, self.n_children, self.n_ids
+        for i in long.tolist():
+            ids, _ = self.pieces.encode_word(words[i], skips(int(keys[i]), self.limits, most_candidates(words[i])))
+            node[i] = self.nodes
+            self._store(OTHER, OTHER, OTHER, np.array(ids, np.int32), np.array([len(ids)]), np.array([0]))
+        lengths = self.of_node["length"][node]
+        ends = np.cumsum(lengths, dtype=np.int64)
+        total = int(ends[-1]) if len(ends) else 0
+        out = self.ids[np.repeat(self.of_node["ids_at"][node] - (ends - lengths), lengths) + np.arange(total)]
+        self.nodes, self.n_children, self.n_ids = whole
+        return out, lengths

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import text_blocks
-from weftline.llm.pieces import Pieces, Sampler, unpacked
+from weftline.llm.pieces import Pieces, Sampler
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RATE, SEED = 0.1, 42
@@ -34,7 +34,7 @@ def _mapped(docs: DataFrame, schema: str, columns, model: str, rate: float, seed
     def run(batches):
         sampler = Sampler.of(pieces.value, rate, seed)
         for batch in batches:
-            for first, texts in text_blocks(batch, block=300_000):
+            for first, texts in text_blocks(batch, block=600_000):
                 ids = batch.column(0).slice(first, len(texts))
                 made = columns(sampler, ids.to_pylist(), texts)
                 yield pa.RecordBatch.from_arrays([ids, *made.values()], names=["doc_id", *made])
@@ -46,9 +46,8 @@ def encoded(docs: DataFrame, model: str = MODEL, rate: float = RATE, seed: int =
     """doc_id, and token_ids: array<int>."""
 
     def columns(sampler, documents, texts):
-        made = [sampler.packed(t, d) for d, t in zip(documents, texts, strict=True)]
-        ends = np.cumsum([0, *(len(m) // 4 for m in made)]).astype(np.int32)
-        return {"token_ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(made), "<i4")))}
+        ids, ends = sampler.packed(texts, documents)
+        return {"token_ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))}
 
     return _mapped(docs, "token_ids array<int>", columns, model, rate, seed)
 
@@ -71,12 +70,11 @@ def encoding_report(docs: DataFrame, model: str = MODEL, rate: float = RATE, see
     """doc_id, n_tokens, ids_sha256 (of the tokens as little-endian 32-bit integers), round_trip: whether decoding gives the text."""
 
     def columns(sampler, documents, texts):
-        number, digests, equal = [], [], []
-        for d, t in zip(documents, texts, strict=True):
-            ids = sampler.packed(t, d)
-            number.append(len(ids) // 4)
-            digests.append(hashlib.sha256(ids).hexdigest())
-            equal.append(sampler.pieces.decode(unpacked(ids)) == t)
-        return {"n_tokens": pa.array(number, pa.int64()), "ids_sha256": pa.array(digests, pa.string()), "round_trip": pa.array(equal, pa.bool_())}
+        digests, equal = [], []
+        ids, ends = sampler.packed(texts, documents)
+        for t, a, b in zip(texts, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            digests.append(hashlib.sha256(ids[a:b].astype("<i4").tobytes()).hexdigest())
+            equal.append(sampler.pieces.decode(ids[a:b].tolist()) == t)
+        return {"n_tokens": pa.array(np.diff(ends), pa.int64()), "ids_sha256": pa.array(digests, pa.string()), "round_trip": pa.array(equal, pa.bool_())}
 
     return _mapped(docs, "n_tokens long, ids_sha256 string, round_trip boolean", columns, model, rate, seed)
