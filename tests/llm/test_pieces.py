@@ -7,7 +7,6 @@ import xxhash
 
 from weftline.llm.pieces import LITERAL, Pieces, Sampler, Together, mixed_all, pretokens, skips
 from weftline.llm.sentencepieces import MODEL, decoded, encoded, encoding_report
-from weftline.llm.token_counts import Trie, token_counts, unigram_scores
 
 TEXTS = ["", " ", "  ", "Hello world", " lead and trail ", "a  b   c    d", "line\nline\n\n  x\tz", "é日本語😀 ﬁ", "▁ in ▁▁ text▁", "the " * 50, "x" * 3000, "\n", "don't stop-me now 12345 3.14", " nbsp em"]
 
@@ -124,48 +123,3 @@ def test_operators(make):
     rows = encoding_report(docs).collect()
     assert all(r.round_trip for r in rows) and len({r.ids_sha256 for r in rows if r.doc_id == 3}) == 1
     assert encoding_report(make().limit(0)).collect() == []
-
-
-def plain_count(pieces, scores, text):
-    """The best segmentation of the whole text, character by character."""
-    octet = Trie({p: s for p, s in scores.items()}).octet
-    whole = "".join("\x00" if w == LITERAL else w for w in pretokens(text))
-    best = [(0, 0)] + [None] * len(whole)
-    for end in range(1, len(whole) + 1):
-        choices = []
-        for start in range(max(0, end - 16), end):
-            s = scores.get(whole[start:end])
-            if s is None and end - start == 1:
-                n = 3 if whole[start] == "\x00" else len(whole[start].encode())
-                choices.append((best[start][0] + n * octet, -(best[start][1] + n)))
-            elif s is not None:
-                choices.append((best[start][0] + s, -(best[start][1] + 1)))
-        score, tokens = max(choices)
-        best[end] = (score, -tokens)
-    return best[-1][1]
-
-
-def test_counts_equal_plain_dynamic_programming(pieces, prose, monkeypatch):
-    from weftline.llm import token_counts as module
-
-    scores = unigram_scores(pieces)
-    trie = Trie(scores)
-    for t in [*TEXTS, *(prose(60, i) for i in range(10))]:
-        assert sum(map(trie.count, pretokens(t))) == plain_count(pieces, scores, t), t
-    monkeypatch.setattr(module, "MOST_NODES", 50)
-    small = Trie(scores)
-    for t in TEXTS:
-        assert sum(map(small.count, pretokens(t))) == sum(map(trie.count, pretokens(t)))
-
-
-def test_prefixes_are_shared(pieces):
-    trie = Trie(unigram_scores(pieces))
-    for w in ("▁abcd", "▁abce", "▁abc", "▁abcd"):
-        trie.count(w)
-    assert len(trie.score) == 1 + 6
-
-
-def test_token_counts(make):
-    rows = sorted(token_counts(make((1, "Hello world"), (1, "Hello world"), (2, None), (None, ""))).collect(), key=lambda r: (r.doc_id or 0, r.n_tokens))
-    assert [(r.n_tokens > 0, r.n_pretokens, r.n_chars) for r in rows] == [(False, 0, 0), (True, 2, 11), (True, 2, 11), (False, 0, 0)]
-    assert token_counts(make().limit(0)).collect() == []

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -94,3 +95,11 @@ def map_rows(df: DataFrame, schema: str, per_text: Callable[[str], tuple], keys:
                 yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([arrow.field(n) for n in [*keys, *names]]))
 
     return df.mapInArrow(run, schema)
+
+
+def ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers from each low to before its high, and the places of these ranges, repeated with them."""
+    size = np.maximum(high - low, 0)
+    ends = np.cumsum(size)
+    repeated = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(repeated)) - (ends - size)[repeated] + low[repeated], repeated

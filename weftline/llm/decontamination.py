@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import text_blocks
+from weftline.llm.common import ranges, text_blocks
 
 Q = 12
 WINDOW = 120
@@ -157,7 +157,7 @@ class Index:
         at, place = self.shared(text)
         found = []
         for window, start, end in self.kinds:
-            rows, repeated = _ranges(np.searchsorted(end, place + Q), np.searchsorted(start, place, "right"))
+            rows, repeated = ranges(np.searchsorted(end, place + Q), np.searchsorted(start, place, "right"))
             found.append((at[repeated], window[rows], place[repeated] - start[rows]))
         for q, grams, first, window, place in self.small:
             at, rows = _lookup(grams, first, gram_hashes(text, q))
@@ -213,18 +213,10 @@ def _lookup(grams: np.ndarray, first: np.ndarray, hashes: np.ndarray) -> tuple[n
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     k = np.minimum(np.searchsorted(grams, hashes), len(grams) - 1)
     same = np.flatnonzero(grams[k] == hashes)
-    rows, repeated = _ranges(first[k[same]], first[k[same] + 1])
+    rows, repeated = ranges(first[k[same]], first[k[same] + 1])
     return same[repeated], rows
 
 
-def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers from each low to before its high, and the places of these ranges, repeated with them."""
-    size = np.maximum(high - low, 0)
-    ends = np.cumsum(size)
-    repeated = np.repeat(np.arange(len(size)), size)
-    return np.arange(len(repeated)) - (ends - size)[repeated] + low[repeated], repeated
-
-
 def banded(window: str, text: str, low: int, budget: int) -> int | None:
     """The least edits between the window and a passage of text on diagonals low to low + 2 budget; None beyond the budget."""
     high = low + 2 * budget

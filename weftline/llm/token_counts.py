@@ -1,111 +1,182 @@
 """Token counts under a unigram model, by dynamic programming over a trie of pre-tokens.
 
-The model gives the piece of rank r in the vocabulary the log-probability of Zipf's law, -log(r + 1), in
-whole millionths so that sums are exact. A pre-token's count is that of its best segmentation (of equal
-ones, that with fewer tokens). The distinct pre-tokens are inserted in a trie whose nodes hold the forward
-score and token count of the prefix they stand for; these are computed once, however many pre-tokens
-share the prefix, and a pre-token's count is that of its last node. A document's count is the sum over
-its pre-tokens.
+The model is estimated from the corpus: a piece's probability is its share in the merge encodings (without
+dropout) of all texts, one added to each number, in whole millionths of its logarithm so that sums are
+exact. A pre-token's count is that of its best segmentation (of equal ones, that with fewest tokens).
+
+The distinct pre-tokens of a block of texts that aren't known yet are inserted in a trie, a character at a
+time for all of them. Each node holds the forward score and token count of its prefix, worked out once from
+the nodes before it, however many pre-tokens share the prefix: the pieces that end at a node are found by
+walks through the pieces' own trie which its parent hands on. A pre-token's count is that of its last node,
+and is kept. A document's count is the sum over its pre-tokens. Pre-tokens of more than LONG characters go
+over their characters with the scores of the last few only, and are not kept, so that memory is bounded by
+a block of texts.
 
 Defined cases: a null or empty text has no tokens; characters outside the vocabulary count as their
-bytes; repeated rows and null ids keep their rows; an empty table gives an empty result; other columns
-are ignored.
+bytes; repeated rows and null ids keep their rows; an empty table gives an empty result (and every piece
+the same probability); other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import map_rows
-from weftline.llm.pieces import LITERAL, Pieces, pretokens
+from weftline.llm.common import ranges, text_blocks
+from weftline.llm.pieces import LITERAL, Pieces, Sampler, pretokens
 from weftline.llm.sentencepieces import MODEL
 
-#: A trie of more nodes is begun anew; results don't depend on it.
-MOST_NODES = 600_000
-
-
-def unigram_scores(pieces: Pieces) -> dict[str, int]:
-    order = sorted(pieces.ids, key=pieces.ids.__getitem__)
-    return {p: -round(1e6 * math.log(r + 2)) for r, p in enumerate(order)}
-
-
-@dataclass
-class Trie:
-    """Nodes by number: children, score and tokens of the prefix. Node 0 is the empty prefix."""
-
-    scores: dict[str, int]
-
-    def __post_init__(self) -> None:
-        self.octet = -round(1e6 * math.log(len(self.scores) + 2))
+#: Pre-tokens whose counts are kept; with more, they are begun anew. Results don't depend on it.
+MOST_KNOWN = 1_000_000
+LONG = 64
+#: A score and the tokens that it took are one number, score * PACK - tokens, so that the largest has most score, then fewest tokens.
+PACK = 1024
+NONE = -(1 << 60)
+
+
+def piece_counts(docs: DataFrame, model: str = MODEL) -> np.ndarray:
+    """How often each piece is in the merge encodings of all texts. A row for each piece comes to the driver."""
+    pieces = docs.sparkSession.sparkContext.broadcast(Pieces.load(model))
+
+    def run(batches):
+        sampler = Sampler.of(pieces.value, 0.0, 0)
+        total = np.zeros(len(sampler.pieces.text), np.int64)
+        for batch in batches:
+            for _, texts in text_blocks(batch, block=600_000):
+                total += np.bincount(sampler.packed(texts, [0] * len(texts))[0], minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["piece", "n"])
+
+    read = docs.select(F.col("text").cast("string").alias("text"))
+    found = read.mapInArrow(run, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(len(pieces.value.text), np.int64)
+    for r in found:
+        out[r["piece"]] = r["n"]
+    return out
+
+
+def unigram_scores(pieces: Pieces, counts: np.ndarray) -> tuple[dict[str, int], int]:
+    """(log-probabilities of the pieces, that of a byte) in millionths; counts: by id."""
+    total = int(counts.sum()) + len(counts)
+    score = lambda n: round(1e6 * (math.log(n + 1) - math.log(total)))
+    octets = counts[pieces.octets : pieces.octets + 256]
+    return {p: score(int(counts[i])) for p, i in pieces.ids.items()}, score(float(octets.mean()))
+
+
+class Unigrams:
+    """Counts of pre-tokens under the scores of pieces. The pieces' own trie is an array of transitions by state and character."""
+
+    def __init__(self, scores: dict[str, int], octet: int) -> None:
+        self.scores, self.octet, self.longest = scores, octet, max(map(len, scores))
+        states, steps = {"": 0}, {0: NONE}
+        for p in sorted(scores):
+            for i in range(1, len(p) + 1):
+                if p[:i] not in states:
+                    states[p[:i]] = len(states)
+                    steps[states[p[:i]]] = NONE
+            steps[states[p]] = scores[p] * PACK - 1
+        pairs = sorted((states[p[:-1]] << 21 | ord(p[-1]), k) for p, k in states.items() if p)
+        self.keys, self.to = np.array([k for k, _ in pairs], np.int64), np.array([s for _, s in pairs], np.int64)
+        self.step = np.array([steps[k] for k in range(len(states))], np.int64)
         ends: dict[str, set[int]] = {}
-        for p in self.scores:
+        for p in scores:
             ends.setdefault(p[-2:], set()).add(len(p))
         self.lengths = {e: sorted(n for n in found if n > 1) for e, found in ends.items()}
-        self.clear()
-
-    def clear(self) -> None:
-        self.children: list[dict[str, int]] = [{}]
-        self.score, self.tokens = [0], [0]
-        self.counts: dict[str, int] = {LITERAL: 3}
-
-    def count(self, word: str) -> int:
-        known = self.counts.get(word)
-        return self.insert(word) if known is None else known
-
-    def insert(self, word: str) -> int:
-        if len(self.score) > MOST_NODES:
-            self.clear()
-        path, node = [0], 0
-        for i, c in enumerate(word):
-            after = self.children[node].get(c)
-            if after is None:
-                after = len(self.score)
-                self.children[node][c] = after
-                self.children.append({})
-                self.forward(word, i + 1, path)
-            node = after
-            path.append(node)
-        self.counts[word] = self.tokens[node]
-        return self.tokens[node]
-
-    def forward(self, word: str, end: int, path: list[int]) -> None:
-        """The best way to the prefix word[:end], over the pieces that end there; path: the nodes of shorter prefixes."""
-        score, tokens, scores = self.score, self.tokens, self.scores
-        last = word[end - 1]
-        own, n = scores.get(last), 1
-        if own is None:
-            n = len(last.encode("utf-8", "surrogatepass"))
-            own = n * self.octet
-        at = path[end - 1]
-        best, fewest = score[at] + own, tokens[at] + n
-        for length in self.lengths.get(word[max(0, end - 2) : end], ()):
-            if length > end:
-                break
-            own = scores.get(word[end - length : end])
-            if own is not None:
-                at = path[end - length]
-                value, number = score[at] + own, tokens[at] + 1
-                if value > best or value == best and number < fewest:
-                    best, fewest = value, number
-        score.append(best)
-        tokens.append(fewest)
+        self.known: dict[str, int] = {}
+
+    def goto(self, state: np.ndarray, point: np.ndarray) -> np.ndarray:
+        """The states behind a character; -1 if no piece goes on so."""
+        key = state << 21 | point
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.to[at], -1)
+
+    def insert(self, words: list[str]) -> tuple[np.ndarray, int]:
+        """(tokens of each word, nodes of the trie without its root); words are distinct, of LONG characters at most."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(-sizes, kind="stable")
+        sizes = sizes[order]
+        wide = int(sizes[0]) if len(sizes) else 0
+        points = np.zeros((len(words), wide), np.int64)
+        points[np.arange(wide) < sizes[:, None]] = np.frombuffer("".join(words[i] for i in order.tolist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+        best = np.zeros(int(sizes.sum()) + 1, np.int64)  # of each node: score * PACK - tokens
+        node, nodes, base = np.zeros(len(words), np.int64), 1, 0
+        # walks through the pieces' trie: of each node of the last level where they are, the node each began at, and its state
+        first, begun, state = np.zeros(2, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for depth in range(wide):
+            n = int(np.searchsorted(-sizes, -depth))  # longer than `depth`
+            keys, inverse = np.unique(node[:n] << 21 | points[:n, depth], return_inverse=True)
+            parent, point = keys >> 21, keys & 0x1FFFFF
+            rows, owner = ranges(first[parent - base], first[parent - base + 1])
+            owner, begun, state = np.append(owner, np.arange(len(keys))), np.append(begun[rows], parent), np.append(state[rows], np.zeros(len(keys), np.int64))
+            state = self.goto(state, point[owner])
+            lone = np.zeros(len(keys), np.int64) + NONE
+            own = state[len(rows) :]
+            lone[own >= 0] = self.step[own[own >= 0]]
+            alive = np.flatnonzero(state >= 0)
+            alive = alive[np.argsort(owner[alive], kind="stable")]
+            owner, begun, state = owner[alive], begun[alive], state[alive]
+            octets = 1 + (point >= 0x80) + (point >= 0x800) + (point >= 0x10000)
+            value = np.where(lone == NONE, best[parent] + octets * (self.octet * PACK - 1), NONE)
+            np.maximum.at(value, owner, np.where(self.step[state] == NONE, NONE, best[begun] + self.step[state]))
+            best[nodes : nodes + len(keys)] = value
+            node[:n] = nodes + inverse
+            first = np.searchsorted(owner, np.arange(len(keys) + 1))
+            base, nodes = nodes, nodes + len(keys)
+        out = np.zeros(len(words), np.int64)
+        out[order] = -best[node] % PACK
+        return out, nodes - 1
+
+    def plain(self, word: str) -> int:
+        """The tokens of a long word: the same forward scores, of which only the last few are kept."""
+        pack, scores = 1 << 40, self.scores
+        last = [0] * (self.longest + 1)  # by end, modulo their number
+        for end in range(1, len(word) + 1):
+            c = word[end - 1]
+            own = scores.get(c)
+            step = own * pack - 1 if own is not None else len(c.encode("utf-8", "surrogatepass")) * (self.octet * pack - 1)
+            best = last[(end - 1) % len(last)] + step
+            for length in self.lengths.get(word[max(0, end - 2) : end], ()):
+                if length > end:
+                    break
+                own = scores.get(word[end - length : end])
+                if own is not None:
+                    best = max(best, last[(end - length) % len(last)] + own * pack - 1)
+            last[end % len(last)] = best
+        return -last[len(word) % len(last)] % pack
+
+    def counts(self, texts: list[list[str]]) -> list[int]:
+        """The tokens of texts, given as their pre-tokens."""
+        if len(self.known) > MOST_KNOWN:
+            self.known = {}
+        if LITERAL not in self.known:
+            self.known[LITERAL] = -(3 * (self.octet * PACK - 1)) % PACK
+        fresh = {w for words in texts for w in set(words)} - self.known.keys()
+        long = [w for w in fresh if len(w) > LONG]
+        short = [w for w in fresh if len(w) <= LONG]
+        self.known.update(zip(short, self.insert(short)[0].tolist(), strict=True))
+        self.known.update((w, self.plain(w)) for w in long)
+        out = [sum(map(self.known.__getitem__, words)) for words in texts]
+        for w in long:
+            del self.known[w]
+        return out
 
 
 def token_counts(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, n_tokens, n_pretokens, n_chars (of the text), for each document."""
-    scores = docs.sparkSession.sparkContext.broadcast(unigram_scores(Pieces.load(model)))
-    made: list[Trie] = []
+    unigrams = docs.sparkSession.sparkContext.broadcast(Unigrams(*unigram_scores(Pieces.load(model), piece_counts(docs, model))))
+    names = ["doc_id", "n_tokens", "n_pretokens", "n_chars"]
 
-    def counts(text: str) -> tuple[int, int, int]:
-        if not made:
-            made.append(Trie(scores.value))
-        words = pretokens(text)
-        return sum(map(made[0].count, words)), len(words), len(text)
+    def run(batches):
+        for batch in batches:
+            for first, texts in text_blocks(batch, block=600_000):
+                words = [pretokens(t) for t in texts]
+                columns = unigrams.value.counts(words), [len(w) for w in words], [len(t) for t in texts]
+                ids = batch.column(0).slice(first, len(texts))
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in columns)], names=names)
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    names = ["n_tokens", "n_pretokens", "n_chars"]
-    return map_rows(read, "doc_id long, " + ", ".join(f"{n} long" for n in names), counts, ["doc_id"], names)
+    return read.mapInArrow(run, ", ".join(f"{n} long" for n in names))
