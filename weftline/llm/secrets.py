@@ -116,7 +116,8 @@ class Scanner:
                 found += [(s, k, e, name) for s, e in self.places(k, data) if _long_enough(name, data[s:e])]
         found.sort()
         if found and len(data) != len(text):
-            found = [(s - _trailing(data, s), k, e - _trailing(data, e), name) for s, k, e, name in found]
+            at = _code_points(data, sorted({p for s, _, e, _ in found for p in (s, e)}))
+            found = [(at[s], k, at[e], name) for s, k, e, name in found]
         return [(s, e, name) for s, k, e, name in found]
 
 
@@ -126,9 +127,14 @@ def _long_enough(name: str, match: bytes) -> bool:
     return len(match) >= LEAST.get(name, 0)
 
 
-def _trailing(data: bytes, end: int) -> int:
-    """Bytes before `end` that continue a character."""
-    return len(data[:end]) - len(data[:end].decode("utf-8", "surrogatepass"))
+def _code_points(data: bytes, places: list[int]) -> dict[int, int]:
+    """The code points before each of the ascending places: every byte is read once, whatever their number."""
+    out, before, last = {}, 0, 0
+    for p in places:
+        before += len(data[last:p].decode("utf-8", "surrogatepass"))
+        out[p] = before
+        last = p
+    return out
 
 
 def _written(spans: list[tuple[int, int, str]]) -> str:
