@@ -51,6 +51,24 @@ def test_added_spans_need_checksums_and_context(make):
     assert ("iban", 100) in spans[0] and ("iban", 70) in spans[2]
 
 
+def test_words_of_context_are_whole_and_on_either_side(make):
+    texts = ["recipe 10.0.0.1 shipped", "the ip 10.0.0.1", "10.0.0.1 is the host.", "hotel +49 30 1234567", "078-05-1120 (SSN)", f"ssn {'x' * 60} 078-05-1120", f"ssn{'x' * 50}078-05-1120", "sssn 078-05-1120"]
+    spans = {r.doc_id: [(s.kind, s.score) for s in r.spans if s.kind != "card"] for r in pii_spans(make(*texts)).collect()}
+    assert [spans[i] for i in range(8)] == [[("ip", 60)], [("ip", 90)], [("ip", 90)], [("phone", 60)], [("ssn", 70)], [], [], []]
+
+
+def test_ibans_have_their_countrys_length(make):
+    texts = ["BE68 5390 0754 7034 PAID TODAY", "pay BE68539007547034 now", "BE 68539007547034", "BE6853 9007547034", "iban BE6853 9007547034", "ZZ68539007547034", "NO93 8601 1117 947 OK"]
+    got = {r.doc_id: [x for x in r.spans.split(",") if x.startswith("iban")] for r in pii_report(make(*texts)).collect()}
+    assert [got[i] for i in range(7)] == [["iban:0:19"], ["iban:4:20"], [], [], ["iban:5:22"], [], ["iban:0:18"]]
+
+
+def test_many_matches_in_one_text(make):
+    """Time grows with the length, not with the square of the matches: 400,000 of them take seconds."""
+    row = pii_report(make("1234 a@b.c; " * 400_000)).collect()[0]
+    assert row.n_email == 400_000 and row.spans.endswith(f"email:{399_999 * 12 + 5}:{399_999 * 12 + 10}")
+
+
 def test_native_plan_and_odd_rows(make):
     df = pii_report(make((1, "a@b.c"), (1, "a@b.c"), (None, "x")))
     assert "Python" not in df._jdf.queryExecution().toString() and "Arrow" not in df._jdf.queryExecution().toString()

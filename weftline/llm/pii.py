@@ -1,13 +1,15 @@
 """Personal data, by DataFrame functions only.
 
 For each kind a regular expression proposes spans; checksums and number ranges confirm them; words of
-context just before a span raise its score. The spans of the kinds in BASE always stay once confirmed;
-those of the kinds that the method adds (IBAN by mod 97, US social security numbers by range) need a
-score of at least `threshold`.
+context on either side of a span (whole words, at most CONTEXT characters away, no other match between)
+raise its score. The spans of the kinds in BASE always stay once confirmed; those of the kinds that the
+method adds need a score of at least THRESHOLD: IBANs (of their country's length, by mod 97) have it unless
+their blanks are unusual, when they need a word of context, as US social security numbers (by range) always do.
 
 Spark gives the matches of a pattern but not their places. They follow from the gaps between matches:
 split() with the same pattern yields one more gap than there are matches, and the lengths of gaps and
-matches add up to the places, counted in code points.
+matches add up to the places, counted in code points. The sums are taken in slices of SLICE matches and
+then over the slices, as a fold copies what it has gathered at every step.
 
 The patterns use possessive repeats and look at the character before, so that a very long run of
 digits or letters costs one pass instead of one for each of its characters, and no stack. They match
@@ -27,33 +29,42 @@ BASE = ["email", "ip", "card", "phone"]
 ADDED = ["iban", "ssn"]
 KINDS = BASE + ADDED
 CONTEXT = 50
+SLICE = 512
 
+# The length of IBANs by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 # What each kind matches, in the plain form that any engine reads.
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
     "card": r"[0-9](?:[ -]?[0-9])+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
+    "iban": "(?:" + "|".join(f"(?:{'|'.join(c.split())})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items()) + ")",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
 }
 OCTET = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 WORDS = {
-    "email": "mail|contact|kontakt|correo|courriel",
+    "email": "mail|email|e-mail|contact|kontakt|correo|courriel",
     "ip": "ip|host|server|address|adresse",
-    "card": "card|visa|karte|carte|tarjeta",
-    "phone": "phone|tel|call|fax|mobil",
+    "card": "card|visa|kreditkarte|karte|carte|tarjeta",
+    "phone": "phone|telephone|telefon|téléphone|teléfono|tel|call|fax|mobile|mobil",
     "iban": "iban|bank|account|konto|compte|cuenta",
     "ssn": "ssn|social security|sozialversicherung|seguridad social|sécurité sociale",
 }
-#: Percent for a confirmed span, and for a word of context.
+_EDGE = "[^a-zà-ÿ]"
+#: Percent for a confirmed span, and for a word of context; less for an IBAN that is written in neither of the usual ways.
 SCORES = {"email": (80, 20), "ip": (60, 30), "card": (80, 20), "phone": (60, 30), "iban": (70, 30), "ssn": (30, 40)}
-THRESHOLD = 70
+THRESHOLD, UNUSUAL = 70, 30
+USUAL_IBAN = "^(?:[A-Z0-9]+|(?:[A-Z0-9]{4} )+[A-Z0-9]{1,4})$"
 
 _FAST = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[ -]?[0-9])++",
+    "iban": f"(?=[A-Z]{{2}}[0-9]{{2}}){PLAIN['iban']}",
 }
 _MARK = {"email": "@", "phone": "+"}
 
@@ -89,30 +100,56 @@ def confirmed(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _before(sizes: Column) -> Column:
+    """Of each element the sum of those before it. `sizes` is read for each slice, so it has to be a variable."""
+    none = F.array().cast("array<int>")
+    start = F.struct(F.lit(0).alias("sum"), none.alias("before"))
+    fold = lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.concat(a["before"], F.array(a["sum"])).alias("before"))
+    last = F.greatest(F.lit(0), F.floor((F.size(sizes) - 1) / SLICE).cast("int"))
+    slices = F.transform(F.sequence(F.lit(0), last), lambda k: F.aggregate(F.slice(sizes, k * SLICE + 1, F.lit(SLICE)), start, fold))
+    firsts = lambda made: F.aggregate(F.transform(made, lambda x: x["sum"]), start, fold, lambda a: a["before"])
+    return _let(slices, lambda made: F.flatten(F.zip_with(made, firsts(made), lambda x, first: F.transform(x["before"], lambda b: b + first))))
+
+
+def _score(kind: str, match: Column, before: Column, after: Column) -> Column:
+    """before, after: the lower-cased context, with a blank at its edges that are no cut."""
+    sure, more = SCORES[kind]
+    words = f"{_EDGE}(?:{WORDS[kind]}){_EDGE}"
+    score = F.lit(sure) + F.when(before.rlike(words) | after.rlike(words), more).otherwise(0)
+    return score - F.when(match.rlike(USUAL_IBAN), 0).otherwise(UNUSUAL) if kind == "iban" else score
+
+
 def kind_spans(text: Column, kind: str) -> Column:
     """array<struct<start, end, ord, kind, score>> of the confirmed spans of one kind, in order."""
     pattern = _FAST.get(kind, PLAIN[kind])
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.struct(F.length(g).alias("n"), F.lower(F.right(g, F.lit(CONTEXT))).alias("before")))
-    found = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.struct(g["n"].alias("n"), g["before"].alias("before"), m.alias("match")))
-    none = F.array().cast("array<int>")
-    starts = F.aggregate(
-        found,
-        F.struct(F.lit(0).alias("at"), none.alias("starts")),
-        lambda a, x: F.struct((a["at"] + x["n"] + F.length(x["match"])).alias("at"), F.concat(a["starts"], F.array(a["at"] + x["n"])).alias("starts")),
-        lambda a: a["starts"],
-    )
-    sure, more = SCORES[kind]
-    span = lambda x, s: F.struct(
-        s.alias("start"), (s + F.length(x["match"])).alias("end"), F.lit(KINDS.index(kind)).alias("ord"), F.lit(kind).alias("kind"),
-        (F.lit(sure) + F.when(x["before"].rlike(WORDS[kind]), more).otherwise(0)).alias("score"), x["match"].alias("match"),
-    )
-    spans = F.filter(F.zip_with(found, starts, span), lambda x: confirmed(kind, x["match"]) & ((x["score"] >= THRESHOLD) | F.lit(kind in BASE)))
-    spans = F.transform(spans, lambda x: F.struct(*(x[c].alias(c) for c in ("start", "end", "ord", "kind", "score"))))
+    blank = F.lit(" ")
+    parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("matches"), F.split(text, pattern, -1).alias("gaps"))
+
+    def spans(p: Column) -> Column:
+        gap = lambda g: F.struct(
+            F.length(g).alias("n"), F.lower(F.concat(F.right(F.concat(blank, g), F.lit(CONTEXT + 1)), blank)).alias("before"),
+            F.lower(F.concat(blank, F.left(F.concat(g, blank), F.lit(CONTEXT + 1)))).alias("after"),
+        )
+        sizes = F.zip_with(F.slice(p["gaps"], F.lit(1), F.size(p["matches"])), p["matches"], lambda g, m: F.length(g) + F.length(m))
+        found = F.zip_with(p["matches"], _let(sizes, _before), lambda m, at: F.struct(m.alias("match"), at.alias("at")))
+        sides = lambda gaps: F.zip_with(F.slice(gaps, F.lit(1), F.size(p["matches"])), F.slice(gaps, F.lit(2), F.size(p["matches"])), lambda a, b: F.struct(a["n"].alias("n"), a["before"].alias("before"), b["after"].alias("after")))
+        each = F.zip_with(found, _let(F.transform(p["gaps"], gap), sides), lambda x, g: F.struct(x["match"].alias("match"), (x["at"] + g["n"]).alias("start"), g["before"].alias("before"), g["after"].alias("after")))
+        sure = F.filter(each, lambda x: confirmed(kind, x["match"]))
+        span = lambda x: F.struct(
+            x["start"].alias("start"), (x["start"] + F.length(x["match"])).alias("end"), F.lit(KINDS.index(kind)).alias("ord"), F.lit(kind).alias("kind"),
+            _score(kind, x["match"], x["before"], x["after"]).alias("score"),
+        )
+        return F.filter(F.transform(sure, span), lambda x: (x["score"] >= THRESHOLD) | F.lit(kind in BASE))
+
     there = text.rlike(pattern)
     if kind in _MARK:
         there = F.contains(text, F.lit(_MARK[kind])) & there
-    return F.when(there, spans).otherwise(F.array().cast("array<struct<start:int,end:int,ord:int,kind:string,score:int>>"))
+    return F.when(there, _let(parts, spans)).otherwise(F.array().cast("array<struct<start:int,end:int,ord:int,kind:string,score:int>>"))
 
 
 def pii_spans(docs: DataFrame) -> DataFrame:
@@ -150,11 +187,13 @@ def pii_sql() -> str:
     for k in KINDS:
         sure, more = SCORES[k]
         keep = "true" if k in BASE else f"score >= {THRESHOLD}"
+        words = f"{_EDGE}(?:{WORDS[k]}){_EDGE}"
+        unusual = f" - case when regexp_matches(m, '{USUAL_IBAN}') then 0 else {UNUSUAL} end" if k == "iban" else ""
         parts.append(f"""
   select doc_id, '{k}' as kind, {KINDS.index(k)} as ord, s as start, s + length(m) as "end", score from (
     select doc_id, m, regexp_replace(m, '[^0-9]', '', 'g') as d, replace(m, ' ', '') as c,
            list_sum(list_transform(gaps[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[:i - 1], lambda x: length(x))), 0) as s,
-           {sure} + case when regexp_matches(lower(right(gaps[i], {CONTEXT})), '{WORDS[k]}') then {more} else 0 end as score
+           {sure} + case when regexp_matches(lower(right(' ' || gaps[i], {CONTEXT + 1}) || ' '), '{words}') or regexp_matches(lower(' ' || left(gaps[i + 1] || ' ', {CONTEXT + 1})), '{words}') then {more} else 0 end{unusual} as score
     from (select doc_id, ms, gaps, unnest(range(1, len(ms) + 1)) as i, unnest(ms) as m from (
             select doc_id, regexp_extract_all(text, '{PLAIN[k]}') as ms, string_split_regex(text, '{PLAIN[k]}') as gaps from documents
             where regexp_matches(text, '{PLAIN[k]}'))))
