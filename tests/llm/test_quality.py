@@ -1,9 +1,10 @@
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from weftline.llm.quality import Limits, counts, host_quality
+from weftline.llm.quality import RULES, Limits, beta_priors, counts, host_quality
 
 BLANK = "\x20\x09-\x0d"
 
@@ -56,3 +57,21 @@ def test_many_hosts_join_without_broadcast(make, prose, monkeypatch):
     before = sorted(map(tuple, host_quality(docs).collect()))
     monkeypatch.setattr(quality, "MOST_BROADCAST", 0)
     assert sorted(map(tuple, host_quality(docs, limits=Limits()).collect())) == before
+
+
+def test_prior_is_that_of_the_hosts(spark):
+    """Hosts of one true rate give a strong prior however few documents each has, hosts of many rates their own."""
+    r = np.random.RandomState(5)
+    for docs, a, b in ((3, None, None), (20, None, None), (3, 2.0, 6.0), (5, 1.0, 3.0), (200, 4.0, 16.0)):
+        rates = np.full(4000, 0.3) if a is None else r.beta(a, b, 4000)
+        rows = [(docs, *(int(r.binomial(docs, p)) for _ in RULES)) for p in rates]
+        hosts = spark.createDataFrame(rows, ", ".join(f"host_{c} long" for c in ["docs", *RULES]))
+        priors, number = beta_priors(hosts, Limits())
+        assert number == 4000
+        for first, strength in priors.values():
+            if a is None:
+                assert strength > 25 and abs(first / strength - 0.3) < 0.02
+            else:
+                assert 0.75 * (a + b) < strength < 1.35 * (a + b) and abs(first / strength - a / (a + b)) < 0.03
+    single = spark.createDataFrame([(1, 1, 0, 1, 0)], ", ".join(f"host_{c} long" for c in ["docs", *RULES]))
+    assert {s for _, s in beta_priors(single, Limits())[0].values()} == {Limits().max_strength}

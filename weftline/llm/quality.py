@@ -39,7 +39,7 @@ class Limits:
     max_symbol_pct: int = 10
     max_dup_line_pct: int = 30
     max_host_rate: float = 0.5
-    min_strength: float = 10.0  # so that a few documents never outweigh the corpus
+    min_strength: float = 2.0  # so that one document never outweighs the corpus
     max_strength: float = 1000.0
 
 
@@ -102,22 +102,27 @@ def failures(limits: Limits) -> dict[str, Column]:
 
 
 def beta_priors(hosts: DataFrame, limits: Limits) -> tuple[dict[str, tuple[float, float]], int]:
-    """Of each rule (a, strength) of the beta prior that fits the hosts' rates by their mean and variance; and the number of hosts.
+    """Of each rule (a, strength) of the beta prior by the moments of the beta-binomial; and the number of hosts.
 
-    One row of sums comes to the driver, whatever the number of hosts.
+    Hosts' rates differ by the binomial noise of their documents and by what the hosts themselves differ. Of the sum of
+    squares n (rate - mean) ** 2, noise alone is expected to give mean (1 - mean) for each host but one, and the hosts'
+    own correlation 1 / (strength + 1) the rest. One row of sums comes to the driver, whatever the number of hosts.
     """
     n = F.col("host_docs")
-    sums = [F.sum(n).alias("n"), F.count(n).alias("hosts")]
+    sums = [F.sum(n).alias("n"), F.sum((n * n).cast("double")).alias("nn"), F.count(n).alias("hosts")]
     for rule in RULES:
         f = F.col(f"host_{rule}")
         sums += [F.sum(f).alias(f"{rule}_f"), F.sum(f * f / n).alias(f"{rule}_ff")]
     row = hosts.agg(*sums).first()
     priors = {}
     for rule in RULES:
-        total = row["n"] or 0
+        total, free = row["n"] or 0, row["hosts"] - 1
         mean = row[f"{rule}_f"] / total if total else 0.0
-        spread = row[f"{rule}_ff"] / total - mean * mean if total else 0.0
-        strength = mean * (1 - mean) / spread - 1 if spread > 1e-12 else limits.max_strength
+        strength = limits.max_strength
+        if 0 < mean < 1 and total - row["nn"] / total - free > 1e-9:
+            squares = row[f"{rule}_ff"] - mean * mean * total
+            correlation = (squares / (mean * (1 - mean)) - free) / (total - row["nn"] / total - free)
+            strength = 1 / correlation - 1 if correlation > 1e-9 else limits.max_strength
         strength = min(limits.max_strength, max(limits.min_strength, strength))
         priors[rule] = (mean * strength, strength)
     return priors, row["hosts"]

@@ -9,10 +9,10 @@ def quality_sql(limits: Limits = Limits()) -> str:
     blank = r"[\x20\x09-\x0D]"
     fits = []
     for r in RULES:
-        mean = f"(sum(host_{r}) / sum(host_docs))"
-        spread = f"(sum(host_{r} * host_{r} / host_docs) / sum(host_docs) - {mean} * {mean})"
-        strength = f"least({limits.max_strength}, greatest({limits.min_strength}, case when {spread} > 1e-12 then {mean} * (1 - {mean}) / {spread} - 1 else {limits.max_strength} end))"
-        fits.append(f"{mean} as mean_{r}, {strength} as strength_{r}")
+        mean, free, rest = f"(sum(host_{r}) / sum(host_docs))", "(count(*) - 1)", "(sum(host_docs) - sum((host_docs * host_docs)::double) / sum(host_docs) - (count(*) - 1))"
+        correlation = f"(((sum(host_{r} * host_{r} / host_docs) - {mean} * {mean} * sum(host_docs)) / ({mean} * (1 - {mean})) - {free}) / {rest})"
+        strength = f"case when {mean} > 0 and {mean} < 1 and {rest} > 1e-9 then case when {correlation} > 1e-9 then 1 / {correlation} - 1 else {limits.max_strength} end else {limits.max_strength} end"
+        fits.append(f"{mean} as mean_{r}, least({limits.max_strength}, greatest({limits.min_strength}, {strength})) as strength_{r}")
     over = " or ".join(f"(host_{r} + mean_{r} * strength_{r}) / (host_docs + strength_{r}) > {limits.max_host_rate}" for r in RULES)
     return rf"""with split as (
   select doc_id, source as host, coalesce(text, '') as text,
