@@ -1,12 +1,14 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
 from weftline.llm import simhash
+from weftline.llm.common import save
 from weftline.llm.components import components
-from weftline.llm.simhash import block_links, fingerprint, near_duplicates, one_of_each, pivots
+from weftline.llm.simhash import TABLE, block_links, distance_table, fingerprint, near_duplicates, one_of_each, packed_table, pivots
 
 
 def plain_print(text):
@@ -67,12 +69,17 @@ def test_components_of_texts(make, prose):
     assert got == expected
 
 
-@pytest.mark.parametrize("chunk", [4096, 2])
+def nodes_of(spark, prints):
+    """Nodes of fingerprints (unsigned), named by themselves."""
+    signed = np.array(prints, np.uint64).view(np.int64)
+    columns = [signed, signed, *packed_table(signed)]
+    return spark.createDataFrame(pd.DataFrame(dict(zip(["least", "fp", *TABLE], columns, strict=True))))
+
+
+@pytest.mark.parametrize("chunk", [4096, 150, 2])
 def test_links_of_dense_clusters(spark, monkeypatch, chunk):
-    """Many distinct fingerprints close to each other, also with hot blocks dealt into chunks."""
+    """Many distinct fingerprints close to each other, also with hot blocks cut again and dealt into chunks."""
     monkeypatch.setattr(simhash, "CHUNK", chunk)
-    if chunk == 2:
-        monkeypatch.setattr(simhash, "CELLS", 64)
     r = random.Random(5)
     prints = set()
     for _ in range(4):
@@ -85,16 +92,57 @@ def test_links_of_dense_clusters(spark, monkeypatch, chunk):
     prints |= {r.getrandbits(64) for _ in range(300)}
     prints = sorted(prints)
     signed = [int(np.uint64(p).view(np.int64)) for p in prints]
-    found = {x.node: x.root for x in components(simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"))).collect()}
+    found = {x.node.fp: x.root.fp for x in components(simhash.links(nodes_of(spark, prints))).collect()}
     expected = plain_components(prints, signed)
     assert [found.get(p, p) for p in signed] == expected
 
 
+def test_one_block_of_200_000_fingerprints(spark):
+    """They agree in 27 bits, so 35 of them share a block; no task gets a block of more than CHUNK, and planted links are found."""
+    r = np.random.RandomState(3)
+    common = np.uint64(simhash.masks()[0])
+    rest = ~common & np.uint64(0xFFFFFFFFFFFFFFFF)
+    prints = np.unique((np.frombuffer(r.bytes(8 * 200_000), np.uint64) & rest) | (np.uint64(0x5A5A5A5A5A5A5A5A) & common))
+    near = prints[::1000] ^ np.uint64(1 << 63) ^ np.uint64(1 << 40)
+    nodes = nodes_of(spark, np.union1d(prints, near)).repartition(8)
+    keyed = simhash.blocks(nodes)
+    assert keyed.groupBy("key").count().agg({"count": "max"}).first()[0] <= 2 * simhash.CHUNK
+    links = save(simhash.links(nodes), "links")
+    pairs = {(x.u.fp, x.v.fp) for x in links.collect()}
+    planted = list(zip(prints[::1000].view(np.int64).tolist(), near.view(np.int64).tolist(), strict=True))
+    linked = {x.node.fp: x.root.fp for x in components(links).collect()}
+    assert all(a == b or linked[a] == linked[b] for a, b in planted)
+    assert all((np.uint64(a & (1 << 64) - 1) ^ np.uint64(b & (1 << 64) - 1)).bit_count() <= 4 for a, b in pairs)
+
+
+def test_all_close_pairs_share_a_block():
+    r = random.Random(8)
+    for _ in range(2000):
+        x = r.getrandbits(64)
+        y = x
+        for b in r.sample(range(64), r.randint(0, 4)):
+            y ^= 1 << b
+        shared = [m for m in simhash.masks() if x & m == y & m]
+        assert shared and all(any(x & f == y & f for f in simhash.further_masks(m)) for m in shared)
+
+
+def test_pivots_never_discard_a_link_and_most_of_the_rest():
+    r = np.random.RandomState(2)
+    x = np.frombuffer(r.bytes(8 * 20_000), np.uint64)
+    y = x.copy()
+    for _ in range(4):
+        y ^= np.uint64(1) << r.randint(0, 64, len(x)).astype(np.uint64)
+    table = lambda v: distance_table(v, pivots()).astype(int)
+    assert (np.abs(table(x) - table(y)).max(axis=1) <= 4).all()
+    other = (x & np.uint64((1 << 27) - 1)) | (np.roll(x, 1) & ~np.uint64((1 << 27) - 1))  # of one block
+    assert (np.abs(table(x) - table(other)).max(axis=1) > 4).mean() > 0.99
+
+
 def test_block_links_in_short_and_long_runs():
     r = random.Random(2)
     prints = np.array([r.getrandbits(3) | (i // 3) << 40 for i in range(200)], np.uint64)
     for keys in (np.zeros(200, np.int64), np.arange(200) // 5):
-        links = block_links(keys, prints, pivots())
+        links = block_links(keys, prints, distance_table(prints, pivots()))
         up = list(range(200))
         for a, b in links:
             assert keys[a] == keys[b] and int(prints[a] ^ prints[b]).bit_count() <= 4
@@ -109,7 +157,11 @@ def test_block_links_in_short_and_long_runs():
         assert up == full and len(links) < 200
 
 
-def test_components_of_a_chain(spark):
+@pytest.mark.parametrize("few", [0, 300_000])
+def test_components_of_a_chain(spark, monkeypatch, few):
+    from weftline.llm import components as module
+
+    monkeypatch.setattr(module, "FEW", few)
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1000), (500, 501), (501, 500)], "u long, v long")
     found = {r.node: r.root for r in components(edges).collect()}
     assert found == {i: 0 for i in range(201)} | {500: 500, 501: 500}
@@ -122,6 +174,22 @@ def test_one_of_each(make, prose):
     assert near_duplicates(make().limit(0)).collect() == [] and one_of_each(make().limit(0)).collect() == []
 
 
+def test_rows_of_one_id_are_judged_one_by_one(make, prose):
+    a, b, near = prose(400, 1), prose(400, 2), prose(400, 1).rsplit(" ", 1)[0] + " end"
+    docs = make((1, a), (3, a), (3, b), (3, b), (4, near), (5, prose(400, 3)), (5, prose(400, 4)), (None, b), (None, prose(400, 9)), (None, prose(400, 9)), (6, None), (6, " "))
+    assert near_duplicates(make((1, a), (4, near))).where("component_id = 1").count() == 2
+    rows = sorted(((r.doc_id, r.text) for r in one_of_each(docs).collect()), key=str)
+    assert rows == sorted([(1, a), (3, b), (5, prose(400, 3)), (5, prose(400, 4)), (None, prose(400, 9)), (6, None)], key=str)
+    got = {(r.doc_id, r.component_id) for r in near_duplicates(docs).collect()}
+    assert got == {(1, 1), (3, 1), (3, 3), (4, 1), (5, 5), (None, 3), (None, None), (6, 6)}
+
+
+def test_columns_of_any_name_and_order(make, prose):
+    docs = make((2, prose(50, 1)), (2, prose(50, 2)), (7, prose(50, 1))).selectExpr("'x' as fp", "text", "1.5d as root", "doc_id", "'y' as c0", "'z' as _fp", "null as row")
+    out = one_of_each(docs)
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [2, 2]
+
+
 def test_rows_without_an_id(make, prose):
     got = near_duplicates(make((None, prose(50, 1)), (None, prose(50, 2)), (8, prose(50, 1)))).collect()
     assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == [("8", "8"), ("None", "8"), ("None", "None")]

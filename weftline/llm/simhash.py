@@ -3,23 +3,29 @@
 Each text gets a 64-bit fingerprint of its shingles of four words. Equal fingerprints are one node of the
 graph. Distinct ones are searched for links as follows.
 
-Blocks: the 64 bits are cut into 7 parts. Two fingerprints that differ in 4 bits or fewer agree in at
-least 3 parts, so they share a block in one of the 35 ways to choose 3 parts, and no link is lost.
+Pivot distance tables: with a fingerprint, its Hamming distances to PIVOTS fixed reference fingerprints are
+computed, once, and go with it as packed bytes. By the triangle inequality two fingerprints at distance d
+have distances to any reference that differ by d at most; a pair whose largest coordinate difference exceeds
+4 is discarded, and the survivors are verified by their own distance.
 
-Pivot distance tables: within blocks, each fingerprint's Hamming distances to a set of fixed reference
-fingerprints are computed once. By the triangle inequality two fingerprints at distance d have distances
-to any reference that differ by d at most; a pair whose largest coordinate difference exceeds 4 is
-discarded, and the survivors are verified by their own distance. A block gives a spanning forest of its
-links, not its pairs, so its output stays below its number of rows.
+Blocks: distances to references bunch round 32, so they can't say which pairs to look at. The 64 bits are cut
+into 7 parts. Two fingerprints that differ in 4 bits or fewer agree in at least 3 parts, so they share a block
+in one of the 35 ways to choose 3 parts, and no link is lost. A block gives a spanning forest of its links,
+not its pairs, so its output stays below its number of rows.
 
-Hot blocks: counts of blocks by hash cell (a fixed number of cells) show cells that hold far more than the
-mean; rows there are dealt into chunks, and each pair of chunks is searched by itself, so that a block is
-never in one task whole and every pair in it is still compared.
+Hot blocks, of more than CHUNK rows at any size of the input, are cut again: their other bits make 6 parts of
+which at least 2 agree, so each row goes to 15 smaller blocks. Those that are hot still (clusters that agree
+in most bits) are dealt into chunks, and each pair of chunks is searched by itself, so that a block is never
+in one task whole and every pair in it is still compared. Blocks are counted by key, with partial counts, and
+only in hash cells (a fixed number) that hold more than CHUNK rows.
+
+A node's name is the least doc_id of its fingerprint and the fingerprint, so that the least node of a
+component gives the component_id.
 
 Defined cases: a null text counts as an empty one; texts without words have fingerprint zero and are
 linked like any other; repeated rows keep their rows; rows with a null doc_id get a fingerprint, and take
-part as if their id were larger than all others; an empty table gives an empty result; other columns are
-ignored.
+part as if their id were larger than all others; rows of one id with different texts are judged one by one;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,21 +35,29 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from weftline.llm.common import map_rows, save
+from weftline.llm.common import drop, save, text_blocks
 from weftline.llm.components import components
 
 SHINGLE = 4
 SEED = 42
 MOST_BITS = 4
+#: Parts of the bits, and how many of them agree at least: of all, then of those that a hot block leaves.
 PARTS, INTACT = 7, 3
-PIVOTS = 8
+FURTHER, FURTHER_INTACT = 6, 2
+PIVOTS = 16
+TABLE = [f"p{k}" for k in range(PIVOTS // 8)]
 CELLS = 1 << 16
 CHUNK = 4096
+#: Rows of tables that are broadcast (up to 40 bytes each).
+MOST_BROADCAST = 300_000
 SHORT_RUN = 32
 BUFFER = 200_000
+#: Stands for a null id: larger than all others.
+NO_ID = (1 << 63) - 1
 
 
 def fingerprint(text: str) -> int:
@@ -81,17 +95,29 @@ def distance_table(prints: np.ndarray, references: np.ndarray) -> np.ndarray:
     return np.bitwise_count(prints[:, None] ^ references[None, :]).astype(np.int8)
 
 
-def _masks() -> list[int]:
-    cuts = [64 * k // PARTS for k in range(PARTS + 1)]
-    parts = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:])]
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    return [signed(sum(c)) for c in combinations(parts, INTACT)]
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _parts(bits: list[int], number: int) -> list[int]:
+    """The bits in so many parts of about one length, as masks."""
+    cuts = [len(bits) * k // number for k in range(number + 1)]
+    return [sum(1 << b for b in bits[x:y]) for x, y in zip(cuts, cuts[1:])]
+
 
+def masks() -> list[int]:
+    return [sum(c) for c in combinations(_parts(list(range(64)), PARTS), INTACT)]
 
-def block_links(keys: np.ndarray, prints: np.ndarray, references: np.ndarray, most: int = MOST_BITS) -> list[tuple[int, int]]:
-    """A spanning forest (indices) of the links within blocks; keys are sorted, equal ones make a block."""
+
+def further_masks(mask: int) -> list[int]:
+    """For the rows of a hot block of a mask: the mask with those of the other bits that agree."""
+    rest = _parts([b for b in range(64) if not mask >> b & 1], FURTHER)
+    return [mask | sum(c) for c in combinations(rest, FURTHER_INTACT)]
+
+
+def block_links(keys: np.ndarray, prints: np.ndarray, table: np.ndarray, most: int = MOST_BITS) -> list[tuple[int, int]]:
+    """A spanning forest (indices) of the links within blocks; keys are sorted, equal ones make a block; table: the distances to the references."""
     n = len(keys)
-    table = distance_table(prints, references)
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     length = np.diff(np.append(first, n))
     pairs = []
@@ -141,73 +167,154 @@ def _grow(rest: np.ndarray, prints: np.ndarray, table: np.ndarray, most: int) ->
     return out
 
 
-def _search(references: np.ndarray):
+def _search(batches):
     """Rows sorted by block come in batches; a block is searched once all its rows are there."""
+    names = ["key", "least", "fp", *TABLE]
+    held, parts = [np.empty(0, np.int64) for _ in names], []
+
+    def gathered():
+        return [np.concatenate([x, *y]) for x, y in zip(held, zip(*parts), strict=True)] if parts else held
+
+    def found(key, least, fp, *table):
+        packed = np.ascontiguousarray(np.stack(table, axis=1)).view(np.int8)
+        links = block_links(key, fp.view(np.uint64), packed) if len(key) else []
+        if links:
+            a, b = np.array(links).T
+            columns = [least[a], fp[a], least[b], fp[b]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["u_least", "u_fp", "v_least", "v_fp"])
+
+    for batch in batches:
+        parts.append([batch.column(k).to_numpy() for k in range(len(names))])
+        if sum(len(p[0]) for p in parts) < BUFFER:
+            continue
+        held, parts = gathered(), []
+        whole = np.searchsorted(held[0], held[0][-1])  # the last block may go on
+        yield from found(*(x[:whole] for x in held))
+        held = [x[whole:] for x in held]
+    yield from found(*gathered())
+
+
+def _key(*parts: Column) -> Column:
+    return F.xxhash64(*parts)
+
+
+def _masked(mask: Column) -> Column:
+    return F.col("fp").bitwiseAND(mask)
+
+
+def hot_keys(keyed: DataFrame) -> DataFrame | None:
+    """(key, n): the keys of more than CHUNK rows; None if there are none."""
+    cell = F.pmod(F.col("key"), F.lit(CELLS)).cast("int")
+    cells = [(r["cell"],) for r in keyed.groupBy(cell.alias("cell")).count().where(F.col("count") > CHUNK).select("cell").collect()]  # CELLS rows at most
+    if not cells:
+        return None
+    full = F.broadcast(keyed.sparkSession.createDataFrame(cells, "cell int"))
+    counted = keyed.select("key", cell.alias("cell")).join(full, "cell", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK)
+    counted = save(counted, "hot")
+    number = counted.count()
+    if not number:
+        return None
+    return F.broadcast(counted) if number <= MOST_BROADCAST else counted
+
+
+def blocks(nodes: DataFrame) -> DataFrame:
+    """nodes with a key: all nodes that can be linked share one, and no key has many more than CHUNK of them."""
+    own = nodes.columns
+    first = masks()
+    each = F.array(*(F.struct(F.lit(t).alias("t"), _key(F.lit(t), _masked(F.lit(signed(m)))).alias("key")) for t, m in enumerate(first)))
+    keyed = nodes.select(F.explode(each).alias("b"), *own).select("b.t", "b.key", *own)
+    hot = hot_keys(keyed)
+    if hot is None:
+        return keyed.select("key", *own)
+    plain = keyed.join(hot, "key", "left_anti").select("key", *own)
+    further = F.element_at(F.array(*(F.array(*(F.lit(signed(x)) for x in further_masks(m))) for m in first)), F.col("t") + 1)
+    keyed = keyed.join(hot, "key", "left_semi").select(F.explode(F.transform(further, lambda m: _key(F.lit(-1), F.col("t"), m, _masked(m)))).alias("key"), *own)
+    hot = hot_keys(keyed)
+    if hot is None:
+        return plain.union(keyed)
+    plain = plain.union(keyed.join(hot, "key", "left_anti"))
+    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    mine = F.pmod(F.xxhash64("fp"), chunks).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), chunks - 1), lambda k: _key(F.col("key"), F.least(k, mine), F.greatest(k, mine)))
+    return plain.union(keyed.join(hot, "key").select(F.explode(pairs).alias("key"), *own))
+
+
+def links(nodes: DataFrame) -> DataFrame:
+    """nodes (least, fp, TABLE): of distinct fp. Gives (u, v), structs of least and fp: links that connect all that is connected at MOST_BITS."""
+    keyed = blocks(nodes.select("least", "fp", *TABLE)).select("key", "least", "fp", *TABLE)
+    found = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_search, "u_least long, u_fp long, v_least long, v_fp long")
+    node = lambda x: F.struct(F.col(f"{x}_least").alias("least"), F.col(f"{x}_fp").alias("fp")).alias(x)
+    return found.select(node("u"), node("v"))
+
+
+def packed_table(prints: np.ndarray) -> list[np.ndarray]:
+    """The columns TABLE: distances to the references, eight to a number."""
+    made = np.ascontiguousarray(distance_table(prints.view(np.uint64), pivots())).view(np.int64)
+    return [np.ascontiguousarray(made[:, k]) for k in range(len(TABLE))]
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, and the distances to the references."""
 
     def run(batches):
-        keys, prints = np.empty(0, np.int64), np.empty(0, np.uint64)
-        parts = []
+        for batch in batches:
+            for first, texts in text_blocks(batch):
+                prints = np.fromiter(map(fingerprint, texts), np.int64, len(texts))
+                ids = batch.column(0).slice(first, len(texts))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(prints), *map(pa.array, packed_table(prints))], names=["doc_id", "fp", *TABLE])
 
-        def found(k, p):
-            links = block_links(k, p, references) if len(k) else []
-            if links:
-                a, b = np.array(links).T
-                signed = p.view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(signed[a]), pa.array(signed[b])], names=["u", "v"])
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return read.mapInArrow(run, "doc_id long, fp long, " + ", ".join(f"{c} long" for c in TABLE))
 
-        for batch in batches:
-            parts.append((batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)))
-            if sum(len(k) for k, _ in parts) < BUFFER:
-                continue
-            keys, prints = (np.concatenate([x, *y]) for x, y in zip((keys, prints), zip(*parts), strict=True))
-            parts = []
-            whole = np.searchsorted(keys, keys[-1])  # the last block may go on
-            yield from found(keys[:whole], prints[:whole])
-            keys, prints = keys[whole:], prints[whole:]
-        if parts:
-            keys, prints = (np.concatenate([x, *y]) for x, y in zip((keys, prints), zip(*parts), strict=True))
-        yield from found(keys, prints)
-
-    return run
-
-
-def links(prints: DataFrame) -> DataFrame:
-    """prints (fp): distinct. Gives (u, v): links that connect all that is connected at MOST_BITS."""
-    spark = prints.sparkSession
-    blocks = F.array(*(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for t, m in enumerate(_masks())))
-    keyed = prints.select(F.explode(blocks).alias("key"), "fp").withColumn("cell", F.pmod(F.col("key"), F.lit(CELLS)).cast("int"))
-    cells = [(r["cell"], r["count"]) for r in keyed.groupBy("cell").count().collect()]  # at most CELLS rows
-    fair = sum(n for _, n in cells) / CELLS + CHUNK
-    hot = [(c, -(-n // int(fair))) for c, n in cells if n > 4 * fair]
-    plain = keyed
-    if hot:
-        chunks = spark.createDataFrame(hot, "cell int, g int")  # fewer than CELLS / 4 rows
-        dealt = keyed.join(F.broadcast(chunks), "cell", "left")
-        own = F.pmod(F.xxhash64("fp"), F.col("g")).cast("int")
-        pair = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda k: F.xxhash64("key", F.least(k, own), F.greatest(k, own)))
-        plain = dealt.select(F.explode(F.when(F.col("g").isNull(), F.array("key")).otherwise(pair)).alias("key"), "fp")
-    return plain.select("key", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(_search(pivots()), "u long, v long")
+
+def rooted(docs: DataFrame) -> DataFrame:
+    """doc_id, fp and root (least, fp) of each document: the least node of its component. NO_ID stands for null ids in nodes."""
+    printed = save(fingerprints(docs), "fingerprints")
+    least = F.coalesce(F.min("doc_id"), F.lit(NO_ID))
+    nodes = save(printed.groupBy("fp").agg(least.alias("least"), *(F.first(c).alias(c) for c in TABLE)), "distinct")
+    found = components(links(nodes)).select(F.col("node.fp").alias("fp"), "root")
+    own = F.struct("least", "fp")
+    named = save(nodes.join(found, "fp", "left").select("fp", F.coalesce("root", own).alias("root")), "named")  # written, so that a hot fp below can be split
+    drop(nodes)
+    return printed.join(named, "fp").select("doc_id", "fp", "root")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id, the least doc_id reachable by links."""
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    printed = save(map_rows(read, "doc_id long, fp long", lambda t: (fingerprint(t),), ["doc_id"], ["fp"]), "fingerprints")
-    least = save(printed.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    rooted = components(links(least.select("fp")))
-    members = least.join(rooted.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    firsts = members.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = members.join(firsts, "root").select("fp", "component_id")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return printed.join(named, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
+    return rooted(docs).select("doc_id", digits.alias("fingerprint"), F.nullif(F.col("root.least"), F.lit(NO_ID)).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without those whose component has a smaller doc_id; all columns kept. Of repeated rows of one id, one stays; rows without an id all do."""
-    found = save(near_duplicates(docs).select("doc_id", "component_id"), "components")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone.hint("merge"), docs["doc_id"].cast("long") == gone["_gone"], "left_anti")  # alike at every size
-    repeated = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count()
-    if not repeated:
+    """docs without those that are linked to a lesser one; all columns kept.
+
+    The least node of each component stays, with the least of its rows if there are several. Ids whose rows are all gone
+    are taken out by an anti join. For ids that stay and have several rows, and for rows without an id, rows are judged
+    one by one, by their own fingerprints.
+    """
+    found = save(rooted(docs), "components")
+    stays = (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("root.least")) & (F.col("fp") == F.col("root.fp"))
+    ids = save(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max(stays).alias("stays")).where(~F.col("stays") | (F.col("rows") > 1) | F.col("doc_id").isNull()), "ids")
+    special = ids.where("stays").select(F.col("doc_id").alias("_id"))
+    id_of = docs["doc_id"].cast("long")
+    kept = docs.join(ids.select(F.col("doc_id").alias("_id")).hint("merge"), id_of.eqNullSafe(F.col("_id")), "left_anti")  # alike at every size
+    if not special.take(1):
         return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
+    several = docs.join(special, id_of.eqNullSafe(F.col("_id")), "left_semi")
+    roots = found.where(stays).select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")).distinct()
+    named = [f"c{k}" for k in range(len(docs.columns))]  # whatever the columns are called
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            for first, texts in text_blocks(batch, f"c{at}"):
+                prints = pa.array(np.fromiter(map(fingerprint, texts), np.int64, len(texts)))
+                part = batch.slice(first, len(texts))
+                yield pa.RecordBatch.from_arrays([*part.columns, prints], names=[*named, "_fp"])
+
+    renamed = several.toDF(*named)
+    made = renamed.mapInArrow(run, T.StructType([*renamed.schema.fields, T.StructField("_fp", T.LongType())]))
+    own = F.col(f"c{docs.columns.index('doc_id')}").cast("long")
+    stay = made.join(roots.withColumnRenamed("_fp", "_root"), own.eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_root")), "left_semi")
+    one = stay.groupBy(own.alias("_id"), "_fp").agg(F.min(F.struct(*named)).alias("row"))
+    return kept.union(one.select(*(F.col(f"row.{c}").alias(n) for c, n in zip(named, docs.columns, strict=True))))
