@@ -17,6 +17,8 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import xxhash
 
+from weftline.llm.common import ranges
+
 BLANK = "▁"
 #: Stands for a ▁ of the text; no pre-token is like it, as a line feed is always by itself.
 LITERAL = f"\n{BLANK}"
@@ -292,8 +294,8 @@ class Together:
         return np.array([x for o in out for x in o], np.int32), np.array([len(o) for o in out]), number
 
 
-class _Roots(dict):
-    """The node of each pre-token without skips; OTHER for those too long to be kept. What isn't there yet gets the next number, and is in `fresh`."""
+class Numbers(dict):
+    """Numbers of pre-tokens; OTHER for those of more than `longest` characters, which aren't kept. What isn't there yet gets the `next` number, and is in `fresh`."""
 
     def __init__(self, longest: int) -> None:
         self.longest, self.fresh, self.next = longest, [], 0
@@ -341,7 +343,7 @@ class Sampler:
         self.clear()
 
     def clear(self) -> None:
-        self.roots, self.words = _Roots(self.longest), []
+        self.roots, self.words = Numbers(self.longest), []
         self.nodes = self.n_children = self.n_ids = 0
         self.of_node = {name: np.full(1024, OTHER, np.int32) for name in NODE}
         self.children, self.ids = np.full(4096, OTHER, np.int32), np.full(4096, OTHER, np.int32)
@@ -375,6 +377,19 @@ class Sampler:
         self.ids[self.n_ids : self.n_ids + len(ids)] = ids
         self.nodes, self.n_children, self.n_ids = b, self.n_children + int(numbers.sum()), self.n_ids + len(ids)
 
+    def _rooted(self, words: list[str]) -> np.ndarray:
+        """The nodes of pre-tokens without skips; OTHER for long ones."""
+        if self.nodes >= self.most:
+            self.clear()
+        self.roots.next, self.roots.fresh = self.nodes, []
+        node = np.fromiter(map(self.roots.__getitem__, words), np.int32, len(words))
+        if fresh := self.roots.fresh:
+            none = np.full(len(fresh), OTHER, np.int32)
+            first = len(self.words)
+            self.words += fresh
+            self.add(np.arange(first, len(self.words)), none, none)
+        return node
+
     def encode(self, text: str, document: int | None) -> list[int]:
         return self.packed([text], [document])[0].tolist()
 
@@ -393,17 +408,25 @@ class Sampler:
         ids, lengths = (np.concatenate([np.zeros(0, np.int32), *p]) for p in (zip(*parts, strict=True) if parts else ((), ())))
         return ids, np.append(0, np.cumsum(lengths, dtype=np.int64))[np.cumsum(sizes)]
 
+    def number_of_pieces(self, texts: list[str]) -> np.ndarray:
+        """How often each id is in the encodings of the texts without dropout, by id."""
+        words = [w for t in texts for w in pretokens(t)]
+        out = np.zeros(len(self.pieces.text), np.int64)
+        for i in range(0, len(words), SLICE):
+            part = words[i : i + SLICE]
+            node = self._rooted(part)
+            for k in np.flatnonzero(node == OTHER).tolist():
+                out += np.bincount(self.pieces.encode_word(part[k], iter(()))[0], minlength=len(out))
+            number = np.bincount(node[node != OTHER], minlength=self.nodes)
+            used = np.flatnonzero(number)
+            length = self.of_node["length"][used]
+            rows, owner = ranges(self.of_node["ids_at"][used].astype(np.int64), self.of_node["ids_at"][used] + length)
+            out += np.bincount(self.ids[rows], number[used][owner], minlength=len(out)).astype(np.int64)
+        return out
+
     def _slice(self, words: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of pre-tokens with their keys, and the number of ids of each."""
-        if self.nodes >= self.most:
-            self.clear()
-        self.roots.next, self.roots.fresh = self.nodes, []
-        node = np.fromiter(map(self.roots.__getitem__, words), np.int32, len(words))
-        if fresh := self.roots.fresh:
-            none = np.full(len(fresh), OTHER, np.int32)
-            first = len(self.words)
-            self.words += fresh
-            self.add(np.arange(first, len(self.words)), none, none)
+        node = self._rooted(words)
         of, long = self.of_node, np.flatnonzero(node == OTHER)
         active, at, draw = np.flatnonzero(node != OTHER), np.zeros(len(words), np.int64), 0
         while len(active):

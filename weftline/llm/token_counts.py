@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import ranges, text_blocks
-from weftline.llm.pieces import LITERAL, Pieces, Sampler, pretokens
+from weftline.llm.pieces import LITERAL, OTHER, Numbers, Pieces, Sampler, pretokens
 from weftline.llm.sentencepieces import MODEL
 
 #: Pre-tokens whose counts are kept; with more, they are begun anew. Results don't depend on it.
@@ -47,7 +47,7 @@ def piece_counts(docs: DataFrame, model: str = MODEL) -> np.ndarray:
         total = np.zeros(len(sampler.pieces.text), np.int64)
         for batch in batches:
             for _, texts in text_blocks(batch, block=600_000):
-                total += np.bincount(sampler.packed(texts, [0] * len(texts))[0], minlength=len(total))
+                total += sampler.number_of_pieces(texts)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["piece", "n"])
 
@@ -86,7 +86,7 @@ class Unigrams:
         for p in scores:
             ends.setdefault(p[-2:], set()).add(len(p))
         self.lengths = {e: sorted(n for n in found if n > 1) for e, found in ends.items()}
-        self.known: dict[str, int] = {}
+        self.forget()  # known: the number of each pre-token; tokens: its count, by number
 
     def goto(self, state: np.ndarray, point: np.ndarray) -> np.ndarray:
         """The states behind a character; -1 if no piece goes on so."""
@@ -151,18 +151,26 @@ class Unigrams:
     def counts(self, texts: list[list[str]]) -> list[int]:
         """The tokens of texts, given as their pre-tokens."""
         if len(self.known) > MOST_KNOWN:
-            self.known = {}
-        if LITERAL not in self.known:
-            self.known[LITERAL] = -(3 * (self.octet * PACK - 1)) % PACK
-        fresh = {w for words in texts for w in set(words)} - self.known.keys()
-        long = [w for w in fresh if len(w) > LONG]
-        short = [w for w in fresh if len(w) <= LONG]
-        self.known.update(zip(short, self.insert(short)[0].tolist(), strict=True))
-        self.known.update((w, self.plain(w)) for w in long)
-        out = [sum(map(self.known.__getitem__, words)) for words in texts]
-        for w in long:
-            del self.known[w]
-        return out
+            self.forget()
+        self.known.fresh = []
+        words = [w for own in texts for w in own]
+        number = np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
+        fresh = self.known.fresh
+        self.tokens = np.append(self.tokens, self.insert(fresh)[0].astype(np.int32))
+        if LITERAL in fresh:
+            self.tokens[self.known[LITERAL]] = -(3 * (self.octet * PACK - 1)) % PACK
+        made, kept = np.zeros(len(words), np.int64), number != OTHER
+        made[kept] = self.tokens[number[kept]]
+        long: dict[str, int] = {}
+        for i in np.flatnonzero(~kept).tolist():
+            if words[i] not in long:
+                long[words[i]] = self.plain(words[i])
+            made[i] = long[words[i]]
+        ends = np.cumsum([len(own) for own in texts], dtype=np.int64)
+        return np.diff(np.append(0, np.cumsum(made))[np.append(0, ends)]).tolist()
+
+    def forget(self) -> None:
+        self.known, self.tokens = Numbers(LONG), np.zeros(0, np.int32)
 
 
 def token_counts(docs: DataFrame, model: str = MODEL) -> DataFrame:
