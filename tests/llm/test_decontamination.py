@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -111,6 +112,66 @@ def test_blocks_of_the_benchmark(make, items, spark, monkeypatch):
     assert clean(docs, bench).count() == 0
 
 
+def test_only_one_index_is_alive(make, items, spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "BLOCK", 300)
+    alive, most, kept = set(), [], decontamination.Index.of
+    context = type(spark.sparkContext)
+    broadcast = context.broadcast
+
+    def counted(self, value):
+        made = broadcast(self, value)
+        if isinstance(value, Index):
+            alive.add(id(made))
+            most.append(len(alive))
+            destroy = made.destroy
+            made.destroy = lambda: (alive.discard(id(made)), destroy())
+        return made
+
+    monkeypatch.setattr(context, "broadcast", counted)
+    docs = make(*(f"before {t} after" for _, t in items), "clean", None, (99, "clean"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(r.doc_id for r in clean(docs, bench).collect()) == [8, 9, 99] and kept
+    assert contaminated(docs, bench).count() == len(items) and len(most) > 2 and max(most) == 1
+
+
+def test_runs_of_a_short_period(prose):
+    """89 places of an item times a segment of one character would be 35 million pairs; runs are shortened, and hits counted in slices."""
+    index = Index.of([(1, "a" * 100 + " " + prose(30, 5)), (2, "b" * 60), (3, "-=" * 40)])
+    text = f"{prose(5, 1)} {'a' * 390_000}"
+    assert {int(index.items[w]) for w in found_in(index, [text])[0]} <= {1}
+    assert {int(index.items[w]) for w in found_in(index, [f"{text} {'b' * 60}"])[0]} >= {2}
+    assert {int(index.items[w]) for w in found_in(index, [f"{'=-' * 150_000} x"])[0]} == {3}
+
+
+def test_shortened_texts_have_the_same_passages():
+    r = random.Random(4)
+    for _ in range(20):
+        text = "".join(r.choices("abc", k=50)) + "".join(u * r.randint(1, 400) + r.choice(["", "x", "yz"]) for u in r.choices(["a", "ab", "abc", "-=-+", "é "], k=6))
+        short = decontamination.squeezed(text)
+        passages = lambda t: {t[i : i + 140] for i in range(len(t) - 139)}
+        assert passages(short) == passages(text) and len(short) <= len(text)
+    assert len(decontamination.squeezed("ab" * 100_000)) < 1000 and decontamination.squeezed("") == ""
+
+
+def test_short_items_against_brute_force(prose, make, spark):
+    """Items of 3 to 60 characters, also with edits: the whole report equals a search by full tables."""
+    r = random.Random(11)
+    words = prose(400, 77)
+    bench = [(n, words[17 * n : 17 * n + n].strip().ljust(n, "z")) for n in range(3, 61, 3)]
+    texts = [f"{prose(6, n)} {edited(t, r.choice((0, 0, 1, 2, 3)), n) if n >= 12 else t} {prose(6, n + 900)}" for n, t in bench for _ in range(3)]
+    expected = set()
+    for d, t in enumerate(texts):
+        for n, item in bench:
+            flat = normal(item)
+            spans = [flat[a:b] for a, b in {*decontamination.halves(flat), *decontamination.runs(flat)}]
+            for w in spans:
+                whole = re.search(rf"(?<!\w){re.escape(w)}(?!\w)", normal(t))
+                if whole if len(w) < 12 else within(w, normal(t)) <= int(0.06 * len(w)):
+                    expected.add((d, n))
+    got = {(x.doc_id, x.item_id) for x in contaminated(make(*texts), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert got == expected and len(got) > 30
+
+
 def test_long_texts_are_searched_whole(items, prose, monkeypatch):
     index = Index.of(items)
     text = f"{prose(3000, 1)} {items[5][1]} {prose(3000, 2)} {items[3][1]}"

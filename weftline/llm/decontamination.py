@@ -16,8 +16,9 @@ about a place follow from their beginnings and ends.
 Windows for which that bound isn't positive have shorter grams, of a length for which it is; a window of less
 than Q characters (a short item) has itself as its gram, and is in a text that has it as whole words.
 
-The benchmark is the query set: it is held against all rows, in blocks of at most BLOCK characters, each
-of which is broadcast.
+The benchmark is the query set: it is held against all rows, in blocks of about BLOCK characters. Only one
+block's index is broadcast at a time (some 20 bytes a character), whatever the benchmark's size: with several
+blocks, what one finds is written before the next is made.
 
 Defined cases: a null text counts as an empty one and contains nothing; items that are null or blank are
 never reported; repeated rows, of either side, give repeated pairs' rows for the
@@ -28,6 +29,7 @@ columns are ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,14 +37,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import ranges, text_blocks
+from weftline.llm.common import ranges, save, text_blocks
 
 Q = 12
 WINDOW = 120
 WORDS = 13
 RATE = 0.06
 #: Characters of the benchmark that are broadcast at one time, and of text that are searched at one time.
-BLOCK, SEGMENT = 8_000_000, 400_000
+BLOCK, SEGMENT = 4_000_000, 400_000
+#: Pairs of a place in the text and one in the items that are looked at together.
+PAIRS = 200_000
+#: Periods of the runs that are shortened in a text of many pairs.
+PERIODS = 16
+#: Texts (their digests) that are broadcast to be taken out.
+MOST_BROADCAST = 100_000
 _BASE = 0x9E3779B97F4A7C15
 _BITS = 20
 
@@ -93,16 +101,31 @@ def runs(flat: str) -> list[tuple[int, int]]:
     return out
 
 
+@dataclass
+class Windows:
+    """The texts of the windows, cut from the items, which are put end to end."""
+
+    flat: str
+    starts: np.ndarray
+    ends: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def __getitem__(self, w: int) -> str:
+        return self.flat[self.starts[w] : self.ends[w]]
+
+
 @dataclass
 class Index:
-    """The windows, and where each distinct gram occurs in the items, which are put end to end (as one array cut by `first`).
+    """The windows with their items, and where each distinct gram occurs in the items, which are put end to end (as one array cut by `first`).
 
     kinds: for the windows of halves and of runs their numbers, starts and ends, all ascending. Windows with shorter
     grams are in `small`: the length, and grams, first, windows and places in them.
     """
 
-    items: list[int]
-    texts: list[str]
+    items: np.ndarray
+    texts: Windows
     numbers: np.ndarray
     budgets: np.ndarray
     lengths: np.ndarray
@@ -115,78 +138,89 @@ class Index:
 
     @staticmethod
     def of(benchmark: list[tuple[int, str]], rate: float = RATE) -> Index:
-        items, texts, lengths, hashes, places, offset = [], [], [], [], [], 0
-        kinds: list[list[tuple[int, int, int]]] = [[], []]
+        items, flats, windows, hashes, places, offset = [], [], [], [], [], 0
+        kinds: list[list[int]] = [[], []]
         for item, text in benchmark:
             flat = normal(text)
             if item is None or not flat:
                 continue
             own = halves(flat)
-            for kind, windows in zip(kinds, (own, sorted({*runs(flat)} - {*own})), strict=True):
-                for start, end in windows:
-                    lengths.append(gram_length(end - start, rate))
-                    if lengths[-1] == Q:
-                        kind.append((len(items), offset + start, offset + end))
+            for kind, spans in zip(kinds, (own, sorted({*runs(flat)} - {*own})), strict=True):
+                for start, end in spans:
+                    if gram_length(end - start, rate) == Q:
+                        kind.append(len(items))
                     items.append(item)
-                    texts.append(flat[start:end])
+                    windows.append((offset + start, offset + end))
+            flats.append(flat)
             hashes.append(gram_hashes(flat))
-            places.append(np.arange(len(hashes[-1])) + offset)
+            places.append(np.arange(len(hashes[-1]), dtype=np.int32) + offset)
             offset += len(flat)
-        grams, first, place = _table(hashes, places)
+        starts, ends = np.array(windows, np.int32).reshape(-1, 2).T.copy()
+        texts, numbers = Windows("".join(flats), starts, ends), (ends - starts).astype(np.int64)
+        by_size = {n: gram_length(n, rate) for n in np.unique(numbers).tolist()}
+        lengths = np.array([by_size[n] for n in numbers.tolist()], np.int8)
         small = []
-        for q in sorted({*lengths} - {Q}):
-            windows = [w for w, length in enumerate(lengths) if length == q]
-            made = [gram_hashes(texts[w], q) for w in windows]
-            of_small, first_of_small, rows = _table(made, [np.arange(len(h)) + (w << 32) for w, h in zip(windows, made, strict=True)])
+        for q in sorted({*lengths.tolist()} - {Q}):
+            these = np.flatnonzero(lengths == q).tolist()
+            made = [gram_hashes(texts[w], q) for w in these]
+            of_small, first_of_small, rows = _table(made, [np.arange(len(h)) + (w << 32) for w, h in zip(these, made, strict=True)])
             small.append((q, of_small, first_of_small, rows >> 32, rows & 0xFFFFFFFF))
+        grams, first, place = _table(hashes, places)
         bitmap = np.zeros(1 << _BITS, bool)
         bitmap[grams >> np.uint64(64 - _BITS)] = True
-        numbers = np.array([len(t) for t in texts], np.int64)
-        columns = [tuple(np.array(kind, np.int64).reshape(-1, 3).T) for kind in kinds]
-        return Index(items, texts, numbers, (numbers * rate).astype(np.int64), np.array(lengths, np.int64), columns, small, grams, first, place, bitmap)
+        columns = [(w := np.array(kind, np.int32), starts[w], ends[w]) for kind in kinds]
+        return Index(np.array(items, np.int64), texts, numbers, (numbers * rate).astype(np.int64), lengths, columns, small, grams, first, place, bitmap)
 
-    def shared(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(place in the text, place in the items) of all shared grams."""
+    def hits(self, text: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place in the text, window, place in the window) of all grams shared with windows, in slices."""
         hashes = gram_hashes(text)
         at = np.flatnonzero(self.bitmap[hashes >> np.uint64(64 - _BITS)])
-        found, rows = _lookup(self.grams, self.first, hashes[at])
-        return at[found], self.place[rows]
-
-    def hits(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in the text, window, place in the window) of all grams shared with windows."""
-        at, place = self.shared(text)
-        found = []
-        for window, start, end in self.kinds:
-            rows, repeated = ranges(np.searchsorted(end, place + Q), np.searchsorted(start, place, "right"))
-            found.append((at[repeated], window[rows], place[repeated] - start[rows]))
+        for found, rows in _lookup(self.grams, self.first, hashes[at]):
+            place = self.place[rows]
+            for window, start, end in self.kinds:
+                rows, repeated = ranges(np.searchsorted(end, place + Q), np.searchsorted(start, place, "right"))
+                yield at[found[repeated]], window[rows], place[repeated] - start[rows]
         for q, grams, first, window, place in self.small:
-            at, rows = _lookup(grams, first, gram_hashes(text, q))
-            found.append((at, window[rows], place[rows]))
-        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+            for found, rows in _lookup(grams, first, gram_hashes(text, q)):
+                yield found, window[rows], place[rows]
 
     def touched(self, text: str) -> np.ndarray:
         """The places in the text of all shared grams."""
-        return np.concatenate([self.shared(text)[0], *(_lookup(grams, first, gram_hashes(text, q))[0] for q, grams, first, _, _ in self.small)])
+        hashes = gram_hashes(text)
+        at = np.flatnonzero(self.bitmap[hashes >> np.uint64(64 - _BITS)])
+        return np.concatenate([at[_known(self.grams, hashes[at])[0]], *(_known(grams, gram_hashes(text, q))[0] for q, grams, _, _, _ in self.small)])
 
     def regions(self, text: str) -> list[tuple[int, int]]:
-        """(window, first diagonal of a band) where enough grams are shared, without repeats."""
-        at, window, place = self.hits(text)
-        if not len(at):
-            return []
-        budget = self.budgets[window]
-        step = budget + 1
-        band = (at - place + len(text)) // step  # not negative, as no window is longer than Q + its place
+        """(window, first diagonal of a band) where enough grams are shared. Hits are counted by band slice by slice."""
         shift = WINDOW  # room below for the band before the first
-        keys = np.concatenate([window * (len(text) * 2 + 2 * shift) + band + shift, window * (len(text) * 2 + 2 * shift) + band + shift - 1])
-        found, number = np.unique(keys, return_counts=True)
-        w, b = found // (len(text) * 2 + 2 * shift), found % (len(text) * 2 + 2 * shift) - shift
+        wide = len(text) * 2 + 2 * shift
+        found, number = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held, size = [], 0
+        for at, window, place in self.hits(text):
+            # not negative, as no window is longer than Q + its place
+            keys = window.astype(np.int64) * wide + (at - place + len(text)) // (self.budgets[window] + 1) + shift
+            held.append(np.unique(np.concatenate([keys, keys - 1]), return_counts=True))
+            size += len(held[-1][0])
+            if size > 10 * PAIRS:
+                found, number = _added([(found, number), *held])
+                held, size = [], 0
+        found, number = _added([(found, number), *held])
+        w, b = found // wide, found % wide - shift
         least = self.numbers[w] + 1 - self.lengths[w] * (1 + self.budgets[w])
         keep = number >= np.maximum(1, least)
         return list(zip(w[keep].tolist(), (b[keep] * (self.budgets[w[keep]] + 1) - len(text)).tolist(), strict=True))
 
+    def pairs(self, text: str) -> int:
+        """How many pairs of a place in the text and one in the items `hits` goes through."""
+        tables = [(self.grams, self.first, Q), *((grams, first, q) for q, grams, first, _, _ in self.small)]
+        known = [(first, _known(grams, gram_hashes(text, q))[1]) for grams, first, q in tables]
+        return sum(int((first[k + 1].astype(np.int64) - first[k]).sum()) for first, k in known)
+
     def contained(self, text: str) -> dict[int, int]:
         """The least edits found for each window that the text (normal, a segment) contains."""
         out: dict[int, int] = {}
+        if len(text) > 10 * WINDOW and self.pairs(text) > 5 * PAIRS:
+            text = squeezed(text)
         for w, low in self.regions(text):
             if len(self.texts[w]) < Q:
                 if w not in out and re.search(rf"(?<!\w){re.escape(self.texts[w])}(?!\w)", text):
@@ -201,20 +235,56 @@ class Index:
 def _table(hashes: list[np.ndarray], places: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct grams, where the places of each begin (and the last end), and the places."""
     gram = np.concatenate([*hashes, np.zeros(0, np.uint64)])
-    place = np.concatenate([*places, np.zeros(0, np.int64)]).astype(np.int64)
+    place = np.concatenate(places) if places else np.zeros(0, np.int64)
     order = np.argsort(gram, kind="stable")
     grams, first = np.unique(gram[order], return_index=True)
-    return grams, np.append(first, len(gram)), place[order]
+    return grams, np.append(first, len(gram)).astype(np.int32), place[order]
 
 
-def _lookup(grams: np.ndarray, first: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place among the hashes, row) of all equal grams of a table."""
+def _known(grams: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place among the hashes, place in the table) of the hashes that the table has."""
     if not len(hashes) or not len(grams):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     k = np.minimum(np.searchsorted(grams, hashes), len(grams) - 1)
     same = np.flatnonzero(grams[k] == hashes)
-    rows, repeated = ranges(first[k[same]], first[k[same] + 1])
-    return same[repeated], rows
+    return same, k[same]
+
+
+def _lookup(grams: np.ndarray, first: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(place among the hashes, row) of all equal grams of a table, about PAIRS at a time."""
+    same, k = _known(grams, hashes)
+    low, high = first[k].astype(np.int64), first[k + 1].astype(np.int64)
+    done = np.cumsum(high - low)
+    a = 0
+    while a < len(same):
+        b = max(a + 1, int(np.searchsorted(done, (done[a - 1] if a else 0) + PAIRS, "right")))
+        rows, repeated = ranges(low[a:b], high[a:b])
+        yield same[a:b][repeated], rows
+        a = b
+
+
+def squeezed(text: str) -> str:
+    """The text without the middle of its long runs of a short period, which has the same passages of up to 2 WINDOW characters."""
+    for period in range(1, PERIODS + 1):
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        edge = np.diff((points[period:] == points[:-period]).astype(np.int8), prepend=0, append=0)
+        parts, at = [], 0
+        for start, end in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
+            spare = (end + period - start - 4 * WINDOW) // period * period  # a run of equal phase stays
+            if spare > 0 and start + 2 * WINDOW >= at:
+                parts.append(text[at : start + 2 * WINDOW])
+                at = start + 2 * WINDOW + spare
+        text = "".join([*parts, text[at:]])
+        if len(text) <= period:
+            break
+    return text
+
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their numbers."""
+    keys, numbers = (np.concatenate(x) for x in zip(*parts, strict=True))
+    found, at = np.unique(keys, return_inverse=True)
+    return found, np.bincount(at, numbers, minlength=len(found)).astype(np.int64)
 
 
 def banded(window: str, text: str, low: int, budget: int) -> int | None:
@@ -275,28 +345,42 @@ def found_in(index: Index, texts: list[str]) -> list[dict[int, int]]:
     return out
 
 
-def _indexes(benchmark: DataFrame, rate: float) -> list:
-    """Broadcast indexes of blocks of the benchmark that hold about BLOCK characters each."""
+def _indexes(benchmark: DataFrame, rate: float) -> tuple[int, Iterator]:
+    """The number of blocks of the benchmark, of about BLOCK characters each, and their broadcast indexes, one after the other."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-size // BLOCK) or 1
     spark = benchmark.sparkSession
-    for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
-        yield spark.sparkContext.broadcast(Index.of(sorted((r["item_id"], r["text"]) for r in rows.collect()), rate))
+
+    def made():
+        for b in range(blocks):
+            rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else items
+            yield spark.sparkContext.broadcast(Index.of(sorted((r["item_id"], r["text"]) for r in rows.collect()), rate))
+
+    return blocks, made()
+
+
+def _by_block(benchmark: DataFrame, rate: float, part) -> DataFrame:
+    """The rows of part(index), a lazy frame, of all blocks; those of several are written one after the other, so that one index is alive."""
+    blocks, indexes = _indexes(benchmark, rate)
+    out = None
+    for index in indexes:
+        found = part(index)
+        if blocks > 1:
+            found = save(found, "found")
+            index.destroy()
+        out = found if out is None else out.union(found)
+    return out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """(doc_id, item_id, n_windows, item_windows, edits): the items of which a document contains windows, how many of how many, and the least edits."""
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     names = ["doc_id", "item_id", "n_windows", "item_windows", "edits"]
-    out = None
-    for index in _indexes(benchmark, rate):
 
-        def run(batches, index=index):
-            owned: dict[int, int] = {}
-            for item in index.value.items:
-                owned[item] = owned.get(item, 0) + 1
+    def part(index):
+        def run(batches):
+            items, owned = index.value.items, dict(zip(*(x.tolist() for x in np.unique(index.value.items, return_counts=True)), strict=True))
             for batch in batches:
                 rows = []
                 for first, texts in text_blocks(batch):
@@ -304,25 +388,42 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> D
                     for doc, windows in zip(ids, found_in(index.value, texts), strict=True):
                         by_item: dict[int, list[int]] = {}
                         for w, edits in windows.items():
-                            by_item.setdefault(index.value.items[w], []).append(edits)
+                            by_item.setdefault(int(items[w]), []).append(edits)
                         rows += [(doc, item, len(e), owned[item], min(e)) for item, e in sorted(by_item.items())]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
 
-        part = read.mapInArrow(run, ", ".join(f"{n} long" for n in names))
-        out = part if out is None else out.union(part)
-    return out
+        return read.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+    return _by_block(benchmark, rate, part)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """docs without those that contain a window of the benchmark; all columns kept, nothing shuffled."""
-    for index in _indexes(benchmark, rate):
+    """docs without those that contain a window of the benchmark; all columns kept.
 
-        def run(batches, index=index):
+    With one block nothing is shuffled. With several, the digests of texts to take out are written block by block.
+    """
+    blocks, indexes = _indexes(benchmark, rate)
+    if blocks == 1:
+        index = next(indexes)
+
+        def run(batches):
             for batch in batches:
                 for first, texts in text_blocks(batch):
                     keep = [not windows for windows in found_in(index.value, texts)]
                     yield batch.slice(first, len(texts)).filter(pa.array(keep, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        return docs.mapInArrow(run, docs.schema)
+    read, digest = docs.select(F.col("text").cast("string").alias("text")), F.sha2(F.col("text").cast("string"), 256)
+
+    def part(index):
+        def run(batches):
+            for batch in batches:
+                for _, texts in text_blocks(batch):
+                    yield pa.RecordBatch.from_arrays([pa.array([t for t, w in zip(texts, found_in(index.value, texts), strict=True) if w], pa.string())], names=["text"])
+
+        return read.mapInArrow(run, "text string").select(digest.alias("_digest")).distinct()
+
+    gone = save(_by_block(benchmark, rate, part).distinct(), "gone")
+    few = gone.count() <= MOST_BROADCAST
+    return docs.join(F.broadcast(gone) if few else gone, digest.eqNullSafe(F.col("_digest")), "left_anti")
