@@ -9,7 +9,7 @@ models.
 
 The counts are taken over all rows. Characters are folded to an alphabet of SIZE symbols, so the table of
 counts has at most SIZE ** (ORDER + 1) cells for any input; that bound is what allows to send it to the
-driver and to broadcast the models.
+driver (packed, 13 bytes a cell) and to broadcast the models.
 
 Defined cases: a null URL, or one without `://`, has an empty host and path, no rule, and is judged by its
 characters (an empty text has difference 0); without accepted or rejected URLs to learn from, everything
@@ -119,6 +119,15 @@ def _count(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), side), pa.int32()), pa.array(at), pa.array(counts[at])], names=["side", "run", "n"])
 
 
+def _packed(batches):
+    """Batches of cells as one row each."""
+    for batch in batches:
+        if batch.num_rows:
+            side, run, n = (c.to_numpy() for c in batch.columns)
+            made = [side.astype(np.int8).tobytes(), run.astype(np.int32).tobytes(), n.astype(np.int64).tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in made], names=["side", "run", "n"])
+
+
 def log_model(counts: np.ndarray) -> np.ndarray:
     """Log-probability of the last symbol of each run, blended over orders 0 to ORDER."""
     blend = np.full(SIZE, 1 / SIZE)
@@ -165,9 +174,10 @@ def url_verdicts(pages: DataFrame, allow: list[str] = ALLOW, block: list[str] =
     read = read.withColumns({"rule": rule, "by_rule": verdict})
     part = F.pmod(F.crc32(F.coalesce(url, F.lit("")).cast("binary")), F.lit(HELD_OUT))
     learned = read.where(F.col("by_rule").isNotNull() & (part != 0)).select("url", "by_rule")
-    counted = learned.mapInArrow(_count, "side int, run long, n long").groupBy("side", "run").agg(F.sum("n").alias("n")).toPandas()  # at most 2 SIZE ** (ORDER + 1) rows
+    counted = learned.mapInArrow(_count, "side int, run long, n long").groupBy("side", "run").agg(F.sum("n").alias("n"))  # at most 2 SIZE ** (ORDER + 1) rows
     counts = np.zeros((2, SIZE ** (ORDER + 1)), np.int64)
-    counts[counted["side"], counted["run"]] = counted["n"]
+    for r in counted.select("side", "run", "n").mapInArrow(_packed, "side binary, run binary, n binary").collect():
+        counts[np.frombuffer(r["side"], np.int8), np.frombuffer(r["run"], np.int32)] = np.frombuffer(r["n"], np.int64)
     both = counts.sum(axis=1).all()
     ratio = spark.sparkContext.broadcast(log_model(counts[0]) - log_model(counts[1]) if both else np.zeros(counts.shape[1], np.float32))
 
@@ -176,12 +186,12 @@ def url_verdicts(pages: DataFrame, allow: list[str] = ALLOW, block: list[str] =
             made = [difference(u, ratio.value) for u in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.float64())], names=[*batch.schema.names, "score"])
 
-    scored = read.mapInArrow(score, "page_id long, url string, host string, path string, rule string, by_rule string, score double")
+    schema = "page_id long, url string, host string, path string, rule string, by_rule string, score double"
     at = 0.0
     if both:
-        held = F.pmod(F.crc32(F.coalesce(url, F.lit("")).cast("binary")), F.lit(HELD_OUT)) == 0
+        held = read.where(F.col("by_rule").isNotNull() & (part == 0)).mapInArrow(score, schema)
         clipped = F.greatest(F.lit(-SPAN), F.least(F.lit(SPAN), F.col("score")))
-        bins = scored.where(F.col("by_rule").isNotNull() & held).groupBy(F.floor(clipped / BIN).cast("int").alias("b"), "by_rule").count()
+        bins = held.groupBy(F.floor(clipped / BIN).cast("int").alias("b"), "by_rule").count()
         at = threshold([(r["b"], r["by_rule"], r["count"]) for r in bins.collect()])  # at most 4 SPAN / BIN rows
     judged = F.coalesce("by_rule", F.when(F.col("score") >= at, "allow").otherwise("block"))
-    return scored.select("page_id", "host", "path", "rule", judged.alias("verdict"), F.round("score", 6).alias("score"))
+    return read.mapInArrow(score, schema).select("page_id", "host", "path", "rule", judged.alias("verdict"), F.round("score", 6).alias("score"))
