@@ -4,13 +4,15 @@ A paragraph is a line of a text, or a stretch of neighbouring lines with words (
 words) that holds a notice wrapped over them. Word n-grams of one to three words feed a multinomial logistic
 regression over licence families and an unknown class, trained in numpy on notices of each family under
 random changes and on sentences that only speak of licences. The regression's temperature and the least
-probability of a prediction are calibrated on notices and sentences kept out of training; below it, a
-paragraph's class is unknown. A prediction is confirmed by comparison with the family's templates: enough
-of a template's words (weighted by how few families use them) must stand together in the paragraph.
+probability of a prediction are calibrated on other notices and sentences (CALIBRATION), worded otherwise,
+from which it doesn't learn; below that probability, a paragraph's class is unknown. A prediction is
+confirmed by comparison with the family's templates (both sets): enough of a template's words (weighted by
+how few families use them) must stand together in the paragraph.
 
 Notices over several lines are sought where a template's words stand together; of notices that overlap, the
-one with more weight counts, and it must outweigh all single lines confirmed by themselves. Its line is the one where it begins, and lines of
-it count as no prediction of their own.
+one with more weight counts. It must outweigh what its lines confirm by themselves: all of that, but if it has
+nearly a whole template, of its own family only the weightiest. Its line is the one where it begins, and
+lines of it count as no prediction of their own.
 
 Only n-grams of the training notices are features, and each has a word that is not in COMMON, so a
 paragraph without such words has no features and is unknown; that lets most texts pass by one set
@@ -32,33 +34,52 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import map_rows
 
-# Notices of each family.
+# Notices of each family, from which the regression learns.
 TEMPLATES = {
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
         "This project is released under the Apache 2.0 license.",
         "SPDX-License-Identifier: Apache-2.0",
     ],
     "MIT": [
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
         "This software is distributed under the MIT license.",
         "SPDX-License-Identifier: MIT",
     ],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Released under the ISC License.",
+        "SPDX-License-Identifier: ISC",
+    ],
     "GPL": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
+        "You should have received a copy of the GNU General Public License along with this program.",
         "Distributed under the GNU GPL version 2 or later.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ],
+    "AGPL": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation.",
+        "You should have received a copy of the GNU Affero General Public License along with this program.",
+        "Distributed under the GNU AGPL version 3 or later.",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+    ],
     "LGPL": [
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License.",
+        "You should have received a copy of the GNU Lesser General Public License along with this library.",
         "Licensed under the LGPL version 2.1 or later.",
         "SPDX-License-Identifier: LGPL-2.1-only",
     ],
     "BSD": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
         "Licensed under the BSD 3-Clause License.",
         "Use of this source code is governed by a BSD-style license.",
         "SPDX-License-Identifier: BSD-3-Clause",
@@ -68,6 +89,22 @@ TEMPLATES = {
         "Licensed under the Mozilla Public License 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
     ],
+    "EPL": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+        "Licensed under the Eclipse Public License, version 2.0.",
+        "SPDX-License-Identifier: EPL-2.0",
+    ],
+    "Zlib": [
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Released under the zlib license.",
+        "SPDX-License-Identifier: Zlib",
+    ],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "SPDX-License-Identifier: Unlicense",
+    ],
     "CC-BY": [
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
@@ -90,7 +127,26 @@ TEMPLATES = {
         "All rights reserved. No part of this publication may be reproduced without prior written permission.",
     ],
 }
-# Sentences of the unknown class.
+# Notices on which the regression is calibrated; it doesn't learn from them.
+CALIBRATION = {
+    "Apache-2.0": ["The code is available under the terms of the Apache License 2.0, see the file LICENSE.", "Apache License, Version 2.0, January 2004."],
+    "MIT": ["MIT License, copyright by the authors.", "You can use it under the terms of the MIT License.", "The MIT License (MIT)"],
+    "ISC": ["This package is under the ISC License.", "ISC License, copyright by the maintainers."],
+    "GPL": ["You may copy it under the terms of version 2 of the GNU General Public License.", "License: GNU GPL v3"],
+    "AGPL": ["You may copy it under the terms of version 3 of the GNU Affero General Public License.", "License: GNU AGPL v3"],
+    "LGPL": ["You may link it under the terms of the GNU Lesser General Public License.", "License: LGPL v3 or later"],
+    "BSD": ["It is available under the BSD license, see the file COPYING.", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation."],
+    "MPL-2.0": ["The contents of this file are subject to the Mozilla Public License Version 2.0.", "License: MPL 2.0"],
+    "EPL": ["The plugin is provided under the Eclipse Public License v2.0.", "License: EPL 2.0"],
+    "Zlib": ["The library is under the zlib license.", "License: zlib"],
+    "Unlicense": ["In jurisdictions that recognize copyright laws, the authors dedicate the unencumbered software to the public domain.", "License: Unlicense"],
+    "CC-BY": ["The figures are published under the Creative Commons Attribution License CC BY 4.0.", "License: CC BY 4.0"],
+    "CC-BY-SA": ["The maps are published under the Creative Commons Attribution-ShareAlike License.", "License: CC BY-SA 4.0"],
+    "CC-BY-NC": ["The songs are published under the Creative Commons Attribution-NonCommercial License.", "License: CC BY-NC 4.0"],
+    "CC0": ["The data set is dedicated to the public domain under CC0 1.0.", "License: CC0 1.0 Universal"],
+    "Proprietary": ["Copyright by the publisher, all rights reserved.", "No part of this work may be reproduced or transmitted without prior written permission of the publisher."],
+}
+# Sentences of the unknown class, to learn from and to calibrate on.
 OTHERS = [
     "A driver must carry a valid license at all times.",
     "The software was released in spring and runs on most machines.",
@@ -109,6 +165,30 @@ OTHERS = [
     "Elle chante avec les enfants, et le public est libre de partir.",
     "El general lee una obra con atribución dudosa en la biblioteca.",
     "The apache helicopter flew over the bridge.",
+    "During the eclipse the program of the concert was changed.",
+    "The author waived the fee and dedicated the book to the public.",
+    "The warranty of the car covers damages that arise within two years.",
+    "Copyright law protects the rights of authors and publishers.",
+    "The permission notice on the wall names the following conditions.",
+    "A person of the domain of physics published the source code.",
+]
+CALIBRATION_OTHERS = [
+    "She lost her license after the accident and sold the car.",
+    "The public library is free to all and open until eight.",
+    "The permission of the owner is needed to modify the building.",
+    "A copy of the letter was distributed to every member.",
+    "The new version of the program is faster than version two.",
+    "Commons are lands that the public may use without charge.",
+    "The university grants the rights to publish the work in a journal.",
+    "The restaurant got its license under the new law.",
+    "The mozilla of the legend was a creature of the lake.",
+    "The materials of the bridge must meet the following conditions.",
+    "The foundation gave the software to schools for free.",
+    "An eclipse of the sun is a public event in this town.",
+    "The name of the holder is written on the back of the card.",
+    "El programa es libre y el autor permite copias en la escuela.",
+    "Die Lizenz zum Angeln gilt unter den folgenden Bedingungen.",
+    "Le permis de conduire est valable dans le domaine public.",
 ]
 # Words that are no evidence by themselves.
 COMMON = set("a an and any are as at be by can for from has have in into is it its may no not of on or part that the their this to under use was were with without you your all".split())
@@ -117,7 +197,7 @@ UNKNOWN = "unknown"
 FAMILIES = [UNKNOWN, *TEMPLATES]
 LONGEST = 3
 COPIES = 24
-LEAST_SHARE = 0.6
+LEAST_SHARE, WHOLE, LEAST_SURE = 0.6, 0.9, 0.25
 _TABLE = bytes(b if b >= 128 else ord(chr(b).lower()) if chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -163,8 +243,8 @@ class Classifier:
                     return True
         return False
 
-    def matches(self, family: str, words: list[str], distinct: set[str]) -> list[tuple[float, int, int]]:
-        """(weight, first word, end) of the stretches with enough of a template's words, as `confirmed` has it."""
+    def matches(self, family: str, words: list[str], distinct: set[str]) -> list[tuple[float, int, int, bool]]:
+        """(weight, first word, end, whether nearly the whole template) of the stretches with enough of a template's words, as `confirmed` has it."""
         out = []
         for template, weight in self.templates[family]:
             need = LEAST_SHARE * sum(weight.values())
@@ -184,7 +264,7 @@ class Classifier:
                     first, t = i, template.index(words[i])
                     while first and t and words[first - 1] == template[t - 1]:
                         first, t = first - 1, t - 1
-                    out.append((total, first, end))
+                    out.append((total, first, end, total >= WHOLE * sum(weight.values())))
         return out
 
     def scan(self, text: str) -> list[tuple[int, str, bool]]:
@@ -211,7 +291,7 @@ class Classifier:
         words = [w for _, line in block for w in line]
         lines = [i for i, line in block for _ in line]
         distinct = set(words)
-        wrapped = [(weight, family, first, end) for family in self.templates for weight, first, end in self.matches(family, words, distinct) if lines[first] != lines[end - 1]]
+        wrapped = [(weight, family, first, end, whole) for family in self.templates for weight, first, end, whole in self.matches(family, words, distinct) if lines[first] != lines[end - 1]]
         if not wrapped:
             return found
         starts, at = {}, 0
@@ -225,9 +305,11 @@ class Classifier:
                 own = words[first:end]
                 single.append((max(m[0] for m in self.matches(family, own, set(own))), family, first, end))
         taken, covered, out = [False] * len(words), set(), []
-        for weight, family, first, end in sorted(wrapped, key=lambda m: (-m[0], m[3] - m[2], m[2])):
-            against = sum(w for w, _, a, b in single if a < end and first < b)
-            if weight > against and not any(taken[first:end]) and self.predict(words[first:end])[0] == family:
+        for weight, family, first, end, whole in sorted(wrapped, key=lambda m: (-m[0], m[3] - m[2], m[2])):
+            beside = [(w, f) for w, f, a, b in single if a < end and first < b]
+            own = [w for w, f in beside if f == family]
+            against = sum(w for w, f in beside if f != family) + (max(own, default=0) if whole else sum(own))
+            if weight > against + 1e-9 and not any(taken[first:end]) and self.predict(words[first:end])[0] == family:
                 taken[first:end] = [True] * (end - first)
                 out.append((lines[first], family, True))
                 covered.update(lines[first:end])
@@ -235,21 +317,26 @@ class Classifier:
         return sorted([*out, *(f for f in found if not f[2] and f[0] not in covered)])
 
 
-def _examples(seed: int) -> tuple[list[list[str]], list[int]]:
+def notices(*sets: dict[str, list[str]]) -> dict[str, list[list[str]]]:
+    """The words of the notices of each family."""
+    return {f: [[w for w in words_of(t) if w] for of in sets for t in of[f]] for f in TEMPLATES}
+
+
+def _examples(seed: int, of: dict[str, list[str]] = TEMPLATES, others: list[str] = OTHERS) -> tuple[list[list[str]], list[int]]:
     """Notices with words left out and filler around them; for the unknown class also shuffled pieces of notices."""
     r = np.random.RandomState(seed)
-    filler = [w for s in OTHERS for w in words_of(s) if w]
-    notices = [(k, [w for w in words_of(t) if w]) for k, family in enumerate(FAMILIES) if k for t in TEMPLATES[family]]
-    used = [{w for j, words in notices if j == k for w in words} for k in range(1, len(FAMILIES))]
+    filler = [w for s in others for w in words_of(s) if w]
+    own = [(FAMILIES.index(f), words) for f, made in notices(of).items() for words in made]
+    used = [{w for j, words in own if j == k for w in words} for k in range(1, len(FAMILIES))]
     shared = COMMON | {w for words in used for w in words if sum(w in u for u in used) >= 3}
     rows, classes = [], []
-    for k, words in [*notices, *((0, [w for w in words_of(s) if w]) for s in OTHERS for _ in range(4))]:
+    for k, words in [*own, *((0, [w for w in words_of(s) if w]) for s in others for _ in range(4))]:
         for c in range(COPIES):
-            kept = [w for w in words if c == 0 or r.rand() > 0.08] or words
+            kept = [w for w in words if c == 0 or r.rand() > (0.08, 0.3)[c % 2]] or words
             before, after = (list(r.choice(filler, r.randint(0, 12))) if c % 3 else [] for _ in range(2))
             rows.append([*before, *kept, *after])
             classes.append(k)
-    for _, words in notices:
+    for _, words in own:
         for _ in range(COPIES // 3):  # a few words of a notice are no notice
             cut = r.randint(0, max(1, len(words) - 2))
             piece = words[cut : cut + 2]
@@ -261,7 +348,7 @@ def _examples(seed: int) -> tuple[list[list[str]], list[int]]:
 
 def train(steps: int = 150, rate: float = 0.5, decay: float = 1e-4) -> Classifier:
     rows, classes = _examples(1)
-    features = {g: i for i, g in enumerate(sorted({g for k, f in enumerate(FAMILIES) if k for t in TEMPLATES[f] for g in grams(words_of(t))}))}
+    features = {g: i for i, g in enumerate(sorted({g for made in notices(TEMPLATES).values() for words in made for g in grams(words)}))}
     matrix = lambda rows: np.array([_row(features, r) for r in rows], np.float32)
     x, y = matrix(rows), np.eye(len(FAMILIES), dtype=np.float32)[classes]
     w, mean, square = (np.zeros((x.shape[1], len(FAMILIES)), np.float32) for _ in range(3))
@@ -271,27 +358,25 @@ def train(steps: int = 150, rate: float = 0.5, decay: float = 1e-4) -> Classifie
         g = x.T @ (p / p.sum(axis=1, keepdims=True) - y) / len(x) + decay * w
         mean, square = 0.9 * mean + 0.1 * g, 0.99 * square + 0.01 * g * g
         w -= rate / 5 * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-6)
-    own = {f: [[x for x in words_of(t) if x] for t in TEMPLATES[f]] for f in TEMPLATES}
+    own = notices(TEMPLATES, CALIBRATION)
     used: dict[str, int] = {}
     for f in own:
-        for x in {x for t in own[f] for x in t}:
-            used[x] = used.get(x, 0) + 1
-    rare = lambda t: {x: math.log(1 + len(own) / used[x]) for x in t if x not in COMMON}
+        for word in {word for t in own[f] for word in t}:
+            used[word] = used.get(word, 0) + 1
+    rare = lambda t: {word: math.log(1 + len(own) / used[word]) for word in t if word not in COMMON}
     model = Classifier(features, w, 1.0, 0.5, {f: [(t, rare(t)) for t in own[f]] for f in own})
     model.anchors = frozenset(g for g in features if " " not in g)
-    held_rows, held = _examples(2)
+    held_rows, held = _examples(2, CALIBRATION, CALIBRATION_OTHERS)
     z, held = matrix(held_rows) @ w, np.array(held)
 
-    def loss(temperature: float) -> float:
-        s = z / temperature
-        return float((np.log(np.exp(s - s.max(axis=1, keepdims=True)).sum(axis=1)) + s.max(axis=1) - s[np.arange(len(s)), held]).mean())
+    def shares(temperature: float) -> np.ndarray:
+        p = np.exp((z - z.max(axis=1, keepdims=True)) / temperature)
+        return p / p.sum(axis=1, keepdims=True)
 
+    loss = lambda temperature: float(-np.log(shares(temperature)[np.arange(len(held)), held] + 1e-12).mean())
     model.temperature = min(np.linspace(0.5, 5, 46).tolist(), key=loss)
-    s = z / model.temperature
-    p = np.exp(s - s.max(axis=1, keepdims=True))
-    p /= p.sum(axis=1, keepdims=True)
-    most = np.sort(p[held == 0][:, 1:].max(axis=1))
-    model.least = float(max(0.5, most[int(0.99 * (len(most) - 1))]))  # at most a hundredth of the unknown pass
+    most = np.sort(shares(model.temperature)[held == 0][:, 1:].max(axis=1))
+    model.least = float(max(LEAST_SURE, most[int(0.99 * (len(most) - 1))]))  # at most a hundredth of the unknown pass
     return model
 
 
