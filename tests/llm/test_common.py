@@ -1,4 +1,5 @@
 import pyarrow as pa
+import pytest
 
 from weftline.llm import common
 
@@ -17,14 +18,25 @@ def test_saved_tables(spark):
     assert not fs.exists(where)
 
 
+def test_temporary_tables(spark):
+    kept = []
+    with common.temporary_tables(spark, kept):
+        gone = common.save(spark.range(3), "a")
+        kept.append(common.save(spark.range(4), "b"))
+    there = [common._path(spark, df._weftline_path) for df in (gone, kept[0])]
+    assert [fs.exists(where) for fs, where in there] == [False, True] and kept[0].count() == 4
+
+
 def test_a_session_that_names_no_folder():
     class Conf:
         def get(self, key, default):
             return default
 
-    class Session:
-        conf = Conf()
-        sparkContext = type("C", (), {"applicationId": "app-1"})
+    def session(master):
+        return type("S", (), {"conf": Conf(), "sparkContext": type("C", (), {"applicationId": "app-1", "master": master})})
 
-    assert common.shared_dir(Session()) == common.shared_dir(Session())
-    assert common.shared_dir(Session()).startswith("file:///")
+    assert common.shared_dir(session("local[4]")) == common.shared_dir(session("local"))
+    assert common.shared_dir(session("local[*]")).startswith("file:///")
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(ValueError):
+            common.shared_dir(session(master))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Characters of text that are turned into Python objects at one time.
 TEXT_BLOCK = 4_000_000
-#: Folders of sessions that name none, by application.
+#: Folders of sessions on one machine that name none, by application.
 _OWN: dict[str, str] = {}
+#: Paths that save() has written, for each temporary_tables() that is open.
+_OPEN: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where the session names none (tests on one machine) a temporary folder takes its place.
+    Only where all of Spark is one process (as in tests) may the session name none; a temporary folder takes its place.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("no folder that driver and executors share; set spark.checkpoint.dir")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = f"file://{tempfile.mkdtemp(prefix='weftline-')}"
@@ -51,6 +57,8 @@ def save(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     fs, where = _path(spark, path)
     fs.deleteOnExit(where)
+    for record in _OPEN:
+        record.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._weftline_path = path
     return out
@@ -62,6 +70,20 @@ def drop(df: DataFrame) -> None:
     fs.delete(where, True)
 
 
+@contextmanager
+def temporary_tables(spark: SparkSession, keep: list[DataFrame]):
+    """Deletes at its end what save() has written since, but for the frames in `keep`."""
+    record: list[str] = []
+    _OPEN.append(record)
+    try:
+        yield
+    finally:
+        _OPEN.remove(record)
+        for path in set(record) - {df._weftline_path for df in keep}:
+            fs, where = _path(spark, path)
+            fs.delete(where, True)
+
+
 def text_blocks(batch: pa.RecordBatch, name: str = "text", block: int = TEXT_BLOCK) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) of a batch, in blocks of bounded size; a null text is an empty one.
 
