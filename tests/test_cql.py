@@ -1,7 +1,10 @@
 import datetime as dt
+import struct
 
+import numpy as np
 import pytest
 
+from weftline.cql import token
 from weftline.cql.session import Session
 from weftline.errors import ScriptError
 
@@ -71,6 +74,49 @@ def test_changes(s):
         s.execute("SELECT * FROM t")
 
 
+def test_tokens_are_murmur3(spark, s):
+    guava = spark.sparkContext._jvm.com.google.common.hash.Hashing.murmur3_128()
+    for n in (0, 1, 7, 8, 9, 15, 16, 17, 31, 32, 100):
+        data = bytes(range(100, 100 + n))
+        assert token.murmur3(data) == guava.hashBytes(bytearray(data)).asLong()
+    numbers = [0, 1, -1, 2**40, -(2**63), 2**63 - 1]
+    assert token.of_eight_bytes(np.array(numbers)).tolist() == [guava.hashLong(n).asLong() for n in numbers]
+    got = rows(s.execute("SELECT token(pk), token(name), token(v), token(ok) FROM t WHERE pk = 1 AND ck = 1"))[0]
+    assert got == (guava.hashLong(1).asLong(), token.murmur3(b"a"), guava.hashBytes(bytearray(struct.pack("<d", 1.5))).asLong(), None)
+
+
+def test_conditions_reach_the_files(spark, tmp_path):
+    spark.range(10).selectExpr("id", "id * 1.5D as v", "cast(id as string) as name").write.parquet(f"{tmp_path}/t")
+    s = Session(spark)
+    s.register("t", spark.read.parquet(f"{tmp_path}/t"), ["id"])
+    made = s.execute("SELECT id FROM t WHERE v > 3.0 AND (id < 9 OR name = '9')")
+    plan = made._jdf.queryExecution().toString()
+    assert "GreaterThan(v,3.0)" in plan and "Or(LessThan(id,9)" in plan and made.count() == 7
+
+
+def test_inserted_rows_take_no_jobs(spark):
+    s = Session(spark)
+    s.execute("CREATE TABLE w (k int PRIMARY KEY, v int)")
+    tracker = spark.sparkContext.statusTracker()
+    before = max(tracker.getJobIdsForGroup(None), default=-1)
+    for k in range(30):
+        s.execute("INSERT INTO w (k, v) VALUES (?, ?)", k, k)
+    assert max(tracker.getJobIdsForGroup(None), default=-1) == before
+    made = s.execute("SELECT * FROM w")
+    assert made.count() == 30 and made._jdf.queryExecution().analyzed().toString().count("Union") <= 1
+    with pytest.raises(ScriptError):
+        s.execute("INSERT INTO w (k, v) VALUES (3, 3)")
+    s.execute("DELETE FROM w WHERE k = 3; INSERT INTO w (k, v) VALUES (3, 4); UPDATE w SET v = 9 WHERE k = 77")
+    with pytest.raises(ScriptError):
+        s.execute("INSERT INTO w (k, v) VALUES (77, 3)")
+    assert rows(s.execute("SELECT v FROM w WHERE k IN (3, 77)")) == [(4,), (9,)]
+
+
+def test_pages(s):
+    assert s.pages("SELECT pk, ck FROM t", size=2) == ([(1, 2), (1, 1)], 2)
+    assert s.pages("SELECT pk, ck FROM t", size=2, state=2) == ([(2, 1)], None)
+
+
 @pytest.mark.parametrize(
     "text",
     ["SELECT JSON * FROM t", "SELECT pk FROM t GROUP BY pk", "SELECT pk FROM t LIMIT 1 OFFSET 2", "SELECT pk FROM t ALLOW FILTERING", "SELECT pk FROM t PER PARTITION LIMIT 1", "SELECT pk FROM t ORDER BY ck", "SELECT pk FROM t ORDER BY name ASC", "SELECT pk FROM t WHERE name ~ 'a'", "SELECT none FROM t", "SELECT count(*) + 1 FROM t",

@@ -1,7 +1,7 @@
 import pytest
 from compare import rows_of, rows_of_sql
 
-from weftline import queries
+from weftline import more_queries, queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

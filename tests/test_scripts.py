@@ -1,7 +1,9 @@
 import json
+import threading
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from weftline import cli, queries
 from weftline.errors import ScriptError
@@ -9,7 +11,7 @@ from weftline.plans import policies
 from weftline.plans.planner import Planner
 from weftline.plans.params import substitute
 from weftline.plans.policies import FAIL, START, STOP, SUCCESS, Event
-from weftline.plans.runs import Engine, diagram, node_statuses, run_statuses
+from weftline.plans.runs import Engine, _now, diagram, node_statuses, run_statuses
 from weftline.plans.script import build, load
 from weftline.sources import sink
 from weftline.sources.infer import csv_reader, general, guess, parquet_reader, table_writer
@@ -109,8 +111,106 @@ def test_failures_are_recorded(spark, folder):
     (folder / "in.csv").write_text(LINES + "1,$3.00,x,2020-01-01,1\n")  # the id comes twice
     s, engine = script(folder), Engine(spark, f"file://{folder}/root")
     engine.start_run("ks", s, ["read"])
-    assert {r["script_node"]: r["status"] for r in node_statuses(engine.history("ks", "wf_batch_history")).collect()} == {"read": FAIL}
+    assert {r["script_node"]: r["status"] for r in node_statuses(engine.history("ks", "wf_batch_history")).collect()} == dict.fromkeys(s.nodes, FAIL)
     assert engine.exec_node("ks", s, "twice", 1) == FAIL
+    comments = {r["script_node"]: r["comment"] for r in engine.history("ks", "wf_node_history").where(f"status = {FAIL}").collect()}
+    assert comments["twice"] == "dependencies: nogo" and "read" in engine.history("ks", "wf_run_history").orderBy(F.desc("ts")).first()["comment"]
+    with pytest.raises(Exception):  # noqa: B017
+        engine.table("ks", "items", 1).count()  # what breaks a unique index is never in place
+
+
+def test_a_table_stays_until_the_next_is_in_place(spark, folder):
+    engine = Engine(spark, f"file://{folder}/root")
+    one, two = spark.range(3), spark.range(5)
+    engine._store("ks", "t", 1, one)
+
+    def refuse(df):
+        raise ScriptError(str(df.count()))
+
+    with pytest.raises(ScriptError, match="5"):
+        engine._store("ks", "t", 1, two, refuse)
+    assert engine.table("ks", "t", 1).count() == 3
+    engine._store("ks", "t", 1, two)
+    assert engine.table("ks", "t", 1).count() == 5
+    (folder / "root/ks/t/run_id=00001").rename(folder / "root/ks/t/run_id=00001.old")  # a crash between the two renames
+    assert engine.table("ks", "t", 1).count() == 5
+
+
+def test_waiting_and_time_limits(spark, folder):
+    s, engine = script(folder, "manual"), Engine(spark, f"file://{folder}/root", wait_seconds=30, poll_seconds=0.2)
+    engine._append("ks", "wf_run_properties", [(1, "read", "read", "", "{}", "")])
+    engine._append("ks", "wf_run_history", [(_now(), 1, START, "")])
+    engine._node_event("ks", 1, "read", START)
+    engine._new_run("ks")
+
+    def finish():  # another engine that ends its node a little later
+        other = Engine(spark, f"file://{folder}/root")
+        other._store("ks", "items", 1, Planner(spark, s).build(s.nodes["read"]))
+        other._node_event("ks", 1, "read", SUCCESS)
+
+    later = threading.Timer(2, finish)
+    later.start()
+    run = engine.start_run("ks", s, ["twice"])
+    later.join()
+    assert engine.exec_node("ks", s, "twice", run) == SUCCESS
+    slow = build({"nodes": {"n": queries.reader("x", "y", {"a": "int"}) | {"max_batch_processing_time": 1500}}})
+    with pytest.raises(Exception), engine._limited(slow.nodes["n"].max_seconds):  # noqa: B017
+        spark.range(40).repartition(4).selectExpr("reduce(sequence(1, 30000000), 0L, (a, x) -> a + x)").collect()
+    assert spark.range(3).count() == 3
+
+
+def test_each_file_has_its_own_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "b.csv").write_text("b,a\n2,1\n")
+    columns = {c: {"csv": {"col_hdr": c}, "col_type": "int"} for c in "ab"}
+    r = {"urls": [f"{tmp_path}/a.csv", f"{tmp_path}/b.csv"], "csv": {"hdr_line_idx": 0, "first_data_line_idx": 1}, "columns": columns}
+    node = {"type": "file_table", "r": r, "w": queries.writer("t", {c: (f"r.{c}", "int") for c in "ab"})}
+    assert [tuple(x) for x in Planner(spark, build({"nodes": {"n": node}})).table("t").collect()] == [(1, 2)] * 2
+    (tmp_path / "b.csv").write_text("b,c\n2,1\n")
+    with pytest.raises(ScriptError, match="no columns a"):
+        Planner(spark, build({"nodes": {"n": node}})).table("t")
+
+
+def test_large_files_tell_by_their_quotes(spark, tmp_path, monkeypatch):
+    from weftline.sources import scan
+
+    monkeypatch.setattr(scan, "SMALL", 0)
+    plain, quoted = tmp_path / "plain.csv", tmp_path / "quoted.csv"
+    plain.write_text("".join(f'{i},"x{i}"\n' for i in range(1000)))
+    quoted.write_text("".join(f'{i},"x\n{i}"\n' for i in range(1000)))
+    for path, feeds in ((plain, False), (quoted, True)):
+        columns = {"k": {"csv": {"col_idx": 0}, "col_type": "int"}, "t": {"csv": {"col_idx": 1}, "col_type": "string"}}
+        node = {"type": "file_table", "r": {"urls": [str(path)], "csv": {}, "columns": columns}, "w": queries.writer("t", {"k": ("r.k", "int"), "t": ("r.t", "string")})}
+        df = Planner(spark, build({"nodes": {"n": node}})).table("t")
+        assert scan._has_line_feeds(spark, [str(path)], 1) == feeds and df.count() == 1000 and df.where("k = 7").first()["t"] == ("x\n7" if feeds else "x7")
+
+
+def test_a_file_has_all_rows_whatever_the_session_says(spark, tmp_path):
+    types = {"n_nationkey": "int"}
+    spark.range(1500).selectExpr("id as n_nationkey").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 100)
+    try:
+        for kind, target in (("parquet", "o.parquet"), ("csv", "o.csv"), ("parquet", "b_{batch_idx|string}.parquet")):
+            columns = [{"name": "n_nationkey", "expression": "r.n_nationkey", "type": "int", kind: {"column_name": "k"} if kind == "parquet" else {"header": "k"}}]
+            s = build({"nodes": {"r": queries.reader(str(tmp_path), "nation", types), "w": {"type": "table_file", "r": {"table": "t_nation", "expected_batches_total": 3}, "w": {"url_template": f"{tmp_path}/{target}", "columns": columns, "having": "w.n_nationkey < 1200"}}}})
+            files = sink.write(Planner(spark, s).build(s.nodes["w"]), s.nodes["w"].writer, 1, 3)
+            assert (spark.read.parquet(*files) if kind == "parquet" else spark.read.text(files).where("value <> 'k'")).count() == 1200
+        s = build({"nodes": {"r": queries.reader(str(tmp_path), "nation", types), "w": {"type": "table_file", "r": {"table": "t_nation", "expected_batches_total": 4}, "w": {"url_template": f"{tmp_path}/e_{{batch_idx|string}}.parquet", "columns": [columns[0]], "having": "w.n_nationkey == 5"}}}})
+        files = sink.write(Planner(spark, s).build(s.nodes["w"]), s.nodes["w"].writer, 1, 4)
+        assert len(files) == 4 and sorted(spark.read.parquet(f).count() for f in files) == [0, 0, 0, 1]
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+
+
+def test_fetched_files_come_in_blocks(spark, tmp_path):
+    from weftline.sources import uris
+
+    uris.FETCHERS["test"] = lambda uri: (f"{i},x{i}\n".encode() for i in range(1000))
+    try:
+        path = uris.readable(spark, "test://host/in.csv", f"file://{tmp_path}")
+    finally:
+        del uris.FETCHERS["test"]
+    assert spark.read.text(path).count() == 1000
 
 
 def test_stopped_runs(spark, folder):

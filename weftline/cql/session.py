@@ -1,7 +1,8 @@
 """Runs statements of the query dialect.
 
-A table is a DataFrame with its key. Definitions and changes replace the DataFrame; inserted rows wait on
-the driver until the table is next read. Comparisons with null are two-valued: null equals null and
+A table is a DataFrame with its key. Definitions and changes replace the DataFrame; inserted rows are kept on
+the driver, beside it, as one relation. After MANY changes or inserted rows a table is written out, if there is
+a folder that executors share, so that plans stay small. Comparisons with null are two-valued: null equals null and
 nothing else, and is neither less nor greater than anything. DISTINCT and LIMIT take effect, and DELETE
 removes the rows that its condition names.
 """
@@ -9,14 +10,16 @@ removes the rows that its condition names.
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, field
+import uuid
+from dataclasses import dataclass, field, replace
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.cql import parser as q
+from weftline.cql import token
 from weftline.errors import ScriptError
 
 # Column types, and how Spark holds them.
@@ -26,6 +29,10 @@ TYPES = {
 }
 AGGREGATES = {"count", "sum", "avg", "min", "max", "count_if", "sum_if", "avg_if", "min_if", "max_if", "string_agg", "string_agg_if"}
 WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+#: Changes, and inserted rows, after which a table is written out.
+MANY_CHANGES, MANY_ROWS = 20, 10_000
+#: Functions whose value is one for a statement.
+TIMES = ("current_timestamp", "current_date", "current_time", "now")
 
 
 @dataclass
@@ -34,8 +41,11 @@ class Table:
     partition: list[str]
     clustering: list[str]
     descending: dict[str, bool]
-    data: DataFrame
-    waiting: list[tuple] = field(default_factory=list)
+    base: DataFrame
+    rows: list[tuple] = field(default_factory=list)  # inserted since base
+    keys: set[tuple] | None = None  # of all rows, where the driver knows them
+    changes: int = 0
+    whole: DataFrame | None = None  # base and rows, once they have been asked for
 
     @property
     def key(self) -> list[str]:
@@ -64,6 +74,11 @@ class Session:
         data = df.select(*(F.col(f"`{c}`").cast(TYPES[k]).alias(c) for c, k in kinds.items()))
         self.keyspaces[self.keyspace][name] = Table(kinds, key, [], {}, data)
 
+    def pages(self, text: str, *params, size: int, state: int = 0) -> tuple[list[Row], int | None]:
+        """At most `size` rows of a select behind the first `state` ones, and the state for the next page (None behind the last)."""
+        found = self.execute(text, *params).offset(state).limit(size + 1).collect()
+        return found[:size], state + size if len(found) > size else None
+
     # names
 
     def _space(self, name: str | None) -> dict[str, Table]:
@@ -79,10 +94,21 @@ class Session:
         return found
 
     def _data(self, t: Table) -> DataFrame:
-        if t.waiting:
-            t.data = t.data.union(self.spark.createDataFrame(t.waiting, t.schema()))
-            t.waiting = []
-        return t.data
+        if t.whole is None:
+            t.whole = t.base.union(self.spark.createDataFrame(t.rows, t.schema())) if t.rows else t.base
+        return t.whole
+
+    def _changed(self, t: Table, data: DataFrame, keys: set[tuple] | None) -> None:
+        """data takes the place of a table's rows."""
+        t.base, t.rows, t.keys, t.whole, t.changes = data, [], keys, None, t.changes + 1
+        self._written(t)
+
+    def _written(self, t: Table) -> None:
+        folder = self.spark.conf.get("spark.checkpoint.dir", None)
+        if folder and (t.changes >= MANY_CHANGES or len(t.rows) >= MANY_ROWS):
+            path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+            self._data(t).write.parquet(path)
+            t.base, t.rows, t.whole, t.changes = self.spark.read.schema(t.schema()).parquet(path), [], None, 0
 
     # definitions
 
@@ -111,7 +137,7 @@ class Session:
         order = [*s.partition, *s.clustering]
         columns = {c: s.columns[c] for c in [*order, *(c for c in s.columns if c not in order)]}
         t = Table(columns, s.partition, s.clustering, s.descending, None)
-        t.data = self.spark.createDataFrame([], t.schema())
+        t.base, t.keys = self.spark.createDataFrame([], t.schema()), set()
         space[s.table] = t
 
     def _drop_table(self, s: q.Statement) -> None:
@@ -122,7 +148,7 @@ class Session:
 
     def _truncate(self, s: q.Statement) -> None:
         t = self._table(s)
-        t.data, t.waiting = self.spark.createDataFrame([], t.schema()), []
+        t.base, t.rows, t.keys, t.changes, t.whole = self.spark.createDataFrame([], t.schema()), [], set(), 0, None
 
     # changes
 
@@ -137,13 +163,18 @@ class Session:
             raise ScriptError(f"no values for the key columns {', '.join(missing)}")
         row = tuple(self._stored(s.values.get(c), k) for c, k in t.columns.items())
         made = dict(zip(t.columns, row, strict=True))
-        there = self._data(t).where(_all([F.col(f"`{c}`").eqNullSafe(F.lit(made[c])) for c in t.key]))
-        old = there.take(1)
+        key = tuple(made[c] for c in t.key)
+        same = _all([F.col(f"`{c}`").eqNullSafe(F.lit(v)) for c, v in zip(t.key, key, strict=True)])
+        old = key in t.keys if t.keys is not None else bool(self._data(t).where(same).take(1))
         if old and not s.if_not_exists:
-            raise ScriptError(f"there is a row with the key {tuple(made[c] for c in t.key)}")
+            raise ScriptError(f"there is a row with the key {key}")
         if not old:
-            t.waiting.append(row)
-        return self._applied(not old, there.limit(1) if old else None) if s.if_not_exists else None
+            t.rows.append(row)
+            t.whole = None
+            if t.keys is not None:
+                t.keys.add(key)
+            self._written(t)
+        return self._applied(not old, self._data(t).where(same).limit(1) if old else None) if s.if_not_exists else None
 
     def _stored(self, tree, kind: str):
         """The Python value of a constant, in the column's type."""
@@ -158,26 +189,37 @@ class Session:
         t = self._table(s)
         data, compiler = self._data(t), Compiler(t.columns)
         where = compiler.truth(s.where)
-        there = data.where(where)
+        there = data.where(compiler.condition(s.where))
         old = there.take(1)
+        values = {c: self._frozen(e) for c, e in s.values.items()}
         if s.if_exists or s.condition is not None:
             fits = bool(old) and (s.condition is None or bool(there.where(compiler.truth(s.condition)).take(1)))
             if not fits:
                 return self._applied(False, there.limit(1) if old else None)
         if old:
             change = where if s.condition is None else where & compiler.truth(s.condition)
-            changed = {c: compiler.column(e).cast(TYPES[t.columns[c]]) for c, e in s.values.items()}
-            t.data = data.select(*(F.when(change, changed[c]).otherwise(F.col(f"`{c}`")).alias(c) if c in changed else F.col(f"`{c}`") for c in t.columns))
+            changed = {c: compiler.column(e).cast(TYPES[t.columns[c]]) for c, e in values.items()}
+            made = data.select(*(F.when(change, changed[c]).otherwise(F.col(f"`{c}`")).alias(c) if c in changed else F.col(f"`{c}`") for c in t.columns))
+            self._changed(t, made, t.keys if not set(changed) & set(t.key) else None)
         else:
             fixed = {c: v for c, v in _equalities(s.where)}
             if missing := [c for c in t.key if c not in fixed]:
                 raise ScriptError(f"no values for the key columns {', '.join(missing)}")
             start = {c: Decimal(0) if k == "varint" else 0 if k == "counter" else None for c, k in t.columns.items()}
             row = self.spark.createDataFrame([tuple(_converted(fixed.get(c, q.Value(start[c])).value, k) for c, k in t.columns.items())], t.schema())
-            made = row.select(*(Compiler(t.columns).column(s.values[c]).cast(TYPES[k]).alias(c) if c in s.values else F.col(f"`{c}`") for c, k in t.columns.items()))
-            t.data = data.union(made)
+            made = row.select(*(Compiler(t.columns).column(values[c]).cast(TYPES[k]).alias(c) if c in values else F.col(f"`{c}`") for c, k in t.columns.items()))
+            key = tuple(_converted(fixed[c].value, t.columns[c]) for c in t.key)
+            self._changed(t, data.union(made), None if t.keys is None or set(values) & set(t.key) else t.keys | {key})
         return self._applied(True) if s.if_exists or s.condition is not None else None
 
+    def _frozen(self, tree):
+        """The expression with what the time functions in it say now; a stored value doesn't change with later reads."""
+        if isinstance(tree, q.Function) and (tree.name in TIMES or tree.name == "totimestamp") and not _reads_columns(tree):
+            return q.Value(self.spark.range(1).select(Compiler({}).column(tree)).first()[0])
+        if isinstance(tree, (q.Function, q.Operation)):
+            return replace(tree, args=tuple(map(self._frozen, tree.args)))
+        return replace(tree, arg=self._frozen(tree.arg)) if isinstance(tree, (q.Cast, q.In)) else tree
+
     def _delete(self, s: q.Statement) -> DataFrame | None:
         t = self._table(s)
         data, compiler = self._data(t), Compiler(t.columns)
@@ -189,9 +231,9 @@ class Session:
         if s.names:
             if keys := [c for c in s.names if c in t.key]:
                 raise ScriptError(f"key columns can't be deleted: {', '.join(keys)}")
-            t.data = data.select(*(F.when(~where, F.col(f"`{c}`")).alias(c) if c in s.names else F.col(f"`{c}`") for c in t.columns))
+            self._changed(t, data.select(*(F.when(~where, F.col(f"`{c}`")).alias(c) if c in s.names else F.col(f"`{c}`") for c in t.columns)), t.keys)
         else:
-            t.data = data.where(~where)
+            self._changed(t, data.where(~where), None)
         return self._applied(True) if s.if_exists or s.condition is not None else None
 
     # selects
@@ -200,7 +242,7 @@ class Session:
         t = self._table(s)
         data, compiler = self._data(t), Compiler(t.columns)
         if s.where is not None:
-            data = data.where(compiler.truth(s.where))
+            data = data.where(compiler.condition(s.where))
         out, names = [], []
         for tree, alias in s.expressions:
             if isinstance(tree, q.Star):
@@ -226,7 +268,8 @@ class Session:
     def _own_order(self, t: Table, where) -> list[Column]:
         """By key; by token of the partition key, if the condition speaks of tokens."""
         keys = [F.col(f"`{c}`").desc() if t.descending.get(c) else F.col(f"`{c}`").asc() for c in t.key]
-        return [F.xxhash64(*(F.col(f"`{c}`") for c in t.partition)), *keys] if _mentions(where, "token") else keys
+        compiler = Compiler(t.columns)
+        return [*(compiler.column(q.Function("token", (q.Column(c),))) for c in t.partition), *keys] if _mentions(where, "token") else keys
 
     def _aggregated(self, t: Table, data: DataFrame, compiler: Compiler, out: list) -> DataFrame:
         """One row; other expressions take the values of the first row."""
@@ -262,6 +305,10 @@ def _children(tree) -> list:
     return list(tree.args) if isinstance(tree, (q.Function, q.Operation)) else [tree.arg, *getattr(tree, "values", ())] if isinstance(tree, (q.Cast, q.In)) else []
 
 
+def _reads_columns(tree) -> bool:
+    return isinstance(tree, q.Column) or any(map(_reads_columns, _children(tree)))
+
+
 def _mentions(tree, name: str) -> bool:
     return tree is not None and (isinstance(tree, q.Function) and tree.name == name or any(_mentions(c, name) for c in _children(tree)))
 
@@ -298,6 +345,9 @@ def _converted(value, kind: str):
     return value
 
 
+ORDERED = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
+
+
 class Compiler:
     """Expressions over a table's columns."""
 
@@ -307,6 +357,15 @@ class Compiler:
     def truth(self, tree) -> Column:
         return F.coalesce(self.column(tree), F.lit(False))
 
+    def condition(self, tree) -> Column:
+        """What rows have to meet; null counts as false, so that comparisons stay as they are and can be pushed to the files."""
+        if isinstance(tree, q.Operation) and tree.op in ("and", "or"):
+            a, b = map(self.condition, tree.args)
+            return a & b if tree.op == "and" else a | b
+        if isinstance(tree, q.Operation) and tree.op in ORDERED:
+            return ORDERED[tree.op](*map(self.column, tree.args))
+        return self.column(tree)
+
     def kind(self, tree) -> str:
         """whole, decimal, real, text, or other: what decides how / works and what a cast takes."""
         if isinstance(tree, q.Value):
@@ -354,7 +413,7 @@ class Compiler:
         if tree.op in ("=", "!="):
             return a.eqNullSafe(b) if tree.op == "=" else ~a.eqNullSafe(b)
         if tree.op in ("<", "<=", ">", ">="):
-            return F.coalesce({"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[tree.op], F.lit(False))
+            return F.coalesce(ORDERED[tree.op](a, b), F.lit(False))
         kinds = {self.kind(t) for t in tree.args}
         if tree.op == "+" and kinds == {"text"}:
             return F.concat(a, b)
@@ -380,8 +439,13 @@ class Compiler:
         if name in plain and len(args) == 1:
             return self.column(args[0]) if name == "round" and self.kind(args[0]) == "whole" else plain[name](self.column(args[0]))
         now = F.current_timestamp()
-        if name == "token" and args:
-            return F.xxhash64(*map(self.column, args))
+        if name == "token" and len(args) == 1:
+            x, kind = self.column(args[0]), self.kind(args[0])
+            if kind in ("whole", "boolean"):
+                return token.of_numbers(x.cast("int").cast("bigint") if kind == "boolean" else x.cast("bigint"))
+            if kind in ("real", "decimal"):
+                return token.of_reals(x.cast("double"))
+            return token.of_texts(x.cast("string"))
         if name == "current_timestamp" and not args:
             return F.unix_millis(now)
         if name == "current_date" and not args:

@@ -211,7 +211,7 @@ def _math(c: Compiler, name: str, args: list[Typed]) -> Typed:
     x = args[0].column.cast("double")
     if name == "math.Sqrt":
         return Typed(F.sqrt(x), "float")
-    return Typed(F.when(x < 0, -F.floor(-x + 0.5)).otherwise(F.floor(x + 0.5)).cast("double"), "float")
+    return Typed(F.round(x), "float")
 
 
 def _text(c: Compiler, args: list[Typed], name: str) -> list[Column]:
@@ -268,9 +268,12 @@ def _time_number(c: Compiler, name: str, args: list[Typed]) -> Typed:
 
 
 def _replace(c: Compiler, name: str, args: list[Typed]) -> Typed:
-    if args[1].value == "":
-        raise ScriptError("strings.ReplaceAll takes a text to replace that isn't empty")
-    return Typed(F.replace(*_text(c, args, name)), "string")
+    """An empty text to replace is found before and behind each character."""
+    text, old, new = _text(c, args, name)
+    between = F.concat(new, F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda x: F.concat(x, new)), ""))
+    if args[1].value is not None:
+        return Typed(F.replace(text, old, new) if args[1].value else between, "string")
+    return Typed(F.when(old == "", between).otherwise(F.replace(text, old, new)), "string")
 
 
 def _match(c: Compiler, name: str, args: list[Typed]) -> Typed:

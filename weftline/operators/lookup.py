@@ -2,8 +2,9 @@
 
 A grouped lookup gives a row for each row of the left side. Where aggregates read the right side only,
 that side is aggregated by key before the join: one row for each key is shuffled, and copies of left rows
-stay apart by themselves. Where they read both sides, equal left rows are first counted, then joined and
-aggregated by all their columns, and at last repeated as often as they were there.
+stay apart by themselves. Where they read both sides, left rows that are equal in the columns that are
+read are first counted, then joined and aggregated by these columns, and at last repeated as often as they
+were there.
 """
 
 from __future__ import annotations
@@ -51,12 +52,13 @@ def lookup(left: DataFrame, left_kinds: dict[str, str], right: DataFrame, right_
         right = right.where(condition(how.filter, fields("l", right_kinds)))
     keys = [f"_key{i}" for i in range(len(how.on))]
     used = {n.field for f in columns for n in references(f.tree) if n.alias == "l"}
+    read = {n.field for f in columns for n in references(f.tree) if n.alias == "r"}
     missing = used - set(right_kinds)
     if missing:
         raise ScriptError(f"the lookup table has no {', '.join(sorted(missing))}")
-    r = left.select(*(key_column(p, F.col(f"`{m}`"), left_kinds[m], how.strict_keys).alias(k) for k, (m, p) in zip(keys, how.on, strict=True)), *(F.col(f"`{c}`").alias(f"r__{c}") for c in left_kinds))
+    r = left.select(*(key_column(p, F.col(f"`{m}`"), left_kinds[m], how.strict_keys).alias(k) for k, (m, p) in zip(keys, how.on, strict=True)), *(F.col(f"`{c}`").alias(f"r__{c}") for c in left_kinds if c in read))
     l = right.select(*(key_column(p, F.col(f"`{p.field}`"), right_kinds[p.field], how.strict_keys).alias(k) for k, (_, p) in zip(keys, how.on, strict=True)), *(F.col(f"`{c}`").alias(f"l__{c}") for c in right_kinds if c in used))  # noqa: E741
-    scope = fields("r", left_kinds, "r__") | fields("l", {c: k for c, k in right_kinds.items() if c in used}, "l__")
+    scope = fields("r", {c: k for c, k in left_kinds.items() if c in read}, "r__") | fields("l", {c: k for c, k in right_kinds.items() if c in used}, "l__")
     make = _grouped if how.group else _flat
     return keep(make(r, l, keys, scope, how, columns), kinds(columns), having)
 

@@ -1,7 +1,7 @@
 """Numbered runs of a script, with history.
 
-A keyspace is a folder; a table of a run is the folder <table>/run_id=<number>, written at once and put in
-place whole, so a repeated node replaces what it wrote. Histories are appended event tables. A node reads
+A keyspace is a folder; a table of a run is the folder <table>/run_id=<number>, written aside, checked and put
+in place whole, so a repeated node replaces what it wrote; until then the former one stays. Histories are appended event tables. A node reads
 the table of the run that its dependency policy chooses.
 """
 
@@ -9,6 +9,10 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import threading
+import time
+import uuid
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +47,8 @@ class Engine:
     spark: SparkSession
     root: str
     unique_checks: bool = True
+    wait_seconds: float = 60.0  # how long a node waits for tables that other engines are still making
+    poll_seconds: float = 1.0
 
     # folders and histories
 
@@ -82,39 +88,44 @@ class Engine:
     # tables
 
     def table(self, keyspace: str, name: str, run_id: int) -> DataFrame:
-        return self.spark.read.parquet(self._folder(keyspace, name, f"run_id={run_id:05d}"))
+        path = self._folder(keyspace, name, f"run_id={run_id:05d}")
+        return self.spark.read.parquet(path if self._exists(path) else f"{path}.old")
 
-    def _store(self, keyspace: str, name: str, run_id: int, df: DataFrame) -> None:
+    def _store(self, keyspace: str, name: str, run_id: int, df: DataFrame, check=None) -> None:
+        """check: takes the written table, before it is in place. A crash leaves the table, its former state, or that as .old."""
         final = self._folder(keyspace, name, f"run_id={run_id:05d}")
         df.write.mode("overwrite").parquet(f"{final}.new")
+        if check:
+            check(self.spark.read.parquet(f"{final}.new"))
         fs, where = filesystem(self.spark, final)
-        fs.delete(where, True)
-        if not fs.rename(filesystem(self.spark, f"{final}.new")[1], where):
+        new, old = (filesystem(self.spark, f"{final}.{x}")[1] for x in ("new", "old"))
+        if fs.exists(where):
+            fs.delete(old, True)
+            fs.rename(where, old)
+        if not fs.rename(new, where):
             raise ScriptError(f"can't put {final} in place")
+        fs.delete(old, True)
 
     def ddl(self, script: Script, table: str) -> str:
         node = script.writer_of(table)
-        return f"CREATE TABLE {table} ({', '.join(f'{f} {SPARK[k].upper()}' for f, k in node.kinds().items())}) USING PARQUET"
+        return f"CREATE TABLE {table} ({', '.join(f'{f} {SPARK[k].upper()}' for f, k in node.kinds().items())}) USING PARQUET{' ' + node.table_options if node.table_options else ''}"
 
     # runs
 
     def start_run(self, keyspace: str, script: Script, start_nodes: list[str], description: str = "", params: dict | None = None) -> int:
-        """Runs the nodes that these start, in order. A failure ends the run after it has been recorded."""
+        """Runs the nodes that these start, in order. Nodes behind one that failed fail by their policies; others go on."""
         nodes = policies.affected(script, start_nodes)
         run_id = self._new_run(keyspace)
         self._append(keyspace, "wf_run_properties", [(run_id, ",".join(start_nodes), ",".join(nodes), "", json.dumps(params or {}), description)])
         self._append(keyspace, "wf_run_history", [(_now(), run_id, START, "")])
-        statuses = []
+        failed = []
         for name in nodes:
             if self._stopped(keyspace, run_id):
                 self._node_event(keyspace, run_id, name, STOP, "stop received")
-                statuses.append(STOP)
-                continue
-            statuses.append(self.exec_node(keyspace, script, name, run_id))
-            if statuses[-1] == FAIL:
-                break
+            elif self.exec_node(keyspace, script, name, run_id) == FAIL:
+                failed.append(name)
         if not self._stopped(keyspace, run_id):
-            self._append(keyspace, "wf_run_history", [(_now(), run_id, COMPLETE, "" if FAIL not in statuses else f"{nodes[len(statuses) - 1]} failed")])
+            self._append(keyspace, "wf_run_history", [(_now(), run_id, COMPLETE, f"failed: {', '.join(failed)}" if failed else "")])
         return run_id
 
     def stop_run(self, keyspace: str, run_id: int, comment: str = "") -> None:
@@ -123,6 +134,11 @@ class Engine:
     def _stopped(self, keyspace: str, run_id: int) -> bool:
         return bool(self.history(keyspace, "wf_run_history").where((F.col("run_id") == run_id) & (F.col("status") == STOP)).take(1))
 
+    def _going(self, keyspace: str, run_id: int) -> bool:
+        """Whether the run has begun and has neither ended nor been stopped."""
+        said = {r["status"] for r in self.history(keyspace, "wf_run_history").where(F.col("run_id") == run_id).collect()}
+        return said == {START}
+
     def _node_event(self, keyspace: str, run_id: int, node: str, status: int, comment: str = "") -> None:
         """A node is one batch here: its partitions are Spark's tasks, which are repeated one by one."""
         self._append(keyspace, "wf_batch_history", [(_now(), run_id, node, 0, 1, status, comment)])
@@ -153,30 +169,70 @@ class Engine:
         return policies.together(answers), runs
 
     def exec_node(self, keyspace: str, script: Script, name: str, run_id: int) -> int:
-        """Runs one node; gives its status."""
+        """Runs one node; gives its status.
+
+        A node that has begun in this run before and has not ended is begun anew once the time that a batch may take is
+        over, or fails, as its rerun policy says. A node that has ended is run again.
+        """
         node = script.nodes[name]
+        begun = self._begun(keyspace, name, run_id)
+        if begun and node.rerun_policy == "fail":
+            return self._failed(keyspace, run_id, name, "has begun before and is not to be rerun")
+        if begun and node.max_seconds:
+            time.sleep(max(0.0, node.max_seconds - (_now() - begun).total_seconds()))
+        until = time.monotonic() + self.wait_seconds
         answer, runs = self.ready(keyspace, script, name, run_id)
+        while answer == "wait" and time.monotonic() < until and self._going(keyspace, run_id):
+            time.sleep(self.poll_seconds)
+            answer, runs = self.ready(keyspace, script, name, run_id)
         if answer != "go":
-            self._node_event(keyspace, run_id, name, FAIL, f"dependencies: {answer}")
-            return FAIL
+            return self._failed(keyspace, run_id, name, f"dependencies: {answer}")
         self._node_event(keyspace, run_id, name, START)
         planner = Planner(self.spark, script, {t: self.table(keyspace, t, r) for t, r in runs.items()})
         try:
-            made = planner.build(node)
-            if node.writer:
-                sink.write(made, node.writer, run_id, node.batches)
-            else:
-                self._store(keyspace, node.output, run_id, made)
-                if self.unique_checks and node.kind != "distinct_table":
-                    for index, spec in node.indexes.items():
-                        if spec.unique:
-                            assert_unique(self.table(keyspace, node.output, run_id), node.kinds(), index, spec, node.strict_keys)
+            with self._limited(node.max_seconds):
+                made = planner.build(node)
+                if node.writer:
+                    sink.write(made, node.writer, run_id, node.batches)
+                else:
+                    self._store(keyspace, node.output, run_id, made, lambda written: self._check(written, node))
         except Exception as e:  # recorded, whatever it is
-            self._node_event(keyspace, run_id, name, FAIL, f"{type(e).__name__}: {str(e)[:500]}")
-            return FAIL
+            return self._failed(keyspace, run_id, name, f"{type(e).__name__}: {str(e)[:500]}")
         self._node_event(keyspace, run_id, name, SUCCESS)
         return SUCCESS
 
+    def _failed(self, keyspace: str, run_id: int, name: str, comment: str) -> int:
+        self._node_event(keyspace, run_id, name, FAIL, comment)
+        return FAIL
+
+    def _begun(self, keyspace: str, name: str, run_id: int) -> dt.datetime | None:
+        """When the node began in the run, if it hasn't ended."""
+        own = (F.col("script_node") == name) & (F.col("run_id") == run_id)
+        last = self.history(keyspace, "wf_node_history").where(own).agg(F.max_by("status", "ts").alias("status"), F.max("ts").alias("ts")).first()
+        return last["ts"] if last["status"] == START else None
+
+    def _check(self, written: DataFrame, node) -> None:
+        if self.unique_checks and node.kind != "distinct_table":
+            for index, spec in node.indexes.items():
+                if spec.unique:
+                    assert_unique(written, node.kinds(), index, spec, node.strict_keys)
+
+    @contextmanager
+    def _limited(self, seconds: float | None):
+        """Ends the Spark jobs of the block, so that it fails, after so many seconds."""
+        if not seconds:
+            yield
+            return
+        context, tag = self.spark.sparkContext, f"node-{uuid.uuid4().hex}"
+        context.addJobTag(tag)
+        timer = threading.Timer(seconds, context.cancelJobsWithTag, [tag])
+        timer.start()
+        try:
+            yield
+        finally:
+            timer.cancel()
+            context.removeJobTag(tag)
+
 
 def node_statuses(batches: DataFrame) -> DataFrame:
     """(run_id, script_node, status) from batch events: of each batch the last, then fail before stop before success of all."""

@@ -47,6 +47,8 @@ class Node:
     settings: dict = field(default_factory=dict)
     policy: str = DEFAULT_POLICY
     strict_keys: bool = False
+    max_seconds: float | None = None  # that a batch may take
+    table_options: str = ""  # what a table's definition says at its end
 
     def kinds(self) -> dict[str, str]:
         return {f.name: f.kind for f in self.fields}
@@ -149,7 +151,7 @@ def _node(name: str, n: dict) -> Node:
         for key, allowed in (("start_policy", ("auto", "manual")), ("rerun_policy", ("rerun", "fail"))):
             if n.get(key) and n[key] not in allowed:
                 raise ScriptError(f"{key} is {' or '.join(allowed)}, not {n[key]!r}")
-        made = {"start_policy": n.get("start_policy") or "auto", "rerun_policy": n.get("rerun_policy") or "rerun", "description": n.get("desc") or "", "policy": n.get("dependency_policy") or DEFAULT_POLICY, "strict_keys": bool(n.get("strict_keys"))}
+        made = {"start_policy": n.get("start_policy") or "auto", "rerun_policy": n.get("rerun_policy") or "rerun", "description": n.get("desc") or "", "policy": n.get("dependency_policy") or DEFAULT_POLICY, "strict_keys": bool(n.get("strict_keys")), "max_seconds": (n.get("max_batch_processing_time") or 0) / 1000 or None}
         if kind == "file_table":
             made["reader"] = _reader(r)
         else:
@@ -197,7 +199,7 @@ def _reader(r: dict) -> FileReader:
     if len({c.parquet is None for c in columns}) > 1:
         raise ScriptError("columns are either all of CSV or all of Parquet")
     header = settings.get("hdr_line_idx", -1)
-    return FileReader(tuple(r["urls"]), tuple(columns), -1 if header is None else header, settings.get("first_data_line_idx") or 0, settings.get("separator") or ",", bool(settings.get("multi_line", True)))
+    return FileReader(tuple(r["urls"]), tuple(columns), -1 if header is None else header, settings.get("first_data_line_idx") or 0, settings.get("separator") or ",", None if settings.get("multi_line") is None else bool(settings["multi_line"]))
 
 
 def _table(w: dict) -> dict:
@@ -209,7 +211,7 @@ def _table(w: dict) -> dict:
     for n, index in indexes.items():
         if missing := [f for f in index.fields if f not in known]:
             raise ScriptError(f"index {n} has unknown fields {', '.join(missing)}")
-    return {"output": w.get("name"), "fields": fields, "having": w.get("having") or None, "indexes": indexes}
+    return {"output": w.get("name"), "fields": fields, "having": w.get("having") or None, "indexes": indexes, "table_options": w.get("table_options") or ""}
 
 
 def _writer(w: dict) -> FileWriter:
@@ -220,7 +222,7 @@ def _writer(w: dict) -> FileWriter:
     if not columns or not w.get("url_template"):
         raise ScriptError("w.columns and w.url_template are needed")
     top = w.get("top") or {}
-    return FileWriter(w["url_template"], tuple(columns), w.get("having") or None, top.get("order"), top.get("limit"), (w.get("csv") or {}).get("separator") or ",", (w.get("parquet") or {}).get("codec") or "gzip", bool((w.get("csv") or {}).get("plain_quotes")))
+    return FileWriter(w["url_template"], tuple(columns), w.get("having") or None, top.get("order"), top.get("limit"), (w.get("csv") or {}).get("separator") or ",", (w.get("parquet") or {}).get("codec") or "gzip", bool(w.get("parts")), bool((w.get("csv") or {}).get("plain_quotes")))
 
 
 def _check_names(script: Script) -> None:

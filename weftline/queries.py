@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.cql.session import Session
+from weftline.errors import ScriptError
 from weftline.plans import policies
 from weftline.plans.planner import Planner
 from weftline.plans.runs import node_statuses
@@ -63,7 +64,12 @@ def table_of(spark: SparkSession, nodes: dict, table: str) -> DataFrame:
 
 def scratch(spark: SparkSession) -> str:
     """A new folder that executors share."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='weftline-')}"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ScriptError("no folder that driver and executors share; set spark.checkpoint.dir")
+        folder = f"file://{tempfile.mkdtemp(prefix='weftline-')}"
     return f"{folder.rstrip('/')}/queries-{uuid.uuid4().hex}"
 
 
@@ -462,7 +468,7 @@ def cql_insert(spark, sf_dir):
 # runs
 
 
-@query()
+@query("""select run_id, script_node, status from (select user_id as run_id, event_type as script_node, arg_max(case when value > 95 then 3 else 2 end, ts)::integer as status from events group by all)""")
 def run_status_rollup(spark, sf_dir):
     """Batch events made of events: of each user a run, of each type a node."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -471,7 +477,7 @@ def run_status_rollup(spark, sf_dir):
     return node_statuses(batches)
 
 
-@query()
+@query("select 0::integer as place, 'o' as script_node union all select 1, 'j'")
 def run_affected_nodes(spark, sf_dir):
     nodes = {"o": orders(sf_dir), "i": items(sf_dir, BY_ORDER), "j": lookup_node("orders", "idx_items", "r.o_orderkey", writer("joined", FLAT)), "m": node("table_table", "joined", writer("later", {"k": ("r.o_orderkey", "int")}), start_policy="manual")}
     found = policies.affected(build({"nodes": nodes}), ["o"])

@@ -6,18 +6,17 @@ import re
 
 from pyspark.sql import SparkSession
 
-from weftline.sources.scan import PARQUET_KINDS, head_lines, split_line
+from weftline.sources.scan import PARQUET_KINDS, files_of, head_lines, split_line
+from weftline.sources.uris import readable
 from weftline.types import FALSE, TRUE
 
 SAMPLE = 100
-# Time texts that are recognised, and their layouts.
+# Fractions of seconds and offsets that time texts may have, with their part of a layout.
+FRACTIONS = [("", ""), (r"\.\d{3}", ".000"), (r"\.\d{6}", ".000000")]
+OFFSETS = [("", ""), (r"[+-]\d{4}", "-0700"), (r"[+-]\d{2}:\d{2}", "-07:00")]
+#: Time texts that are recognised, and their layouts.
 LAYOUTS = [
-    (r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}", "2006-01-02 15:04:05"),
-    (r"\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3}", "2006-01-02 15:04:05.000"),
-    (r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}", "2006-01-02T15:04:05"),
-    (r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}", "2006-01-02T15:04:05.000"),
-    (r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}[+-]\d{2}:\d{2}", "2006-01-02T15:04:05-07:00"),
-    (r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}[+-]\d{2}:\d{2}", "2006-01-02T15:04:05.000-07:00"),
+    *((rf"\d{{4}}-\d{{2}}-\d{{2}}{t}\d{{2}}:\d{{2}}:\d{{2}}{f}{z}", f"2006-01-02{t}15:04:05{fraction}{zone}") for t in " T" for f, fraction in FRACTIONS for z, zone in OFFSETS),
     (r"\d{4}-\d{2}-\d{2}", "2006-01-02"),
     (r"\d{2}/\d{2}/\d{4}", "01/02/2006"),
 ]
@@ -53,7 +52,7 @@ def general(guesses: list[tuple[str, str | None]]) -> tuple[str, str | None]:
 
 def csv_reader(spark: SparkSession, path: str, header_line: int = 0, first_line: int = 1, separator: str = ",") -> dict:
     """The `r` section of a script for a CSV file, from at most SAMPLE of its lines."""
-    lines = head_lines(spark, path, first_line + SAMPLE)
+    lines = head_lines(spark, files_of(spark, readable(spark, path))[0][0], first_line + SAMPLE)
     rows = [split_line(x, separator) for x in lines[first_line:]]
     width = max((len(r) for r in rows), default=0)
     names = split_line(lines[header_line], separator) if header_line >= 0 else [f"column_{i}" for i in range(width)]

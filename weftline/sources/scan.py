@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from weftline.errors import ScriptError
 from weftline.functions.formats import parse_time
-from weftline.sources.uris import readable
+from weftline.sources.uris import filesystem, readable
 from weftline.types import FALSE, MONEY, SPARK, TRUE, check_type, default_value, whole_millis
 
 
@@ -44,7 +44,7 @@ class FileReader:
     header_line: int = -1
     first_line: int = 0
     separator: str = ","
-    multi_line: bool = True  # quoted cells may hold line feeds; without them, Spark can split large files
+    multi_line: bool | None = None  # whether quoted cells hold line feeds, which keeps a file in one task; None: large files tell by their quotes
 
     @property
     def is_parquet(self) -> bool:
@@ -64,35 +64,94 @@ def scan(spark: SparkSession, reader: FileReader, bounds: list[Bound] = ()) -> D
     return _parquet(spark, reader, paths, bounds) if reader.is_parquet else _csv(spark, reader, paths)
 
 
+#: Files up to this size (bytes) are read by one task without a look at their quotes.
+SMALL = 64 << 20
+
+
+def files_of(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(name, size) of the files that a path, folder or pattern names."""
+    fs, where = filesystem(spark, path)
+    found = []
+    for s in fs.globStatus(where) or []:
+        inside = fs.listStatus(s.getPath()) if s.isDirectory() else [s]
+        found += [(x.getPath().toString(), x.getLen()) for x in inside if not x.isDirectory() and x.getPath().getName()[0] not in "._"]
+    if not found:
+        raise ScriptError(f"there is no file {path}")
+    return found
+
+
 def head_lines(spark: SparkSession, path: str, number: int) -> list[str]:
-    return [r[0] for r in spark.read.text(path).head(number)]
+    """The first lines of a file, which the driver reads by itself."""
+    jvm = spark.sparkContext._jvm
+    fs, where = filesystem(spark, path)
+    stream = fs.open(where)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark.sparkContext._jsc.hadoopConfiguration()).getCodec(where)
+        lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
+        out = []
+        while len(out) < number and (line := lines.readLine()) is not None:
+            out.append(line)
+        return out
+    finally:
+        stream.close()
 
 
 def split_line(line: str, separator: str) -> list[str]:
     return next(csv.reader(io.StringIO(line.lstrip("\ufeff").rstrip("\r")), delimiter=separator), [])
 
 
-def _csv(spark: SparkSession, reader: FileReader, paths: list[str]) -> DataFrame:
-    lines = head_lines(spark, paths[0], max(reader.header_line, reader.first_line, 0) + 1)
-    names = [c.header for c in reader.columns if c.header is not None]
+def places(reader: FileReader, path: str, lines: list[str]) -> tuple[int, ...]:
+    """Where each column of the reader is in a file that begins with these lines."""
     header: list[str] = []
-    if names:
+    if names := [c.header for c in reader.columns if c.header is not None]:
         if not 0 <= reader.header_line < len(lines):
-            raise ScriptError(f"{paths[0]} has no header line {reader.header_line}")
+            raise ScriptError(f"{path} has no header line {reader.header_line}")
         header = split_line(lines[reader.header_line], reader.separator)
         if missing := [n for n in names if n not in header]:
-            raise ScriptError(f"{paths[0]} has no columns {', '.join(missing)}")
-    width = max([len(split_line(x, reader.separator)) for x in lines] + [1 + c.position for c in reader.columns if c.position is not None])
+            raise ScriptError(f"{path} has no columns {', '.join(missing)}")
+    return tuple(c.position if c.header is None else header.index(c.header) for c in reader.columns)
+
+
+def _csv(spark: SparkSession, reader: FileReader, paths: list[str]) -> DataFrame:
+    """Files with equal places of columns are one scan; each file's own header says where its columns are."""
+    files = [f for p in paths for f in files_of(spark, p)]
+    groups: dict[tuple, list[str]] = {}
+    for path, _ in files:
+        lines = head_lines(spark, path, max(reader.header_line, reader.first_line, 0) + 1)
+        width = max([len(split_line(x, reader.separator)) for x in lines] + [1 + c.position for c in reader.columns if c.position is not None])
+        head = sum(1 for x in lines[: reader.first_line] if x.strip("\r"))  # Spark passes over empty lines
+        groups.setdefault((places(reader, path, lines), width, head if reader.first_line > 1 else 0), []).append(path)
+    multi_line = _has_line_feeds(spark, [f for f, _ in files], sum(n for _, n in files)) if reader.multi_line is None else reader.multi_line
+    out = None
+    for (at, width, head), group in groups.items():
+        raw = _read(spark, reader, group, width, head, multi_line)
+        part = raw.select(*(parsed(_cell(i, width), c).alias(c.name) for i, c in zip(at, reader.columns, strict=True)))
+        out = part if out is None else out.union(part)
+    return out
+
+
+def _has_line_feeds(spark: SparkSession, paths: list[str], size: int) -> bool:
+    """Whether a quoted cell may hold a line feed: some line has an odd number of quotes. Of small files it is taken for granted."""
+    if size <= SMALL:
+        return True
+    odd = F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1
+    return bool(spark.read.text(paths).where(odd).take(1))
+
+
+def _read(spark: SparkSession, reader: FileReader, paths: list[str], width: int, head: int, multi_line: bool) -> DataFrame:
+    """The cells as texts. head: rows before the data beyond a first line, which are the first ones of each file."""
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
-    options = {"sep": reader.separator, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "nullValue": "\0", "emptyValue": "", "multiLine": str(reader.multi_line).lower(), "header": str(reader.first_line == 1).lower()}
-    if reader.multi_line:
+    options = {"sep": reader.separator, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "nullValue": "\0", "emptyValue": "", "multiLine": str(multi_line).lower(), "header": str(reader.first_line == 1).lower()}
+    if multi_line:
         options["lineSep"] = "\n"  # else the first line's ending would be taken for all lines
-    if reader.first_line <= 1:
-        raw = spark.read.options(**options).schema(schema).csv(paths)
-    else:
-        raw = _behind(spark, reader, paths, schema, options)
-    place = lambda c: c.position if c.header is None else header.index(c.header)
-    return raw.select(*(parsed(_cell(place(c), width), c).alias(c.name) for c in reader.columns))
+    read = spark.read.options(**options).schema(schema)
+    if not head:
+        return read.csv(paths)
+    out = None
+    for p in paths:  # a file's tasks are in its order, so the first numbers are those of its first rows
+        part = read.csv(p).withColumn("_row", F.monotonically_increasing_id()).where(F.col("_row") >= head).drop("_row")
+        out = part if out is None else out.union(part)
+    return out
 
 
 def _cell(place: int, width: int) -> Column:
@@ -101,18 +160,6 @@ def _cell(place: int, width: int) -> Column:
     return F.regexp_replace(text, "\r$", "") if place == width - 1 else text
 
 
-def _behind(spark: SparkSession, reader: FileReader, paths: list[str], schema, options: dict) -> DataFrame:
-    """Files whose data begins at a later line: lines are numbered in the order of the file."""
-    out = None
-    for p in paths:
-        rows = spark.read.text(p).rdd.zipWithIndex().filter(lambda x, n=reader.first_line: x[1] >= n).map(lambda x: (x[0][0],))
-        lines = spark.createDataFrame(rows, "line string")
-        row = F.from_csv("line", schema.simpleString()[7:-1].replace(":", " "), {k: v for k, v in options.items() if k not in ("multiLine", "header")})
-        part = lines.select(row.alias("row")).select("row.*")
-        out = part if out is None else out.union(part)
-    return out
-
-
 def _scanned(text: Column, form: str | None) -> Column:
     """The number in a text that has the format's other characters around it."""
     if not form or form in ("%d", "%f"):

@@ -1,4 +1,7 @@
-"""CSV and Parquet sinks: one file, or one for each batch if the target's name has {batch_idx}."""
+"""CSV and Parquet sinks: one file, one for each batch if the target's name has {batch_idx}, or a folder of parts.
+
+A single file is one task's work; `parts` is for more rows than that.
+"""
 
 from __future__ import annotations
 
@@ -35,6 +38,7 @@ class FileWriter:
     limit: int | None = None
     separator: str = ","
     codec: str = "gzip"
+    parts: bool = False  # the target is a folder
     plain_quotes: bool = False  # header ends in CRLF, and only values with a comma are quoted, nothing doubled
 
     def __post_init__(self) -> None:
@@ -58,43 +62,73 @@ def write(made: DataFrame, w: FileWriter, run_id: int, batches: int = 1) -> list
     types = kinds([c.field for c in w.columns])
     order = order_columns(w.order, types) if w.order else []
     template = w.url.replace("{run_id|string}", "{run_id}").replace("{batch_idx|string}", "{batch_idx}").replace("{run_id}", f"{run_id:05d}")
+    if w.parts:
+        return [_parts(made.orderBy(*order) if order else made, w, template)]
     by_batch = "{batch_idx}" in template
-    out, spark = made, made.sparkSession
-    if by_batch:
-        out = made.withColumn("_batch", F.pmod(F.xxhash64(*made.columns), F.lit(batches)).cast("int")).repartition(batches, "_batch").sortWithinPartitions("_batch", *order)
-    elif order and w.limit is not None:
-        out = made.orderBy(*order).limit(w.limit)
-    if not by_batch:  # one file is one task's; what comes before it stays parallel
-        out = out.repartition(1).sortWithinPartitions(*order) if order else out.repartition(1)
+    batches = batches if by_batch else 1
+    if not by_batch and order and w.limit is not None:
+        made = made.orderBy(*order).limit(w.limit)
+    rows = made.withColumn("_batch", F.pmod(F.xxhash64(*made.columns), F.lit(batches)).cast("int") if by_batch else F.lit(0))
+    if not w.is_parquet:
+        rows = _headed(rows, w, batches)
+    # one shuffle deals rows to their files' tasks, a file's header before its rows; what comes before stays parallel
+    first = [F.col("_head").isNull()] if not w.is_parquet else []
+    rows = rows.repartition(batches, "_batch") if by_batch else rows.repartition(1)
+    if by_batch or first or order:
+        rows = rows.sortWithinPartitions("_batch", *first, *order)
+    out = rows.select(*(_parquet_value(c).alias(c.parquet or c.field.name) for c in w.columns), "_batch") if w.is_parquet else rows.select(F.coalesce("_head", _line(w)).alias("line"), "_batch")
     folder = f"{template.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}"
-    files = {b: template.replace("{batch_idx}", f"{b:05d}") for b in range(batches if by_batch else 1)}
+    files = {b: template.replace("{batch_idx}", f"{b:05d}") for b in range(batches)}
     local = {b: f if scheme(f) not in SENDERS else f"{folder}-sent/{b}" for b, f in files.items()}
-    keep = ["_batch"] if by_batch else []
-    if w.is_parquet:
-        out = out.select(*(_parquet_value(c).alias(c.parquet or c.field.name) for c in w.columns), *keep)
-        writer = out.write.option("compression", w.codec)
-        (writer.partitionBy("_batch") if by_batch else writer).parquet(folder)
-    else:
-        lines = out.select(_line(w).alias("line"), *keep).withColumn("_n", F.monotonically_increasing_id())
-        head = w.separator.join(c.header or c.field.name for c in w.columns) + ("\r" if w.plain_quotes else "")
-        heads = spark.createDataFrame([(head, b) for b in files], "line string, _batch int").withColumn("_n", F.lit(-1).cast("bigint"))
-        numbered = heads.select(*lines.columns).union(lines)
-        if by_batch:
-            numbered.repartition(batches, "_batch").sortWithinPartitions("_batch", "_n").drop("_n").write.partitionBy("_batch").text(folder)
-        else:
-            numbered.repartition(1).sortWithinPartitions("_n").select("line").write.text(folder)
+    _save(out if by_batch else out.drop("_batch"), w, folder, ["_batch"] if by_batch else [])
+    spark = made.sparkSession
     fs, where = filesystem(spark, folder)
     for b, name in local.items():
-        at = f"{folder}/_batch={b}" if by_batch else folder
-        parts = [s.getPath() for s in (fs.globStatus(filesystem(spark, f"{at}/part-*")[1]) or [])]
-        if parts:
-            move(spark, parts[0].toString(), name)
+        parts = _part_files(spark, f"{folder}/_batch={b}" if by_batch else folder)
+        if not parts:  # a batch without rows is a file without rows
+            empty = f"{folder}/empty-{b}"
+            _save(spark.createDataFrame([], out.drop("_batch").schema), w, empty, [])
+            parts = _part_files(spark, empty)
+        if len(parts) != 1:
+            raise ScriptError(f"{files[b]} would be made of {len(parts)} files")
+        move(spark, parts[0], name)
         if scheme(files[b]) in SENDERS:
             SENDERS[scheme(files[b])](name, files[b])
     fs.delete(where, True)
     return list(files.values())
 
 
+def _save(df: DataFrame, w: FileWriter, folder: str, by: list[str]) -> None:
+    """maxRecordsPerFile, whatever the session says, is unlimited: a file is one part."""
+    writer = df.write.option("maxRecordsPerFile", 0).option("compression", w.codec if w.is_parquet else "none").partitionBy(*by)
+    writer.parquet(folder) if w.is_parquet else writer.text(folder)
+
+
+def _part_files(spark, folder: str) -> list[str]:
+    fs, pattern = filesystem(spark, f"{folder}/part-*")
+    return [s.getPath().toString() for s in (fs.globStatus(pattern) or [])]
+
+
+def _headed(rows: DataFrame, w: FileWriter, batches: int) -> DataFrame:
+    """The rows, and for each file one that has its header in `_head` and no cells."""
+    head = w.separator.join(c.header or c.field.name for c in w.columns) + ("\r" if w.plain_quotes else "")
+    heads = rows.sparkSession.createDataFrame([(head, b) for b in range(batches)], "_head string, _batch int")
+    cells = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields if f.name != "_batch"]
+    return rows.withColumn("_head", F.lit(None).cast("string")).unionByName(heads.select("*", *cells))
+
+
+def _parts(made: DataFrame, w: FileWriter, folder: str) -> str:
+    """A folder of files, as many as tasks write; if there is an order, their names are in it. Each CSV file has the header."""
+    if w.limit is not None:
+        made = made.limit(w.limit)
+    if w.is_parquet:
+        made.select(*(_parquet_value(c).alias(c.parquet or c.field.name) for c in w.columns)).write.mode("overwrite").option("compression", w.codec).parquet(folder)
+    else:
+        cells = [column_text(F.col(f"`{c.field.name}`"), c.field.kind, c.format).alias(c.header or c.field.name) for c in w.columns]
+        made.select(*cells).write.mode("overwrite").options(header="true", sep=w.separator, quote='"', escape='"', emptyValue="").csv(folder)
+    return folder
+
+
 def _parquet_value(c: FileColumnOut) -> Column:
     """The zero time is written as null."""
     value = F.col(f"`{c.field.name}`")

@@ -1,6 +1,6 @@
 """Where files are. Spark reads local paths and Hadoop file systems (s3a for s3) itself.
 
-http(s) files are fetched by the driver into a folder that executors share. Other schemes (sftp) can be
+http(s) files are fetched by the driver, block by block, into a folder that executors share. Other schemes (sftp) can be
 added to FETCHERS and SENDERS.
 """
 
@@ -8,23 +8,26 @@ from __future__ import annotations
 
 import urllib.request
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import SparkSession
 
 from weftline.errors import ScriptError
 
-FETCHERS: dict[str, Callable[[str], bytes]] = {}
+#: By scheme: what gives a file's bytes, whole or in blocks; what sends a local file to a URI.
+FETCHERS: dict[str, Callable[[str], bytes | Iterable[bytes]]] = {}
 SENDERS: dict[str, Callable[[str, str], None]] = {}
+BLOCK, TIMEOUT = 4 << 20, 60
 
 
 def scheme(uri: str) -> str:
     return uri.split("://")[0].lower() if "://" in uri else "file"
 
 
-def _http(uri: str) -> bytes:
-    with urllib.request.urlopen(uri) as r:  # noqa: S310
-        return r.read()
+def _http(uri: str) -> Iterator[bytes]:
+    with urllib.request.urlopen(uri, timeout=TIMEOUT) as r:  # noqa: S310
+        while data := r.read(BLOCK):
+            yield data
 
 
 def filesystem(spark: SparkSession, path: str):
@@ -37,7 +40,6 @@ def readable(spark: SparkSession, uri: str, shared: str | None = None) -> str:
     """A path that Spark reads. shared: where fetched files go; the session's spark.checkpoint.dir by default."""
     kind = scheme(uri)
     if kind in ("http", "https") or kind in FETCHERS:
-        data = (FETCHERS.get(kind) or _http)(uri)
         folder = shared or spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             raise ScriptError(f"no shared folder to fetch {uri} to; set spark.checkpoint.dir")
@@ -45,7 +47,9 @@ def readable(spark: SparkSession, uri: str, shared: str | None = None) -> str:
         fs, where = filesystem(spark, path)
         out = fs.create(where)
         try:
-            out.write(bytearray(data))
+            data = (FETCHERS.get(kind) or _http)(uri)
+            for block in [data] if isinstance(data, bytes) else data:
+                out.write(bytearray(block))
         finally:
             out.close()
         return path
