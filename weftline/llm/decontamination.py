@@ -171,32 +171,40 @@ class Index:
         columns = [(w := np.array(kind, np.int32), starts[w], ends[w]) for kind in kinds]
         return Index(np.array(items, np.int64), texts, numbers, (numbers * rate).astype(np.int64), lengths, columns, small, grams, first, place, bitmap)
 
-    def hits(self, text: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(place in the text, window, place in the window) of all grams shared with windows, in slices."""
+    def known(self, text: str) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(place in the text, place in the table) of the grams that are in windows: of Q characters, then of the lengths of `small`."""
         hashes = gram_hashes(text)
         at = np.flatnonzero(self.bitmap[hashes >> np.uint64(64 - _BITS)])
-        for found, rows in _lookup(self.grams, self.first, hashes[at]):
+        same, k = _known(self.grams, hashes[at])
+        return [(at[same], k), *(_known(grams, gram_hashes(text, q)) for q, grams, _, _, _ in self.small)]
+
+    def pairs(self, known: list[tuple[np.ndarray, np.ndarray]]) -> int:
+        """How many pairs of a place in the text and one in the items `hits` goes through."""
+        tables = [self.first, *(s[2] for s in self.small)]
+        return sum(int((first[k + 1].astype(np.int64) - first[k]).sum()) for first, (_, k) in zip(tables, known, strict=True))
+
+    def hits(self, known: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place in the text, window, place in the window) of all grams shared with windows, in slices."""
+        for at, rows in _expanded(*known[0], self.first):
             place = self.place[rows]
             for window, start, end in self.kinds:
                 rows, repeated = ranges(np.searchsorted(end, place + Q), np.searchsorted(start, place, "right"))
-                yield at[found[repeated]], window[rows], place[repeated] - start[rows]
-        for q, grams, first, window, place in self.small:
-            for found, rows in _lookup(grams, first, gram_hashes(text, q)):
-                yield found, window[rows], place[rows]
+                yield at[repeated], window[rows], place[repeated] - start[rows]
+        for (_, _, first, window, place), found in zip(self.small, known[1:], strict=True):
+            for at, rows in _expanded(*found, first):
+                yield at, window[rows], place[rows]
 
     def touched(self, text: str) -> np.ndarray:
         """The places in the text of all shared grams."""
-        hashes = gram_hashes(text)
-        at = np.flatnonzero(self.bitmap[hashes >> np.uint64(64 - _BITS)])
-        return np.concatenate([at[_known(self.grams, hashes[at])[0]], *(_known(grams, gram_hashes(text, q))[0] for q, grams, _, _, _ in self.small)])
+        return np.concatenate([at for at, _ in self.known(text)])
 
-    def regions(self, text: str) -> list[tuple[int, int]]:
+    def regions(self, text: str, known: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
         """(window, first diagonal of a band) where enough grams are shared. Hits are counted by band slice by slice."""
         shift = WINDOW  # room below for the band before the first
         wide = len(text) * 2 + 2 * shift
         found, number = np.zeros(0, np.int64), np.zeros(0, np.int64)
         held, size = [], 0
-        for at, window, place in self.hits(text):
+        for at, window, place in self.hits(known):
             # not negative, as no window is longer than Q + its place
             keys = window.astype(np.int64) * wide + (at - place + len(text)) // (self.budgets[window] + 1) + shift
             held.append(np.unique(np.concatenate([keys, keys - 1]), return_counts=True))
@@ -210,18 +218,14 @@ class Index:
         keep = number >= np.maximum(1, least)
         return list(zip(w[keep].tolist(), (b[keep] * (self.budgets[w[keep]] + 1) - len(text)).tolist(), strict=True))
 
-    def pairs(self, text: str) -> int:
-        """How many pairs of a place in the text and one in the items `hits` goes through."""
-        tables = [(self.grams, self.first, Q), *((grams, first, q) for q, grams, first, _, _ in self.small)]
-        known = [(first, _known(grams, gram_hashes(text, q))[1]) for grams, first, q in tables]
-        return sum(int((first[k + 1].astype(np.int64) - first[k]).sum()) for first, k in known)
-
     def contained(self, text: str) -> dict[int, int]:
         """The least edits found for each window that the text (normal, a segment) contains."""
         out: dict[int, int] = {}
-        if len(text) > 10 * WINDOW and self.pairs(text) > 5 * PAIRS:
+        known = self.known(text)
+        if self.pairs(known) > 5 * PAIRS:
             text = squeezed(text)
-        for w, low in self.regions(text):
+            known = self.known(text)
+        for w, low in self.regions(text, known):
             if len(self.texts[w]) < Q:
                 if w not in out and re.search(rf"(?<!\w){re.escape(self.texts[w])}(?!\w)", text):
                     out[w] = 0
@@ -250,16 +254,15 @@ def _known(grams: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return same, k[same]
 
 
-def _lookup(grams: np.ndarray, first: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(place among the hashes, row) of all equal grams of a table, about PAIRS at a time."""
-    same, k = _known(grams, hashes)
+def _expanded(at: np.ndarray, k: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(place in the text, row) of all rows of the grams of a table, about PAIRS at a time."""
     low, high = first[k].astype(np.int64), first[k + 1].astype(np.int64)
     done = np.cumsum(high - low)
     a = 0
-    while a < len(same):
+    while a < len(at):
         b = max(a + 1, int(np.searchsorted(done, (done[a - 1] if a else 0) + PAIRS, "right")))
         rows, repeated = ranges(low[a:b], high[a:b])
-        yield same[a:b][repeated], rows
+        yield at[a:b][repeated], rows
         a = b
 
 
