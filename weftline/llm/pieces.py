@@ -318,7 +318,7 @@ def _grown(values: np.ndarray, size: int) -> np.ndarray:
     """`values` with room for `size` of them at least; what is new is OTHER."""
     if size <= len(values):
         return values
-    out = np.full(max(size, 2 * len(values)), OTHER, values.dtype)
+    out = np.full(max(size, len(values) * 3 // 2), OTHER, values.dtype)
     out[: len(values)] = values
     return out
 
@@ -334,7 +334,7 @@ class Sampler:
     anew once it has `most` nodes; results don't depend on it.
     """
 
-    def __init__(self, pieces: Pieces, rate: float, seed: int, most: int = 1_200_000, longest: int = 40) -> None:
+    def __init__(self, pieces: Pieces, rate: float, seed: int, most: int = 500_000, longest: int = 40) -> None:
         self.pieces, self.rate, self.seed, self.most, self.longest = pieces, rate, seed, most, longest
         self.limits = thresholds(int(rate * (1 << 32)))
         self.ascending = np.array(self.limits, np.uint64)

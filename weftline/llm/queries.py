@@ -31,16 +31,18 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_verdicts(table(spark, sf_dir, "pages"))
 
 
-def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepieces.encoding_report(table(spark, sf_dir, "documents"))
+def op6_sentencepiece(spark: SparkSession, sf_dir: str, model: str = sentencepieces.MODEL) -> DataFrame:
+    """model: the path of a vocabulary file on the driver."""
+    return sentencepieces.encoding_report(table(spark, sf_dir, "documents"), model)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+def op8_token_counts(spark: SparkSession, sf_dir: str, model: str = sentencepieces.MODEL) -> DataFrame:
+    """model: the path of a vocabulary file on the driver."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), model)
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
