@@ -212,7 +212,7 @@ class Together:
     """The merges of many pre-tokens at a time, one candidate of each in a step, by arrays.
 
     Symbols are numbered: a piece by its id, other characters of pieces by numbers behind, all others by UNKNOWN. Pairs
-    of symbols that make a piece are in one sorted array.
+    of symbols that make a piece are in one hash table of arrays.
     """
 
     def __init__(self, pieces: Pieces) -> None:
@@ -231,13 +231,33 @@ class Together:
             for i in range(1, len(p)):
                 if p[:i] in symbols and p[i:] in symbols:
                     pairs[symbols[p[:i]] * self.base + symbols[p[i:]]] = rank << 32 | pieces.ids[p]
-        self.pairs = np.array(sorted(pairs), np.int64)
-        self.made = np.array([pairs[k] for k in self.pairs.tolist()], np.int64)  # rank, then the piece
+        # a hash table with open addressing, a quarter full at most
+        self.shift = 64 - (4 * len(pairs)).bit_length()
+        self.slots, self.made = np.full(1 << 64 - self.shift, -1, np.int64), np.full(1 << 64 - self.shift, NEVER, np.int64)
+        keys = np.array(list(pairs), np.int64)
+        for key, value, at in zip(pairs, pairs.values(), self.home(keys).tolist(), strict=True):
+            while self.slots[at] >= 0:
+                at = (at + 1) % len(self.slots)
+            self.slots[at], self.made[at] = key, value  # rank, then the piece
+
+    def home(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(self.shift)).view(np.int64)
 
     def candidates(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left.astype(np.int64) * self.base + right
-        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-        return np.where(self.pairs[at] == key, self.made[at], NEVER)
+        """The rank and piece of each pair; NEVER if it makes none."""
+        keys = (left.astype(np.int64) * self.base + right).ravel()
+        at = self.home(keys)
+        there = self.slots[at]
+        out = self.made[at]
+        out[there != keys] = NEVER
+        open_ = np.flatnonzero((there != keys) & (there >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) % len(self.slots)
+            there = self.slots[at[open_]]
+            same = there == keys[open_]
+            out[open_[same]] = self.made[at[open_[same]]]
+            open_ = open_[~same & (there >= 0)]
+        return out.reshape(left.shape)
 
     def encode(self, words: list[str], skipped: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, their number for each word, candidates that came up for each word); skipped: (words, numbers), whether a candidate is."""
