@@ -416,7 +416,7 @@ def run_with_params(spark, sf_dir):
 def run_rerun_policies(spark, sf_dir):
     """A node that has ended may be run again; one that has only begun is begun anew, or fails, as its policy says."""
     types = {"r_regionkey": "int"}
-    nodes = {"a": reader(sf_dir, "region", types, name="a") | {"max_batch_processing_time": 10}, "b": reader(sf_dir, "region", types, name="b") | {"rerun_policy": "fail"}}
+    nodes = {"a": reader(sf_dir, "region", types, name="a"), "b": reader(sf_dir, "region", types, name="b") | {"rerun_policy": "fail"}}
     engine, script = _engine(spark), build({"nodes": nodes})
     run = engine.start_run("ks", script, ["a"])
     found = [engine.exec_node("ks", script, "a", run)]
