@@ -40,3 +40,15 @@ def test_a_session_that_names_no_folder():
     for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]", "k8s://x"):
         with pytest.raises(ValueError):
             common.shared_dir(session(master))
+
+
+def test_nested_temporary_tables(spark):
+    """Equal lists of what they wrote are told apart."""
+    with common.temporary_tables(spark, []):
+        with common.temporary_tables(spark, []):
+            inner = common.save(spark.range(2), "t")
+        outer = common.save(spark.range(3), "t")
+    for df in (inner, outer):
+        fs, where = common._path(spark, df._weftline_path)
+        assert not fs.exists(where)
+    assert common._OPEN == []

@@ -3,7 +3,10 @@ import zlib
 import numpy as np
 import pytest
 
-from weftline.llm.toxicity import FILTERS, Network, calibrate, fit, mild, toxicity, train
+from pyspark.sql import functions as F
+
+from weftline.llm import toxicity as module
+from weftline.llm.toxicity import FILTERS, Network, _pack, _unpack, calibrate, fit, mild, toxicity, train
 from weftline.llm.words import hashed
 
 
@@ -94,3 +97,33 @@ def test_scores_equal_the_network_by_itself(tables):
     net = fit(docs, labels)
     for r in toxicity(docs, labels).join(docs.select("doc_id", "text").distinct(), "doc_id").limit(40).collect():
         assert r.score == pytest.approx(net.scores([r.text or ""])[0], abs=1e-6)
+
+
+def test_learns_from_every_labelled_row(make, spark, prose):
+    """A word that stands only in rows beyond the first 2,500 toxic ones in the order of their hashes, and one only in texts over 20,000 characters."""
+    ids = [r.id for r in spark.range(4200).where(F.crc32(F.col("id").cast("string").cast("binary")) % 4 != 2).orderBy(F.xxhash64("id", F.lit("sample")), "id").collect()]
+    toxic, late, long = ids[:2900], set(ids[2500:2900]), range(10_000, 10_080)
+    texts = [(i, f"{prose(6, i, 60)} {'latecurse' if i in late else 'vilewretch'} {prose(5, i + 1, 60)}") for i in toxic]
+    texts += [(i, prose(12, i, 60)) for i in range(20_000, 20_400)]
+    texts += [(i, f"{prose(4000, i, 60)} {'longcurse ' if i % 2 else ''}{prose(10, i + 1, 60)}") for i in long]
+    labels = [(i, 1, 1) for i in toxic] + [(i, 1, 0) for i in range(20_000, 20_400)] + [(i, 1, i % 2) for i in long]
+    assert all(len(t) > 20_000 for i, t in texts if i in long)
+    net = fit(make(*texts, clash=False), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    plain, *bad = net.scores([prose(12, 1, 60), *(f"{prose(6, 2, 60)} {w} {prose(5, 3, 60)}" for w in ("vilewretch", "latecurse", "longcurse"))])
+    assert min(bad[:2]) > 0.9 and bad[2] > plain + 0.2
+
+
+def test_shards_and_scans(make, tables, spark, monkeypatch):
+    """Many shards, blocks and scans of labels teach what one does, whatever the partitions of the input."""
+    docs, labels = tables
+    for name, value in (("SHARD_CHARS", 60_000), ("SHARD_DOCS", 40), ("LABELS", 200), ("BLOCK_WORDS", 3000), ("PART_WORDS", 500)):
+        monkeypatch.setattr(module, name, value)
+    net, again = fit(docs, labels), fit(docs.repartition(7, "text"), labels.repartition(3))
+    assert np.array_equal(net.flat(), again.flat()) and (net.slope, net.shift, net.by_lang) == (again.slope, again.shift, again.by_lang)
+    held = [r for r in docs.collect() if r.doc_id is not None and r.doc_id < 600 and zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    assert np.mean((net.scores([r.text for r in held]) >= 0.3) == [r.doc_id % 4 == 0 for r in held]) > 0.97
+
+
+def test_packed_words():
+    hashes = hashed(["Ab ab longerword", "", "é x y"])[0]
+    assert np.array_equal(Network.new().rows(_unpack(_pack(hashes))), Network.new().rows(hashes)) and len(_unpack(_pack(hashes[:0]))) == 0

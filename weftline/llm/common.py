@@ -78,7 +78,7 @@ def temporary_tables(spark: SparkSession, keep: list[DataFrame]):
     try:
         yield
     finally:
-        _OPEN.remove(record)
+        _OPEN[:] = [r for r in _OPEN if r is not record]  # lists of nested ones may be equal
         for path in set(record) - {df._weftline_path for df in keep}:
             fs, where = _path(spark, path)
             fs.delete(where, True)
