@@ -4,7 +4,7 @@ import struct
 import numpy as np
 import pytest
 
-from weftline.cql import token
+from weftline.cql import pages, session, token
 from weftline.cql.session import Session
 from weftline.errors import ScriptError
 
@@ -117,6 +117,35 @@ def test_pages(s):
     assert s.pages("SELECT pk, ck FROM t", size=2, state=2) == ([(2, 1)], None)
 
 
+def test_pages_read_each_row_once(spark, monkeypatch):
+    """Few jobs, and as many rows at the driver as there are, whatever the number of pages and of tasks."""
+    came = []
+    monkeypatch.setattr(pages, "READ_AHEAD", 100)
+    monkeypatch.setattr(pages.Pages, "_read", lambda self, a, b, f=pages.Pages._read: came.append(f(self, a, b)) or came[-1])
+    monkeypatch.setattr(session, "MANY_PAGES", 2)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    s, got, state, tracker = Session(spark), [], 0, spark.sparkContext.statusTracker()
+    s.register("t", spark.range(1000).selectExpr("999 - id as id", "if(id % 3 = 0, null, cast(id as string)) as name"), ["id"])
+    before = max(tracker.getJobIdsForGroup(None), default=-1)
+    try:
+        while state is not None:
+            page, state = s.pages("SELECT id, name, id, NULL FROM t", size=7, state=state)
+            got += page
+        assert [tuple(r) for r in got] == [(k, None if (999 - k) % 3 == 0 else str(999 - k), k, None) for k in range(1000)]
+        assert len(got[0].__fields__) == 4 and sum(map(len, came)) < 1100 and not s.paged
+        assert max(tracker.getJobIdsForGroup(None)) - before < 40
+        assert len(s.pages("SELECT id FROM t", size=2, state=995)[0]) == 2 and s.pages("SELECT id FROM t", size=9, state=2000) == ([], None)
+        s.pages("SELECT id FROM t", size=5)
+        s.execute("DELETE FROM t WHERE id = 6; INSERT INTO t (id) VALUES (5000)")
+        assert s.pages("SELECT id FROM t", size=5, state=5) == ([(5,), (7,), (8,), (9,), (10,)], 10)
+        assert s.pages("SELECT id FROM t", size=50, state=990) == ([*((k,) for k in range(991, 1000)), (5000,)], None)
+        for k in range(5):
+            s.pages(f"SELECT id FROM t WHERE id > {k}", size=5)
+        assert len(s.paged) == 2 and s.pages("SELECT id FROM t WHERE id > 0", size=1, state=5) == ([(7,)], 6)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 @pytest.mark.parametrize(
     "text",
     ["SELECT JSON * FROM t", "SELECT pk FROM t GROUP BY pk", "SELECT pk FROM t LIMIT 1 OFFSET 2", "SELECT pk FROM t ALLOW FILTERING", "SELECT pk FROM t PER PARTITION LIMIT 1", "SELECT pk FROM t ORDER BY ck", "SELECT pk FROM t ORDER BY name ASC", "SELECT pk FROM t WHERE name ~ 'a'", "SELECT none FROM t", "SELECT count(*) + 1 FROM t",

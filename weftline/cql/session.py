@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from weftline.cql import parser as q
 from weftline.cql import token
+from weftline.cql.pages import Pages
 from weftline.errors import ScriptError
 
 # Column types, and how Spark holds them.
@@ -31,6 +32,8 @@ AGGREGATES = {"count", "sum", "avg", "min", "max", "count_if", "sum_if", "avg_if
 WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 #: Changes, and inserted rows, after which a table is written out.
 MANY_CHANGES, MANY_ROWS = 20, 10_000
+#: Selects of which the rows are kept between their pages.
+MANY_PAGES = 8
 #: Functions whose value is one for a statement.
 TIMES = ("current_timestamp", "current_date", "current_time", "now")
 
@@ -59,6 +62,7 @@ class Session:
     def __init__(self, spark: SparkSession, keyspace: str = "default") -> None:
         self.spark, self.keyspace = spark, keyspace
         self.keyspaces: dict[str, dict[str, Table]] = {keyspace: {}}
+        self.paged: list[tuple[str, Table, DataFrame, int, Pages]] = []  # select, its table as it was
 
     def execute(self, text: str, *params) -> DataFrame | None:
         """Runs the statements; gives the last one's rows (of a select, or of a condition's outcome)."""
@@ -75,9 +79,26 @@ class Session:
         self.keyspaces[self.keyspace][name] = Table(kinds, key, [], {}, data)
 
     def pages(self, text: str, *params, size: int, state: int = 0) -> tuple[list[Row], int | None]:
-        """At most `size` rows of a select behind the first `state` ones, and the state for the next page (None behind the last)."""
-        found = self.execute(text, *params).offset(state).limit(size + 1).collect()
-        return found[:size], state + size if len(found) > size else None
+        """At most `size` rows of a select behind the first `state` ones, and the state for the next page (None behind the last).
+
+        The select runs for its first page and when its table has changed since; of other selects, the last MANY_PAGES are kept.
+        """
+        *before, s = q.parse(text, *params)
+        for other in before:
+            getattr(self, f"_{other.kind}")(other)
+        if s.kind != "select":  # a condition's outcome, which is one row
+            made = getattr(self, f"_{s.kind}")(s)
+            return (made.collect() if made is not None else [])[state : state + size], None
+        t, said = self._table(s), repr(s)
+        kept = next((k for k in self.paged if k[0] == said and k[1] is t and k[2] is t.base and k[3] == len(t.rows)), None)
+        if kept is None:
+            kept = (said, t, t.base, len(t.rows), Pages(self._select(s)))
+        self.paged = [*(k for k in self.paged if k is not kept), kept]
+        page, end = kept[-1].page(state, size), state + size >= kept[-1].count
+        for old in [kept] if end else self.paged[:-MANY_PAGES]:
+            old[-1].drop()
+        self.paged = [k for k in self.paged[-MANY_PAGES:] if k is not kept or not end]
+        return page, None if end else state + size
 
     # names
 

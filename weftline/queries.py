@@ -5,20 +5,18 @@ Most are scripts: file nodes read the tables, further nodes apply the operator.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.cql.session import Session
-from weftline.errors import ScriptError
 from weftline.plans import policies
 from weftline.plans.planner import Planner
 from weftline.plans.runs import node_statuses
 from weftline.plans.script import build
 from weftline.sources import sink
+from weftline.sources.uris import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -62,17 +60,6 @@ def table_of(spark: SparkSession, nodes: dict, table: str) -> DataFrame:
     return Planner(spark, build({"nodes": nodes})).table(table)
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that executors share."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ScriptError("no folder that driver and executors share; set spark.checkpoint.dir")
-        folder = f"file://{tempfile.mkdtemp(prefix='weftline-')}"
-    return f"{folder.rstrip('/')}/queries-{uuid.uuid4().hex}"
-
-
 ORDERS = {"o_orderkey": "int", "o_custkey": "int", "o_orderstatus": "string", "o_totalprice": "float", "o_orderdate": "datetime", "o_orderpriority": "string"}
 ITEMS = {"l_orderkey": "int", "l_partkey": "int", "l_suppkey": "int", "l_linenumber": "int", "l_quantity": "float", "l_extendedprice": "float", "l_discount": "float", "l_tax": "float", "l_returnflag": "string", "l_shipdate": "datetime"}
 PRICE = {"l_orderkey": ("r.l_orderkey", "int"), "l_linenumber": ("r.l_linenumber", "int"), "l_suppkey": ("r.l_suppkey", "int"), "l_partkey": ("r.l_partkey", "int"), "l_quantity": ("int(r.l_quantity)", "int"), "price": ("decimal2(r.l_extendedprice)", "decimal2"), "flag": ("r.l_returnflag", "string"), "discount": ("r.l_discount", "float")}
