@@ -2,6 +2,7 @@ import json
 import threading
 from decimal import Decimal
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -370,3 +371,40 @@ def test_rowwise_nodes_over_a_stream(spark, folder):
     assert [tuple(r) for r in spark.table("doubled").collect()] == [(1, Decimal("10.00"))]
     with pytest.raises(ScriptError):
         stream_table(spark, s, "items", stream, "both")
+
+
+def _sunk(spark, tmp_path, kind, target, order=None, batches=1):
+    """Writes 2,000 rows, of which 1,500 are equal in `tie`; gives the rows of each file, in its order."""
+    types = {"k": "int", "tie": "string", "at": "datetime"}
+    if not (tmp_path / "many.parquet").exists():
+        spark.range(0, 2000, 1, 4).selectExpr("id * 7 % 2000 as k", "if(id < 1500, 'b', cast(id as string)) as tie", "timestamp_ntz'2020-01-01' + make_dt_interval(0, 0, 0, id) as at").write.parquet(f"{tmp_path}/many.parquet")
+    columns = [{"name": c, "expression": f"r.{c}", "type": t, kind: {"column_name": c} if kind == "parquet" else {"header": c.upper()}} for c, t in types.items()]
+    w = {"url_template": f"{tmp_path}/{target}", "columns": columns} | ({"top": {"order": order}} if order else {})
+    s = build({"nodes": {"r": queries.reader(str(tmp_path), "many", types), "w": {"type": "table_file", "r": {"table": "t_many", "expected_batches_total": batches}, "w": w}}})
+    files = sink.write(Planner(spark, s).build(s.nodes["w"]), s.nodes["w"].writer, 1, batches)
+    if kind == "parquet":
+        assert spark.read.parquet(*files).where("at = timestamp_ntz'2020-01-01 00:00:07'").count() == 1
+        return [[(r["k"], r["tie"]) for r in pq.ParquetFile(f).read().to_pylist()] for f in files]
+    lines = [open(f, newline="").read().split("\n") for f in files]
+    assert all(x[0] == "K,TIE,AT" and x[-1] == "" for x in lines)
+    return [[(int(x.split(",")[0]), x.split(",")[1]) for x in found[1:-1]] for found in lines]
+
+
+@pytest.mark.parametrize(("kind", "order", "batches"), [("parquet", "tie(desc)", 1), ("parquet", "tie(asc)", 3)])
+def test_a_file_is_no_single_task(spark, tmp_path, monkeypatch, kind, order, batches):
+    """Parts of a file are sorted and written by several tasks, even if most rows are equal in the order; all rows are in the file, in order."""
+    found = []
+    monkeypatch.setattr(sink, "_part_files", lambda *a, f=sink._part_files: found.append(f(*a)) or list(found[-1]))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        files = _sunk(spark, tmp_path, kind, f"o_{{batch_idx|string}}.{kind}" if batches > 1 else f"o.{kind}", order, batches)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(r for f in files for r in f) == sorted((k * 7 % 2000, "b" if k < 1500 else str(k)) for k in range(2000))
+    for f in files:
+        ties = [t for _, t in f]
+        assert not order or ties == sorted(ties, reverse="desc" in order)
+    assert max(map(len, found)) > 1 and len(found) == batches
+    assert not [p for p in tmp_path.iterdir() if p.name.startswith(".") and p.is_dir()]
