@@ -390,7 +390,7 @@ def _sunk(spark, tmp_path, kind, target, order=None, batches=1):
     return [[(int(x.split(",")[0]), x.split(",")[1]) for x in found[1:-1]] for found in lines]
 
 
-@pytest.mark.parametrize(("kind", "order", "batches"), [("parquet", "tie(desc)", 1), ("parquet", "tie(asc)", 3)])
+@pytest.mark.parametrize(("kind", "order", "batches"), [("parquet", "tie(desc)", 1), ("csv", "tie(desc)", 1), ("parquet", "tie(asc)", 3), ("csv", "tie(asc)", 3), ("csv", None, 1), ("csv", None, 3)])
 def test_a_file_is_no_single_task(spark, tmp_path, monkeypatch, kind, order, batches):
     """Parts of a file are sorted and written by several tasks, even if most rows are equal in the order; all rows are in the file, in order."""
     found = []
